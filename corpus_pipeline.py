@@ -4,15 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataforge.llm import jaccard, mixing, sharding
+from strataforge.llm import decontamination, jaccard, mixing, sharding, toxicity
 from strataforge.llm.workspace import written
 
 
+def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model does not reject."""
+    return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest doc_id."""
     return jaccard.one_per_component(docs)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item or an edited copy of one."""
+    return decontamination.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in as many copies as their source's target weight asks for."""
     return mixing.mix(docs)
@@ -23,7 +33,13 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.shard(docs)
 
 
-STAGES = [("jaccard_join", deduplicate), ("source_mix", mix), ("minimax_shards", shard)]
+STAGES = [
+    ("toxicity", remove_toxic),
+    ("jaccard_join", deduplicate),
+    ("decontamination", decontaminate),
+    ("source_mix", mix),
+    ("minimax_shards", shard),
+]
 
 #: Toxicity scores and local alignments are beyond SQL; the stages are tested against brute force.
 ORACLE_SQL = None

@@ -23,6 +23,9 @@ _WORD_BASE = U64(0xD1B54A32D192ED03)
 SEPARATORS = np.zeros(256, dtype=bool)
 SEPARATORS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+PUNCTUATION = np.zeros(256, dtype=bool)
+PUNCTUATION[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = True
+
 ASCII_LOWER = np.arange(256, dtype=np.uint8)
 ASCII_LOWER[65:91] += 32
 
@@ -98,6 +101,18 @@ class Words:
     def __len__(self) -> int:
         return len(self.start)
 
+    def bare(self) -> Words:
+        """The words without ASCII punctuation at either end; words of nothing else go."""
+        plain = np.flatnonzero(~PUNCTUATION[self.data])
+        first = np.searchsorted(plain, self.start)
+        past = np.searchsorted(plain, self.end)
+        some = past > first
+        out = object.__new__(Words)
+        out.data = self.data
+        out.start, out.end = plain[first[some]], plain[past[some] - 1] + 1
+        out.bounds = np.concatenate([[0], np.cumsum(some)])[self.bounds]
+        return out
+
     def hashes(self, start: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
         start, end = (self.start, self.end) if start is None else (start, end)
         sums = Prefix(self.data.astype(U64) + U64(1), _BYTE_POWERS)

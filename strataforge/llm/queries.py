@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, mixing, sharding, substring, urlfilter
+from . import annforest, decontamination, extraction, jaccard, mixing, sharding, substring, toxicity, urlfilter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,15 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(_table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "score")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -27,14 +36,40 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.removal_digest(_table(spark, sf_dir, "documents"))
 
 
+def op6_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annforest.search(_table(spark, sf_dir, "embeddings"))
+
+
+def op7_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_source_mix, op4_url_filter, op5_substring_dedup, op8_minimax_shards, op10_jaccard_join)}
-
-ORACLES: dict[str, str] = {"op1_source_mix": mixing.ORACLE_SQL}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_source_mix,
+        op2_decontamination,
+        op3_toxicity,
+        op4_url_filter,
+        op5_substring_dedup,
+        op6_prefix_forest,
+        op7_warc_index,
+        op8_minimax_shards,
+        op9_main_text,
+        op10_jaccard_join,
+    )
+}
+
+ORACLES: dict[str, str] = {"op1_source_mix": mixing.ORACLE_SQL, "op7_warc_index": warc.ORACLE_SQL}

@@ -78,13 +78,25 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor: in
     return text[begin], at[begin], at[last], seeds[here[begin]], span, words, prefix
 
 
+#: Added to ``more`` of a run that its own slice of texts has shown to repeat whole.
+_KNOWN = 1 << 10
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of every text.  Of equal ones in a slice two meet others; the rest are known to repeat and are dealt at random."""
     for batch in batches:
         key = batch.column(0).to_numpy()
         for i, _, data, offsets in text_slices(batch.column(1)):
             text, first, last, anchor, span, _, _ = runs(data, offsets)
+            more = (last - first).astype(np.int16)
+            order = np.lexsort((span, anchor))
+            alike = (anchor[order][1:] == anchor[order][:-1]) & (span[order][1:] == span[order][:-1])
+            inner = np.zeros(len(order), bool)
+            inner[order[1:-1]] = alike[:-1] & alike[1:]  # the ends of each group go on to meet others
+            more[inner] += _KNOWN
+            anchor = np.where(inner, mix(key[i + text].view(U64) + first.astype(U64)), anchor)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor.view(np.int64)), pa.array(span.view(np.int64)), pa.array(key[i + text]), pa.array(first.astype(np.int32)), pa.array((last - first).astype(np.int16))],
+                [pa.array(anchor.view(np.int64)), pa.array(span.view(np.int64)), pa.array(key[i + text]), pa.array(first.astype(np.int32)), pa.array(more)],
                 names=["anchor", "span", "key", "first", "more"],
             )
 
@@ -118,10 +130,12 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return (alike.astype(np.int8) << 1) - (alike & (span[1:] == span[:-1]))  # 2: anchor only, 1: span too
 
     for table, before, after in _neighbours(batches, same):
-        whole, cut = (before == 1) | (after == 1), (before == 2) | (after == 2)
+        more = table.column(4).to_numpy()
+        known = more >= _KNOWN
+        whole, cut = (before == 1) | (after == 1) | known, ((before == 2) | (after == 2)) & ~known
         some = whole | cut
         yield pa.RecordBatch.from_arrays(
-            [table.column(2).filter(pa.array(some)), table.column(3).filter(pa.array(some)), table.column(4).filter(pa.array(some)), pa.array(whole[some]), pa.array(cut[some])],
+            [table.column(2).filter(pa.array(some)), table.column(3).filter(pa.array(some)), pa.array((more & (_KNOWN - 1))[some]), pa.array(whole[some]), pa.array(cut[some])],
             names=["key", "first", "more", "whole", "cut"],
         )
 

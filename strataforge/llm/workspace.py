@@ -10,7 +10,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,5 +72,21 @@ def checked_broadcast(df: DataFrame, rows: int | None = None, most: int = BROADC
     return F.broadcast(df) if n <= most else df
 
 
+def share(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """Broadcast ``value``, whose size the caller has bounded; the result gives it on an executor.
+
+    Objects of this library travel with their code.
+    """
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    held: list[Any] = []
+
+    def get() -> Any:
+        if not held:
+            held.append(cloudpickle.loads(sent.value))
+        return held[0]
+
+    return get
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
