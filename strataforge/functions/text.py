@@ -167,11 +167,12 @@ def requirements(text: Column | str) -> Column:
 def package_json(text: Column | str) -> Column:
     """array<struct<name, version, dev>> of a package.json; null if it does not parse."""
     kind = "map<string,string>"
-    out = []
-    for key, dev in (("dependencies", False), ("devDependencies", True)):
+
+    def part(key: str, dev: bool) -> Column:
         entries = F.map_entries(F.coalesce(F.from_json(F.get_json_object(_c(text), f"$.{key}"), kind), F.from_json(F.lit("{}"), kind)))
-        out.append(F.transform(entries, lambda e, dev=dev: F.struct(e["key"].alias("name"), e["value"].alias("version"), F.lit(dev).alias("dev"))))
-    return F.concat(*out)
+        return F.transform(entries, lambda e: F.struct(e["key"].alias("name"), e["value"].alias("version"), F.lit(dev).alias("dev")))
+
+    return F.concat(part("dependencies", False), part("devDependencies", True))
 
 
 def url_parts(url: Column | str) -> tuple[Column, Column]:

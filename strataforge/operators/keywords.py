@@ -84,5 +84,5 @@ def word_score(text: Column | str, keywords: tuple[str, ...]) -> Column:
     words = F.split(t, "[^a-z0-9_]+")
     out = F.lit(0.0)
     for k in keywords:
-        out = out + F.log1p(F.size(F.filter(words, lambda w, k=k: w == k)).cast("double"))
+        out = out + F.log1p((F.size(words) - F.size(F.array_remove(words, k))).cast("double"))
     return out

@@ -74,7 +74,7 @@ def priorities(df: DataFrame, group: str, item: str, weight: str) -> DataFrame:
     """high over mean + std of the group, low under mean - std, else medium."""
     w = Window.partitionBy(group)
     mean, std = F.avg(weight).over(w), F.stddev_pop(weight).over(w)
-    level = F.when(F.col(weight) > mean + std, "high").when(F.col(weight) < mean - std, "low").otherwise("medium")
+    level = F.when(F.col(weight) > _r(mean + std, 9), "high").when(F.col(weight) < _r(mean - std, 9), "low").otherwise("medium")
     return df.select(group, item, level.alias("priority"), _r(mean).alias("mean"), _r(std).alias("std"))
 
 

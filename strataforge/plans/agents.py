@@ -188,7 +188,10 @@ def flags() -> dict[str, Column]:
     styles = sum(F.exists(F.transform("repository_structure", lambda f: f["name"]), test).cast("int") for test in (lambda x: x.contains("_"), lambda x: x.contains("-"), lambda x: x.rlike("[a-z][A-Z]")))
     few_styles = F.coalesce(styles, F.lit(0)) <= 2
     tests = F.exists(names, lambda x: x.startswith("test") | x.endswith("_test.py")) | F.exists(paths, lambda x: x.contains("test"))
-    places = sum(F.exists(paths, lambda x, w=w: x.contains(w)).cast("int") for w in ("src", "doc", "test"))
+    def some_path(word: str) -> Column:
+        return F.exists(paths, lambda x: x.contains(word))
+
+    places = sum(some_path(w).cast("int") for w in ("src", "doc", "test"))
     opened = _flag(*PREDICATES["PRE03"])
     out = {k: _flag(*v) for k, v in PREDICATES.items() if k != "PRE03"}
     out |= {

@@ -39,7 +39,7 @@ def _r(c, n=6):
 
 @query("""
 WITH f AS (SELECT source AS artifact, doc_id, contains(lower(text), 'license') AS lic, contains(lower(text), 'mit license') OR contains(lower(text), 'apache license') OR contains(lower(text), 'gpl') AS opened, contains(lower(text), 'readme') AS named FROM documents),
-a AS (SELECT artifact, count(*) AS n_files, count_if(lic)::BIGINT AS n_license, round(least(1.0, 0.4 * max(lic::INT) + 0.4 * max(opened::INT) + 0.2 * max((named OR lic)::INT)), 6) AS licensing FROM f GROUP BY 1)
+a AS (SELECT artifact, count(*) AS n_files, count_if(lic)::BIGINT AS n_license, round(least(1.0, 0.4 * max(lic::INT) + 0.4 * max(opened::INT) + 0.2 * max((named OR lic)::INT))::DOUBLE, 6) AS licensing FROM f GROUP BY 1)
 SELECT artifact, n_files, n_license, licensing, licensing >= 0.5 AS accepted, (row_number() OVER (ORDER BY licensing DESC, n_license DESC, artifact))::INT AS rank FROM a
 """)
 def com04_licensing(spark, sf):
@@ -208,7 +208,7 @@ def agg11_unique_traits(spark, sf):
     return S.unique_traits(D.weights(spark, sf), "venue", "dimension", "weight")
 
 
-@query(_w("""SELECT venue, dimension, CASE WHEN weight > m + s THEN 'high' WHEN weight < m - s THEN 'low' ELSE 'medium' END AS priority, round(m, 6) AS mean, round(s, 6) AS std FROM (SELECT *, avg(weight) OVER v AS m, stddev_pop(weight) OVER v AS s FROM weights WINDOW v AS (PARTITION BY venue))"""))
+@query(_w("""SELECT venue, dimension, CASE WHEN weight > round(m + s, 9) THEN 'high' WHEN weight < round(m - s, 9) THEN 'low' ELSE 'medium' END AS priority, round(m, 6) AS mean, round(s, 6) AS std FROM (SELECT *, avg(weight) OVER v AS m, stddev_pop(weight) OVER v AS s FROM weights WINDOW v AS (PARTITION BY venue))"""))
 def win10_priorities(spark, sf):
     return S.priorities(D.weights(spark, sf), "venue", "dimension", "weight")
 
