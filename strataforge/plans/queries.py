@@ -488,3 +488,111 @@ def str01_hourly_events(spark, sf):
 
     e = D.table(spark, sf, "events")
     return E.hourly(e).select("hour", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+# --- more graph and score queries ----------------------------------------------------
+
+
+@query(_g("""SELECT src_label, dst_label, type, n, round(n::DOUBLE / sum(n) OVER (), 6) AS share FROM (SELECT s.label AS src_label, d.label AS dst_label, e.type, count(*) AS n FROM edges e JOIN nodes s ON e.src = s.id JOIN nodes d ON e.dst = d.id GROUP BY 1, 2, 3)"""))
+def gq25_traffic(spark, sf):
+    counts = G.endpoints(D.edges(spark, sf), D.nodes(spark, sf)).groupBy("src_label", "dst_label", "type").agg(F.count("*").alias("n"))
+    return counts.withColumn("share", _r(F.col("n") / F.sum("n").over(Window.partitionBy())))
+
+
+@query(_g("""SELECT label, count(*) AS nodes, round(avg(degree), 6) AS mean_degree, max(degree) AS max_degree FROM (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1) JOIN nodes USING (id) GROUP BY 1"""))
+def gq22_centrality(spark, sf):
+    per = G.degree(D.edges(spark, sf)).join(D.nodes(spark, sf).select("id", "label"), "id")
+    return per.groupBy("label").agg(F.count("*").alias("nodes"), _r(F.avg("degree")).alias("mean_degree"), F.max("degree").alias("max_degree"))
+
+
+@query(_g("""SELECT n.name AS nation, count(DISTINCT CASE WHEN m.label = 'Customer' THEN m.id END) AS customers, count(DISTINCT CASE WHEN m.label = 'Supplier' THEN m.id END) AS suppliers FROM nodes n LEFT JOIN edges e ON e.src = n.id AND e.type = 'CONTAINS' LEFT JOIN nodes m ON e.dst = m.id WHERE n.label = 'Nation' GROUP BY 1"""))
+def grb07_artifact_metrics(spark, sf):
+    nodes, edges = D.nodes(spark, sf), D.edges(spark, sf).filter("type = 'CONTAINS'").select("src", "dst")
+    per = edges.join(nodes.select(F.col("id").alias("dst"), "label"), "dst").groupBy("src").agg(F.count_if(F.col("label") == "Customer").alias("customers"), F.count_if(F.col("label") == "Supplier").alias("suppliers"))
+    out = nodes.filter("label = 'Nation'").join(per, F.col("id") == F.col("src"), "left")
+    return out.select(F.col("name").alias("nation"), F.coalesce("customers", F.lit(0)).alias("customers"), F.coalesce("suppliers", F.lit(0)).alias("suppliers"))
+
+
+@query("SELECT source AS artifact, min(doc_id) AS readme, CASE WHEN arg_min(n_chars, doc_id) < 500 THEN 'short' WHEN arg_min(n_chars, doc_id) < 2000 THEN 'medium' ELSE 'long' END AS class FROM documents GROUP BY 1")
+def gq11_readme_length(spark, sf):
+    t = D.table(spark, sf, "documents").groupBy(F.col("source").alias("artifact")).agg(F.min("doc_id").alias("readme"), F.min_by("n_chars", "doc_id").alias("n"))
+    return t.select("artifact", "readme", F.when(F.col("n") < 500, "short").when(F.col("n") < 2000, "medium").otherwise("long").alias("class"))
+
+
+@query("SELECT class, count(*) AS artifacts, round(avg(n), 6) AS mean FROM (SELECT source, count(*) AS n, CASE WHEN count(*) < 40 THEN 'few' WHEN count(*) < 60 THEN 'some' ELSE 'many' END AS class FROM documents GROUP BY 1) GROUP BY 1")
+def gq13_file_count_class(spark, sf):
+    per = D.files(spark, sf).groupBy("artifact").agg(F.count("*").cast("double").alias("n"))
+    return S.binned(per, "n", [(40, "few"), (60, "some")], "many").withColumnRenamed("n", "artifacts")
+
+
+@query("SELECT lang AS language, source AS artifact, count(*) AS files, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY source), 6) AS share FROM documents GROUP BY 1, 2")
+def gq28_files_by_language(spark, sf):
+    per = D.table(spark, sf, "documents").groupBy(F.col("lang").alias("language"), F.col("source").alias("artifact")).agg(F.count("*").alias("files"))
+    return S.shares(per, "files", ["artifact"], "share").withColumn("share", _r(F.col("share")))
+
+
+@query(_f("SELECT is_english, has_tables, count(*) AS n, round(avg(score), 6) AS mean_score FROM features GROUP BY 1, 2"))
+def gq33_patterns_with_score(spark, sf):
+    return D.features(spark, sf).groupBy("is_english", "has_tables").agg(F.count("*").alias("n"), _r(F.avg("score")).alias("mean_score"))
+
+
+@query(_f("SELECT doc_id, (has_license::INT + is_english::INT + is_long::INT + has_tables::INT) AS motifs FROM features WHERE has_license::INT + is_english::INT + is_long::INT + has_tables::INT >= 2"))
+def gq19_composite_motifs(spark, sf):
+    total = sum((F.col(c).cast("int") for c in ("has_license", "is_english", "is_long", "has_tables")), F.lit(0))
+    return D.features(spark, sf).select("doc_id", total.alias("motifs")).filter("motifs >= 2")
+
+
+@query(_f("SELECT doc_id, round(least(1.0::DOUBLE, 0.4 * has_license::INT + 0.3 * is_long::INT + 0.2 * is_english::INT + 0.1 * (1 - flagged::INT)), 6) AS documentation, CASE WHEN least(1.0::DOUBLE, 0.4 * has_license::INT + 0.3 * is_long::INT + 0.2 * is_english::INT + 0.1 * (1 - flagged::INT)) >= 0.6 THEN 'medium' ELSE 'low' END AS likelihood FROM features"))
+def sco02_feature_scores(spark, sf):
+    on = lambda c, w: F.when(F.col(c), w).otherwise(0.0)
+    score = F.round(F.least(F.lit(1.0), on("has_license", 0.4) + on("is_long", 0.3) + on("is_english", 0.2) + F.when(F.col("flagged"), 0.0).otherwise(0.1)), 6)
+    return D.features(spark, sf).select("doc_id", score.alias("documentation"), F.when(score >= 0.6, "medium").otherwise("low").alias("likelihood"))
+
+
+@query(_f("""SELECT a.doc_id AS a, b.doc_id AS b, round(((a.has_license = b.has_license)::INT + (a.is_english = b.is_english)::INT + (a.is_long = b.is_long)::INT + (a.has_tables = b.has_tables)::INT + (a.flagged = b.flagged)::INT) / 5.0, 6)::DOUBLE AS similarity FROM features a JOIN features b ON b.doc_id IN (SELECT doc_id FROM features WHERE accepted ORDER BY n_words DESC, doc_id LIMIT 5) AND a.doc_id <> b.doc_id"""))
+def joi19_top_accepted(spark, sf):
+    f = D.features(spark, sf)
+    top = f.filter("accepted").orderBy(F.desc("n_words"), "doc_id").limit(5).select(F.col("doc_id").alias("b"))
+    pairs = f.select(F.col("doc_id").alias("a")).join(F.broadcast(top), F.col("a") != F.col("b"))  # five rows
+    return V.feature_similarity(f, pairs, "doc_id", D.FLAGS)
+
+
+@query("SELECT event_type, user_id, n, rank::INT AS rank FROM (SELECT event_type, user_id, count(*) AS n, row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, user_id) AS rank FROM events GROUP BY 1, 2) WHERE rank <= 5")
+def srt06_top_five(spark, sf):
+    per = D.table(spark, sf, "events").groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("n"), "user_id"))
+    return per.withColumn("rank", rank).filter("rank <= 5")
+
+
+@query("SELECT regexp_extract(p_type, '([A-Z]+)$', 1) AS extension, count(*) AS n, count(DISTINCT p_brand) AS folders FROM part GROUP BY 1")
+def agg19_extension_counts(spark, sf):
+    t = D.table(spark, sf, "part").select(F.regexp_extract("p_type", "([A-Z]+)$", 1).alias("extension"), "p_brand")
+    return t.groupBy("extension").agg(F.count("*").alias("n"), F.count_distinct("p_brand").alias("folders"))
+
+
+@query("SELECT lower(array_to_string(string_split(text, ' ')[1:3], ' ')) AS key, count(*) AS n FROM conversations GROUP BY 1")
+def agg25_first_words(spark, sf):
+    c = D.table(spark, sf, "conversations")
+    return c.groupBy(F.lower(F.concat_ws(" ", F.slice(F.split("text", " "), 1, 3))).alias("key")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT role, count(*) AS turns, count_if(length(text) > 0)::BIGINT AS filled, round(avg(length(text)), 6) AS mean FROM conversations GROUP BY 1")
+def agg26_run_statistics(spark, sf):
+    c = D.table(spark, sf, "conversations")
+    return c.groupBy("role").agg(F.count("*").alias("turns"), F.count_if(F.length("text") > 0).alias("filled"), _r(F.avg(F.length("text"))).alias("mean"))
+
+
+@query("SELECT doc_id, length(text) - length(replace(text, 'the', '')) AS chars, ((length(text) - length(replace(text, 'the', ''))) // 3)::BIGINT AS strict, CASE WHEN (length(text) - length(replace(text, 'the', ''))) // 3 > (length(text) - length(replace(text, 'de', ''))) // 2 THEN 'en' ELSE 'other' END AS domain FROM documents")
+def agg33_domain_score(spark, sf):
+    t = D.table(spark, sf, "documents")
+    return t.select("doc_id", (F.length("text") - F.length(F.replace("text", F.lit("the"), F.lit("")))).cast("long").alias("chars"), X.count_of("text", "the").alias("strict"), F.when(X.count_of("text", "the") > X.count_of("text", "de"), "en").otherwise("other").alias("domain"))
+
+
+@query(f"WITH {D.WEIGHTS_SQL} SELECT x.venue AS a, y.venue AS b, round(sum(x.weight * y.weight) / (sqrt(sum(x.weight * x.weight)) * sqrt(sum(y.weight * y.weight))), 6) AS similarity FROM weights x JOIN weights y ON x.dimension = y.dimension AND x.venue < y.venue GROUP BY 1, 2")
+def ml05_venue_similarity(spark, sf):
+    """Cosine of the numeric weight vectors of every two venues (25 nations)."""
+    w = D.weights(spark, sf)
+    x, y = w.select(F.col("venue").alias("a"), "dimension", F.col("weight").alias("x")), w.select(F.col("venue").alias("b"), "dimension", F.col("weight").alias("y"))
+    both = x.join(y, "dimension").filter("a < b").groupBy("a", "b")
+    cos = F.sum(F.col("x") * F.col("y")) / (F.sqrt(F.sum(F.col("x") * F.col("x"))) * F.sqrt(F.sum(F.col("y") * F.col("y"))))
+    return both.agg(_r(cos).alias("similarity"))
