@@ -245,3 +245,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 def removal_digest(docs: DataFrame) -> DataFrame:
     """As ``remove_repeats``, with the SHA-256 of the kept words' UTF-8 in place of the text."""
     return _with_repeats(docs).mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT r, s, md5(array_to_string(w[s:s + 34], ' ')) AS k FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS s FROM d WHERE len(w) >= 35)),
+c AS (SELECT r, s FROM (SELECT r, s, count(*) OVER (PARTITION BY k) AS n FROM p) WHERE n > 1),
+g AS (SELECT DISTINCT r, s + o AS i FROM c, range(35) t(o)),
+e AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+x AS (SELECT e.r, array_to_string(list(word ORDER BY e.i), ' ') AS kept FROM e LEFT JOIN g ON e.r = g.r AND e.i = g.i WHERE g.i IS NULL GROUP BY e.r),
+m AS (SELECT r, count(*) AS n FROM g GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(m.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN m ON d.r = m.r LEFT JOIN x ON d.r = x.r
+"""
