@@ -29,7 +29,7 @@ from .kernel import ASCII_LOWER, SEPARATORS, U64, Words, mix, ragged, text_slice
 from .workspace import share
 
 #: Labelled texts of each class that training may use.
-MOST_LABELLED = 2000
+MOST_LABELLED = 1500
 WINDOW, STRIDE = 32, 24
 WORD_BITS, GRAM_BITS = 16, 14
 WIDTH, HIDDEN, GAZE = 6, 8, 8  # of an embedding, of a direction's state, of attention
@@ -63,7 +63,7 @@ def inputs(data: np.ndarray, offsets: np.ndarray) -> Inputs:
     gram = (gram ^ (gram >> np.uint32(15))) * np.uint32(0x27D4EB2F)
     lengths = words.end - words.start
     inside = ~SEPARATORS[data]
-    return Inputs((hashes >> U64(64 - WORD_BITS)).astype(np.int64), (gram[inside] >> np.uint32(32 - GRAM_BITS)).astype(np.int64), np.cumsum(lengths) - lengths, words.bounds)
+    return Inputs((hashes >> U64(64 - WORD_BITS)).astype(np.int32), (gram[inside] >> np.uint32(32 - GRAM_BITS)).astype(np.int32), np.cumsum(lengths) - lengths, words.bounds)
 
 
 def windows(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -230,14 +230,14 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.slope * worst.astype(float) + self.shift, -40, 40)))
 
 
-def _log_odds(numbers: np.ndarray, text: np.ndarray, toxic: np.ndarray, size: int) -> np.ndarray:
+def _log_odds(numbers: np.ndarray, bounds: np.ndarray, toxic: np.ndarray, size: int) -> np.ndarray:
     """Smoothed log-odds of a text being toxic, over its rate, given that it holds each number."""
-    seen = np.unique(text * size + numbers)
-    of, number = seen // size, seen % size
-    yes = np.bincount(number[toxic[of] == 1], minlength=size) / max(1, toxic.sum())
-    no = np.bincount(number[toxic[of] == 0], minlength=size) / max(1, (1 - toxic).sum())
-    floor = 2.0 / max(2, min(toxic.sum(), (1 - toxic).sum()))
-    return np.clip(np.log((yes + floor) / (no + floor)), -4, 4)
+    held = np.zeros((2, size))
+    for i, kind in enumerate(toxic):
+        held[kind, np.unique(numbers[bounds[i] : bounds[i + 1]])] += 1
+    clean, all_toxic = max(1, (toxic == 0).sum()), max(1, (toxic == 1).sum())
+    floor = 2.0 / max(2, min(clean, all_toxic))
+    return np.clip(np.log((held[1] / all_toxic + floor) / (held[0] / clean + floor)), -4, 4)
 
 
 def _calibrated(worst: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
@@ -266,25 +266,26 @@ def train(texts: list[str | None], toxic: np.ndarray, kept_out: np.ndarray, toxi
         return net
     rng = np.random.default_rng(SEED)
 
-    def prepare(chosen: np.ndarray) -> Inputs:
-        whole = pa.chunked_array([pa.array([texts[i] for i in chosen], pa.large_string())]).combine_chunks()
+    def prepare(chosen: np.ndarray) -> tuple[Inputs, list[Inputs]]:
+        """The texts' inputs end to end, and the same by slices, which bound what one pass over them needs."""
+        whole = pa.array([texts[i] for i in chosen], pa.large_string())
         parts = [inputs(data, offsets) for _, _, data, offsets in text_slices(whole)]
         words, grams = (np.cumsum([0] + [len(getattr(x, k)) for x in parts]) for k in ("word", "gram"))
-        return Inputs(
+        joined = Inputs(
             np.concatenate([x.word for x in parts]),
             np.concatenate([x.gram for x in parts]),
             np.concatenate([x.first + g for x, g in zip(parts, grams, strict=False)]),
             np.concatenate([[0], *(x.bounds[1:] + w for x, w in zip(parts, words, strict=False))]),
         )
+        return joined, parts
 
     fit = np.flatnonzero(~kept_out)
     if toxic[fit].min(initial=1) == toxic[fit].max(initial=0) or not kept_out.any():
         fit = np.arange(len(toxic))
-    x, y = prepare(fit), toxic[fit]
-    of = np.repeat(np.arange(len(fit)), np.diff(x.bounds))
-    per_word = np.repeat(of, np.diff(np.append(x.first, len(x.gram))))
-    net.p["word"][:, 0] = odds = _log_odds(x.word, of, y, 1 << WORD_BITS) / 2
-    net.p["gram"][:, 0] = _log_odds(x.gram, per_word, y, 1 << GRAM_BITS) / 2
+    (x, parts), y = prepare(fit), toxic[fit]
+    wide = np.diff(np.append(x.first, len(x.gram)))
+    net.p["word"][:, 0] = odds = _log_odds(x.word, x.bounds, y, 1 << WORD_BITS) / 2
+    net.p["gram"][:, 0] = _log_odds(x.gram, np.append(x.first, len(x.gram))[x.bounds], y, 1 << GRAM_BITS) / 2
     text, begin, size = windows(x.bounds)
     prior = np.concatenate([odds[x.word], [0.0]])
     score = np.maximum.reduceat(prior, np.minimum(np.stack([begin, begin + size], 1).ravel(), len(prior) - 1))[::2] if len(text) else np.zeros(0)
@@ -294,7 +295,7 @@ def train(texts: list[str | None], toxic: np.ndarray, kept_out: np.ndarray, toxi
     step = 0
     for turn in range(ROUNDS):
         if turn:
-            score = net.logits(x)[1]
+            score = np.concatenate([net.logits(part)[1] for part in parts])
         order = np.lexsort((-score, text))
         rank = np.arange(len(text)) - np.searchsorted(text, text)
         clean = y[text[order]] == 0
@@ -313,9 +314,9 @@ def train(texts: list[str | None], toxic: np.ndarray, kept_out: np.ndarray, toxi
                 own, k = ragged(size[at])
                 word = begin[at][own] + k
                 small = Inputs(x.word[word], x.gram, x.first, x.bounds)
-                wide = np.diff(np.append(x.first, len(x.gram)))[word]
-                mine, j = ragged(wide)
-                small.gram, small.first = x.gram[x.first[word][mine] + j], np.cumsum(wide) - wide
+                long = wide[word]
+                mine, j = ragged(long)
+                small.gram, small.first = x.gram[x.first[word][mine] + j], np.cumsum(long) - long
                 vectors = net.embed(small)
                 first = np.cumsum(size[at]) - size[at]
                 logit, kept = net.forward(vectors, first, size[at], keep=True)
@@ -328,7 +329,7 @@ def train(texts: list[str | None], toxic: np.ndarray, kept_out: np.ndarray, toxi
                     m += 0.1 * (g - m)
                     v += 0.001 * (g * g - v)
                     net.p[name] -= (RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(_F)
-                for name, number, g in (("word", small.word, d_vectors[:, :WIDTH]), ("gram", small.gram, (d_vectors[:, WIDTH:] / wide[:, None])[mine])):
+                for name, number, g in (("word", small.word, d_vectors[:, :WIDTH]), ("gram", small.gram, (d_vectors[:, WIDTH:] / long[:, None])[mine])):
                     rows, back = np.unique(number, return_inverse=True)
                     total = np.zeros((len(rows), WIDTH), _F)
                     np.add.at(total, back, g.astype(_F))
