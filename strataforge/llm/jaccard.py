@@ -17,9 +17,10 @@ Texts meet in stars: each is paired with the least member of its block's group,
 never with all of them.  Pairs whose sizes allow the threshold are verified on
 the exact sets.  A linked pair shares ``MISS`` blocks or more on average; it can be
 left apart only if in all of those the centre failed one of the two.  Members
-that failed in at least ``OPEN`` blocks therefore meet again around new centres,
-and lastly one by one, with those members of their star that the sizes and the
-triangle inequality of the Jaccard distance do not rule out.
+that failed in at least ``OPEN`` blocks therefore meet again around the member
+most like the centres: of a text and its edited copies that is the text, which all
+copies resemble more than each other.  What is still outside the main component
+of its linked stars after ``CENTRES`` turns is compared exactly, in blocks of members.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernel import ASCII_LOWER, U64, Words, grams, mix, ragged, text_slices, word_prefix
-from .workspace import BROADCAST_ROWS, partitions, written
+from .workspace import partitions, release, written
 
 SHINGLE = 5
 #: Similarity threshold in percent.
@@ -44,11 +45,11 @@ MISS = 16.0
 #: Shingles in a sketch block on average, at least, at the lower end of a band.
 CROWD = 3.5
 #: Blocks in which a member's centres must have failed it before it is compared again.
-OPEN = 4
+OPEN = 2
 #: Members of a star that one task verifies, give or take chance.
 STAR_PART = 1024
-#: Stars around new centres before the pairs left over are compared one by one.
-CENTRES = 2
+#: Turns around new centres before what is left is compared in blocks, and members of a block.
+CENTRES, BLOCK = 1, 256
 
 _BANDS: dict[tuple[int, int], tuple[int, int]] = {}
 
@@ -232,41 +233,130 @@ def _sized(pairs: DataFrame, where: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(fits).select(*pairs.columns)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, where: DataFrame) -> DataFrame:
-    """(a, b, shared, either, met): exact sizes for pairs of sets; ``where`` names a row for each set.
+def star_texts(docs: DataFrame, pairs: DataFrame, where: DataFrame) -> DataFrame:
+    """(node, text) of every set that some star holds: the one shuffle of the documents' texts."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = nodes.join(where, "node").select("node", "rep_id", "rep_key")
+    texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"), "text")
+    same = texts["id"].eqNullSafe(wanted["rep_id"]) & (texts["key"] == wanted["rep_key"])
+    return texts.join(wanted.hint("shuffle_hash"), same).select("node", "text")
+
+
+def _with_text(texts: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``rows`` with the text of set b."""
+    return texts.join(rows.hint("shuffle_hash"), texts["node"] == rows["b"]).select(*columns, "text")
+
+
+def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, shared, either, met): exact sizes for pairs of sets; ``texts`` is of ``star_texts``.
 
     A star of many members is dealt to several tasks, each with the centre's text.
     """
-    spark = docs.sparkSession
+    spark = texts.sparkSession
     fan = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(STAR_PART)).cast("int").alias("parts"))
     members = pairs.join(fan, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"), "b")
     centres = fan.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("a").alias("b"))
-    wanted = members.union(centres).join(where.withColumnRenamed("node", "b"), "b")
-    wanted = written(wanted.select("a", "part", "role", "b", "rep_id", "rep_key"), "jaccard-wanted")
-    texts = docs.select(F.col("doc_id").alias("rep_id"), F.xxhash64("text").alias("rep_key"), "text")
-    small = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    build = F.broadcast(wanted) if small else wanted.hint("shuffle_hash")
-    same = texts["rep_id"].eqNullSafe(wanted["rep_id"]) & (texts["rep_key"] == wanted["rep_key"])
-    rows = texts.join(build, same).select("a", "part", "role", "b", "text")
+    rows = _with_text(texts, members.union(centres), ["a", "part", "role", "b"])
     dealt = rows.repartition(partitions(spark), "a", "part").sortWithinPartitions("a", "part", "role", "b")
     sizes = dealt.mapInArrow(_verify, "a long, b long, shared long, either long").dropDuplicates(["a", "b"])
     return sizes.join(pairs, ["a", "b"])
 
 
-def _again(tested: DataFrame) -> DataFrame:
-    """From tested stars, the members that must meet again: (a, b, distance, open, next).
+def _judged(tested: DataFrame) -> DataFrame:
+    """Tested stars with the distance from the centre, and what failed, and is open: failed in ``OPEN`` blocks or more."""
+    tested = tested.withColumn("distance", 1 - F.col("shared") / F.col("either")).withColumn("failed", F.expr(f"100 * shared < {PERCENT} * either"))
+    often = tested.filter("failed").groupBy("b").agg(F.sum("met").alias("times")).filter(F.col("times") >= OPEN).select("b", F.lit(True).alias("often"))
+    return tested.join(often, "b", "left").withColumn("open", F.col("failed") & F.coalesce("often", F.lit(False))).drop("often")
 
-    Open are failed members whose centres failed them in ``OPEN`` blocks or more; next is
-    one of a star's.  They may still link with another failed member, or with a
-    linked one that is at most 1 - t nearer to the centre.
+
+def _again(judged: DataFrame) -> DataFrame:
+    """Pairs (a, b, met) of new stars from judged ones.
+
+    A star's next centre is its member that resembles the centres it was tested with
+    most, on average: of edited copies of one text the least edited, and the same
+    for all stars that share it, which so become one star.  Around it meet those
+    that failed or that the triangle inequality lets link with one that did.
     """
-    t = F.lit(PERCENT / 100)
-    tested = tested.withColumn("distance", 1 - F.col("shared") / F.col("either")).withColumn("failed", F.expr(f"100 * shared < {PERCENT} * either"))
-    often = tested.filter("failed").groupBy("b").agg(F.sum("met").alias("times")).filter(F.col("times") >= OPEN).select("b", F.lit(True).alias("open"))
-    tested = tested.join(often, "b", "left").withColumn("open", F.col("failed") & F.coalesce("open", F.lit(False)))
-    least = tested.filter("open").groupBy("a").agg(F.min("distance").alias("nearest"), F.min("b").alias("next"))
-    near = F.col("failed") | (F.col("distance") >= F.col("nearest") - (1 - t) - 1e-9)
-    return tested.join(least, "a").filter(near).select("a", "b", "distance", "open", "next", "met")
+    central = judged.groupBy("b").agg(F.avg("distance").alias("central"))
+    rows = judged.join(central, "b")
+    stars = rows.groupBy("a").agg(F.min(F.struct("central", "b")).alias("next"), F.min(F.when(F.col("open"), F.col("distance"))).alias("least")).filter("least is not null")
+    near = F.col("failed") | (F.col("distance") >= F.col("least") - (1 - PERCENT / 100) - 1e-9)
+    rows = judged.join(stars, "a").filter(near & (F.col("b") != F.col("next.b")))
+    return rows.groupBy(F.col("next.b").alias("a"), "b").agg(F.max("met").alias("met"))
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, i, j, side, b, text) in order: links between the members on side 0 and those on side 1 of each block."""
+
+    def found(sides: dict[int, dict[int, np.ndarray]]) -> pa.RecordBatch:
+        out = [], [], [], []
+        ids = [np.array(list(sides[k]), np.int64) for k in (0, 1)]
+        if len(ids[0]) and len(ids[1]):
+            size = [np.array([len(x) for x in sides[k].values()]) for k in (0, 1)]
+            tokens, column = np.unique(np.concatenate([*sides[0].values(), *sides[1].values()]), return_inverse=True)
+            count = np.bincount(column)
+            cut = int(size[0].sum())
+            shared = np.zeros((len(ids[0]), len(ids[1])))
+            row = [np.repeat(np.arange(len(ids[k])), size[k]) for k in (0, 1)]
+            column = [column[:cut], column[cut:]]
+            place = np.cumsum(count > 1) - 1  # a token of one member alone is shared with nobody
+            wide = int(place[-1]) + 1 if len(place) else 0
+            for low in range(0, wide, 8192):
+                held = []
+                for k in (0, 1):
+                    at = place[column[k]] - low
+                    some = (count[column[k]] > 1) & (at >= 0) & (at < 8192)
+                    matrix = np.zeros((len(ids[k]), min(8192, wide - low)), np.float32)
+                    matrix[row[k][some], at[some]] = 1
+                    held.append(matrix)
+                shared += held[0] @ held[1].T
+            shared = shared.astype(np.int64)
+            either = size[0][:, None] + size[1][None, :] - shared
+            x, y = np.nonzero((100 * shared >= PERCENT * either) & (ids[0][:, None] != ids[1][None, :]))
+            out = ids[0][x], ids[1][y], shared[x, y], either[x, y]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b", "shared", "either"])
+
+    place, sides = None, {0: {}, 1: {}}
+    for batch in batches:
+        here = list(zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True))
+        for i, j, data, offsets in text_slices(batch.column(5)):
+            tokens, bounds = shingle_sets(data, offsets)
+            for r in range(i, j):
+                if here[r][:3] != place:
+                    if place is not None:
+                        yield found(sides)
+                    place, sides = here[r][:3], {0: {}, 1: {}}
+                sides[here[r][3]][here[r][4]] = tokens[bounds[r - i] : bounds[r - i + 1]]
+    if place is not None:
+        yield found(sides)
+
+
+def _left_over(texts: DataFrame, judged: DataFrame, label: DataFrame) -> DataFrame | None:
+    """Links of open members that are outside the main component of their group, with all members of it; None if there are none.
+
+    Stars whose centres are linked are one group.  Members are dealt into blocks, and
+    every block of open ones meets every block of the group in some task.
+    """
+    named = label.select(F.col("node").alias("b"), "component")
+    centre = label.select(F.col("node").alias("a"), F.col("component").alias("group"))
+    grouped = judged.select("a", "b", "open").join(centre, "a", "left").withColumn("group", F.coalesce("group", "a"))
+    members = grouped.select("group", "b", "open").union(grouped.select("group", "a", F.lit(False)))
+    members = members.groupBy(F.col("group").alias("a"), "b").agg(F.max("open").alias("open"))
+    members = members.join(named, "b", "left").withColumn("component", F.coalesce("component", "b"))
+    main = members.groupBy("a", "component").agg(F.count("*").alias("n")).groupBy("a").agg(F.max(F.struct("n", "component")).alias("main"))
+    members = members.join(main, "a").withColumn("out", F.col("open") & (F.col("component") != F.col("main.component")))
+    members = written(members.select("a", "b", "out"), "jaccard-members")
+    fan = members.groupBy("a").agg(F.sum(F.col("out").cast("int")).alias("outside"), F.count("*").alias("n")).filter("outside > 0")
+    fan = written(fan.select("a", F.ceil(F.col("outside") / BLOCK).cast("int").alias("rows"), F.ceil(F.col("n") / BLOCK).cast("int").alias("columns")), "jaccard-fan")
+    if fan.isEmpty():
+        return None
+    spread = members.join(fan, "a").withColumn("hash", F.xxhash64("b"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = spread.filter("out").select("a", F.pmod("hash", "rows").cast("int").alias("i"), every("columns").alias("j"), F.lit(0).alias("side"), "b")
+    right = spread.select("a", every("rows").alias("i"), F.pmod("hash", "columns").cast("int").alias("j"), F.lit(1).alias("side"), "b")
+    rows = _with_text(texts, left.union(right), ["a", "i", "j", "side", "b"])
+    dealt = rows.repartition(partitions(texts.sparkSession), "a", "i", "j").sortWithinPartitions("a", "i", "j", "side", "b")
+    return dealt.mapInArrow(_compare, "a long, b long, shared long, either long").dropDuplicates(["a", "b"])
 
 
 def similarity_links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -274,24 +364,22 @@ def similarity_links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
     heads = sketches.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("head"), F.first("n_shingles").alias("size"))
     where = written(heads.select("node", "size", F.col("head.doc_id").alias("rep_id"), F.col("head.text_key").alias("rep_key")), "jaccard-where")
     pairs = written(candidates(sketches, where), "jaccard-pairs")
-    links = None
-    for turn in range(CENTRES + 1):
-        tested = written(verified(docs, pairs, where), "jaccard-tested")
-        good = tested.filter(f"100 * shared >= {PERCENT} * either").select("a", "b", "shared", "either")
-        links = good if links is None else links.union(good)
-        if turn == CENTRES:
-            return links
-        group = _again(tested)
-        if turn < CENTRES - 1:
-            more = group.filter("b <> next").groupBy(F.col("next").alias("a"), "b").agg(F.max("met").alias("met"))
-        else:
-            x, y = group.filter("open").alias("x"), group.alias("y")
-            within = F.abs(F.col("x.distance") - F.col("y.distance")) <= 1 - PERCENT / 100 + 1e-9
-            once = (F.col("x.b") < F.col("y.b")) | (~F.col("y.open") & (F.col("x.b") != F.col("y.b")))
-            more = x.join(y, (F.col("x.a") == F.col("y.a")) & within & once).groupBy(F.col("x.b").alias("a"), F.col("y.b").alias("b")).agg(F.max("x.met").alias("met"))
-        pairs = written(_sized(more, where), "jaccard-pairs")
+    release(docs.sparkSession)
+    texts = written(star_texts(docs, pairs, where), "jaccard-texts")
+    links = first = None
+    for _ in range(1 + CENTRES):
+        release(docs.sparkSession)
+        judged = written(_judged(verified(texts, pairs)), "jaccard-judged")
+        good = judged.filter("not failed").select("a", "b", "shared", "either")
+        links, first = good if links is None else links.union(good), judged if first is None else first
+        pairs = written(_sized(_again(judged), where), "jaccard-pairs")
         if pairs.isEmpty():
-            return links
+            break
+    release(docs.sparkSession)
+    if not first.filter("open").isEmpty():
+        rest = _left_over(texts, first, components(links))
+        links = links if rest is None else links.union(written(rest, "jaccard-rest"))
+    return links
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
@@ -324,3 +412,15 @@ def one_per_component(docs: DataFrame) -> DataFrame:
     first = keyed.filter("__words").join(found.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id"])
     rest = keyed.filter("not coalesce(__words, false)")
     return first.unionByName(rest).drop("__key", "__words")
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+i AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM i JOIN n na ON a = na.doc_id JOIN n nb ON b = nb.doc_id WHERE 100 * common >= 75 * (na.n + nb.n - common)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a)
+SELECT c.x AS doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.m AS component_id FROM (SELECT x, min(y) AS m FROM r GROUP BY x) c LEFT JOIN n ON c.x = n.doc_id
+"""

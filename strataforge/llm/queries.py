@@ -72,4 +72,10 @@ QUERIES: dict[str, Query] = {
     )
 }
 
-ORACLES: dict[str, str] = {"op1_source_mix": mixing.ORACLE_SQL, "op7_warc_index": warc.ORACLE_SQL}
+ORACLES: dict[str, str] = {
+    "op1_source_mix": mixing.ORACLE_SQL,
+    "op4_url_filter": urlfilter.ORACLE_SQL,
+    "op5_substring_dedup": substring.ORACLE_SQL,
+    "op7_warc_index": warc.ORACLE_SQL,
+    "op10_jaccard_join": jaccard.ORACLE_SQL,
+}
