@@ -367,14 +367,15 @@ def similarity_links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
     release(docs.sparkSession)
     texts = written(star_texts(docs, pairs, where), "jaccard-texts")
     links = first = None
-    for _ in range(1 + CENTRES):
+    for turn in range(1 + CENTRES):
         release(docs.sparkSession)
         judged = written(_judged(verified(texts, pairs)), "jaccard-judged")
         good = judged.filter("not failed").select("a", "b", "shared", "either")
         links, first = good if links is None else links.union(good), judged if first is None else first
-        pairs = written(_sized(_again(judged), where), "jaccard-pairs")
-        if pairs.isEmpty():
-            break
+        if turn < CENTRES:
+            pairs = written(_sized(_again(judged), where), "jaccard-pairs")
+            if pairs.isEmpty():
+                break
     release(docs.sparkSession)
     if not first.filter("open").isEmpty():
         rest = _left_over(texts, first, components(links))
