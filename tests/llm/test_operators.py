@@ -280,6 +280,19 @@ def test_url_model_tells_classes_apart(spark):
     assert got[300] == "allow" and got[301] == "block"
 
 
+def test_url_model_keeps_rare_n_grams(spark):
+    """An n-gram seen once counts however large the corpus is, and common and rare ones score alike."""
+    urls = [("aaaaaaaa", True, 10**6), ("aaaaaaab", False, 10**6), ("xyzuvw", True, 1), ("qrstuv", False, 1)]
+    model = urlfilter.language_models(spark.createDataFrame(urls, "body string, accepted boolean, n long"))
+    rows = {r["gram"]: r for r in model.collect()}
+    assert {"xyzuv", "yzuvw", "qrstu", "rstuv"} <= set(rows) and len(rows) == len({b[i:j] for b, _, _ in urls for i in range(8) for j in range(i + 1, min(i + 5, len(b)) + 1)})
+    pages = spark.createDataFrame([(1, "u", "aaaaaaab"), (2, "v", "xyzuvw"), (3, "w", "qrstuv")], "page_id long, url string, body string")
+    got = {r["page_id"]: r["v"] for r in urlfilter.scores(pages, model).groupBy("page_id").sum("value").toDF("page_id", "v").collect()}
+    for page, _, body in pages.collect():
+        assert abs(got[page] - sum(rows[body[max(0, i - 4) : i + 1]]["value"] for i in range(len(body)))) < 1e-9
+    assert got[2] > 0 > got[3]
+
+
 def test_forest_recall_and_hard_vectors(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(1500, 16)) * rng.uniform(0.5, 2, (1500, 1))
