@@ -383,6 +383,12 @@ def similarity_links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
     return links
 
 
+def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sketches' (doc_id, text_key, n_shingles, node), and (node, component) of every set that has links."""
+    sketches = written(sketched(docs), "jaccard-sketches")
+    return sketches.select("doc_id", "text_key", "n_shingles", "node"), components(similarity_links(docs, sketches))
+
+
 def similar_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``.
 
@@ -392,9 +398,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     Repeated rows and equal texts share a component.  A null doc_id never names a
     component unless it has no other.  Other columns are ignored; no rows give none.
     """
-    sketches = written(sketched(docs), "jaccard-sketches")
-    label = components(similarity_links(docs, sketches))
-    narrow = sketches.select("doc_id", "n_shingles", "node")
+    narrow, label = _labelled(docs)
     least = narrow.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = least.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     low = named.groupBy("component").agg(F.min("least").alias("low"))
@@ -404,13 +408,19 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 
 
 def one_per_component(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stand for their component: the smallest doc_id, one row of it; all columns kept.
+    """One row of ``docs`` for each component: the least doc_id, null last, and of its texts the one of least hash; all columns kept.
 
     Rows without shingles all stay.  Of rows that agree on doc_id and text one stays.
+    A doc_id that is null or stands on several texts may so stay once for each component.
     """
     keyed = docs.withColumn("__key", F.xxhash64("text")).withColumn("__words", F.rlike("text", F.lit("[^\\x20\\x09-\\x0D]")))
-    found = similar_documents(docs.select("doc_id", "text")).filter("n_shingles > 0 and doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    first = keyed.filter("__words").join(found.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id"])
+    narrow, label = _labelled(docs.select("doc_id", "text"))
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("__id"), F.col("text_key").alias("__hash"))
+    least = narrow.filter("node is not null").groupBy("node").agg(F.min(row).alias("least"))
+    named = least.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    kept = named.groupBy("component").agg(F.min("least").alias("least")).select("least.__id", "least.__hash")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__hash"))
+    first = keyed.filter("__words").join(kept.hint("shuffle_hash"), same, "left_semi").dropDuplicates(["doc_id", "__key"])
     rest = keyed.filter("not coalesce(__words, false)")
     return first.unionByName(rest).drop("__key", "__words")
 

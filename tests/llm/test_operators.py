@@ -81,6 +81,17 @@ def test_jaccard_components(docs, no_docs):
     assert sorted(i for i in ids if i is not None) == sorted({r[0] for i, r in enumerate(rows) if r[0] is not None and (not sets[i] or low[find(i)] == r[0])})
 
 
+def test_one_row_of_each_component(spark):
+    """Unrelated texts stay though their doc_id is null or one and the same; the row kept is one of its component."""
+    alone = [" ".join(words(30, 900 + k)) for k in range(8)]
+    near = " ".join(words(60, 950))
+    rows = [(None, t) for t in alone[:3]] + [(None, alone[0])] + [(5, t) for t in alone[3:6]] + [(5, alone[3]), (7, alone[6]), (9, alone[7])]
+    rows += [(9, near), (None, near + " end"), (8, near + " more words"), (None, None), (None, " ")]
+    kept = Counter(tuple(r) for r in jaccard.one_per_component(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = {(None, t) for t in alone[:3]} | {(5, t) for t in alone[3:6]} | {(7, alone[6]), (9, alone[7]), (8, near + " more words"), (None, None), (None, " ")}
+    assert kept == Counter(want)
+
+
 def test_sketch_lower_bound():
     """Blocks that differ are no more than the shingles that do, and equal sets have equal keys."""
     a, b = np.sort(np.random.default_rng(0).integers(0, 2**63, 300).astype(np.uint64)), None
