@@ -15,12 +15,13 @@ threshold, at the band's upper end) agrees on no block is below e^-``MISS``.
 
 Texts meet in stars: each is paired with the least member of its block's group,
 never with all of them.  Pairs whose sizes allow the threshold are verified on
-the exact sets.  A linked pair shares ``MISS`` blocks or more on average; it can be
+the exact sets; the centre failed the others unseen.  A linked pair shares ``MISS`` blocks or more on average; it can be
 left apart only if in all of those the centre failed one of the two.  Members
 that failed in at least ``OPEN`` blocks therefore meet again around the member
 most like the centres: of a text and its edited copies that is the text, which all
-copies resemble more than each other.  What is still outside the main component
-of its linked stars after ``CENTRES`` turns is compared exactly, in blocks of members.
+copies resemble more than each other.  Members of linked stars that are in different
+components after ``CENTRES`` turns are compared exactly, in blocks of members, if one
+of the two failed so often.
 """
 
 from __future__ import annotations
@@ -219,7 +220,7 @@ def sketched(docs: DataFrame) -> DataFrame:
 
 
 def candidates(sketches: DataFrame, where: DataFrame) -> DataFrame:
-    """(a, b, met): different sets that agree on ``met`` sketch blocks whose least set is a, and whose sizes allow a link."""
+    """(a, b, met, fits): different sets that agree on ``met`` sketch blocks whose least set is a, and whether their sizes allow a link."""
     spark = sketches.sparkSession
     rows = sketches.filter("node is not null").select(F.explode("keys").alias("key"), "node")
     dealt = rows.repartition(partitions(spark), "key").sortWithinPartitions("key", "node")
@@ -229,8 +230,8 @@ def candidates(sketches: DataFrame, where: DataFrame) -> DataFrame:
 
 def _sized(pairs: DataFrame, where: DataFrame) -> DataFrame:
     left, right = (where.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}")) for x in "ab")
-    fits = f"100 * least(size_a, size_b) >= {PERCENT} * greatest(size_a, size_b)"
-    return pairs.join(left, "a").join(right, "b").filter(fits).select(*pairs.columns)
+    fits = F.expr(f"100 * least(size_a, size_b) >= {PERCENT} * greatest(size_a, size_b)")
+    return pairs.join(left, "a").join(right, "b").select(*pairs.columns, fits.alias("fits"))
 
 
 def star_texts(docs: DataFrame, pairs: DataFrame, where: DataFrame) -> DataFrame:
@@ -262,9 +263,10 @@ def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return sizes.join(pairs, ["a", "b"])
 
 
-def _judged(tested: DataFrame) -> DataFrame:
-    """Tested stars with the distance from the centre, and what failed, and is open: failed in ``OPEN`` blocks or more."""
-    tested = tested.withColumn("distance", 1 - F.col("shared") / F.col("either")).withColumn("failed", F.expr(f"100 * shared < {PERCENT} * either"))
+def _judged(tested: DataFrame, unfit: DataFrame) -> DataFrame:
+    """Stars with the distance from the centre (null for pairs that do not fit by size), and what failed, and is open: failed in ``OPEN`` blocks or more."""
+    tested = tested.unionByName(unfit.select("a", "b", "met"), allowMissingColumns=True)
+    tested = tested.withColumn("distance", 1 - F.col("shared") / F.col("either")).withColumn("failed", F.expr(f"coalesce(100 * shared < {PERCENT} * either, true)"))
     often = tested.filter("failed").groupBy("b").agg(F.sum("met").alias("times")).filter(F.col("times") >= OPEN).select("b", F.lit(True).alias("often"))
     return tested.join(often, "b", "left").withColumn("open", F.col("failed") & F.coalesce("often", F.lit(False))).drop("often")
 
@@ -277,7 +279,7 @@ def _again(judged: DataFrame) -> DataFrame:
     for all stars that share it, which so become one star.  Around it meet those
     that failed or that the triangle inequality lets link with one that did.
     """
-    central = judged.groupBy("b").agg(F.avg("distance").alias("central"))
+    central = judged.groupBy("b").agg(F.coalesce(F.avg("distance"), F.lit(1.0)).alias("central"))
     rows = judged.join(central, "b")
     stars = rows.groupBy("a").agg(F.min(F.struct("central", "b")).alias("next"), F.min(F.when(F.col("open"), F.col("distance"))).alias("least")).filter("least is not null")
     near = F.col("failed") | (F.col("distance") >= F.col("least") - (1 - PERCENT / 100) - 1e-9)
@@ -332,10 +334,12 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _left_over(texts: DataFrame, judged: DataFrame, label: DataFrame) -> DataFrame | None:
-    """Links of open members that are outside the main component of their group, with all members of it; None if there are none.
+    """Links between members of a group that are in different components, one of the two open; None if there are none to compare.
 
-    Stars whose centres are linked are one group.  Members are dealt into blocks, and
-    every block of open ones meets every block of the group in some task.
+    Stars whose centres are linked are one group.  One of the two is outside the group's
+    main component: open ones there meet all members (half 0), others the open ones
+    of the main component (half 1).  Members are dealt into blocks, and every block of
+    one side meets every block of the other in some task.
     """
     named = label.select(F.col("node").alias("b"), "component")
     centre = label.select(F.col("node").alias("a"), F.col("component").alias("group"))
@@ -344,16 +348,20 @@ def _left_over(texts: DataFrame, judged: DataFrame, label: DataFrame) -> DataFra
     members = members.groupBy(F.col("group").alias("a"), "b").agg(F.max("open").alias("open"))
     members = members.join(named, "b", "left").withColumn("component", F.coalesce("component", "b"))
     main = members.groupBy("a", "component").agg(F.count("*").alias("n")).groupBy("a").agg(F.max(F.struct("n", "component")).alias("main"))
-    members = members.join(main, "a").withColumn("out", F.col("open") & (F.col("component") != F.col("main.component")))
-    members = written(members.select("a", "b", "out"), "jaccard-members")
-    fan = members.groupBy("a").agg(F.sum(F.col("out").cast("int")).alias("outside"), F.count("*").alias("n")).filter("outside > 0")
-    fan = written(fan.select("a", F.ceil(F.col("outside") / BLOCK).cast("int").alias("rows"), F.ceil(F.col("n") / BLOCK).cast("int").alias("columns")), "jaccard-fan")
+    members = members.join(main, "a").withColumn("out", F.col("component") != F.col("main.component"))
+    members = written(members.select("a", "b", "open", "out"), "jaccard-members")
+    n = lambda condition: F.count_if(F.expr(condition))
+    halves = F.array(F.struct(F.lit(0).alias("half"), n("open and out").alias("left"), F.count("*").alias("right")), F.struct(F.lit(1).alias("half"), n("out and not open").alias("left"), n("open and not out").alias("right")))
+    fan = members.groupBy("a").agg(halves.alias("halves")).select("a", F.inline("halves")).filter("left > 0 and right > 0")
+    fan = written(fan.select("a", "half", F.ceil(F.col("left") / BLOCK).cast("int").alias("rows"), F.ceil(F.col("right") / BLOCK).cast("int").alias("columns")), "jaccard-fan")
     if fan.isEmpty():
         return None
-    spread = members.join(fan, "a").withColumn("hash", F.xxhash64("b"))
+    both = F.explode(F.expr("if(open and not out, array(0, 1), array(0))"))
+    spread = lambda m: m.join(fan, ["a", "half"]).withColumn("hash", F.xxhash64("b"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = spread.filter("out").select("a", F.pmod("hash", "rows").cast("int").alias("i"), every("columns").alias("j"), F.lit(0).alias("side"), "b")
-    right = spread.select("a", every("rows").alias("i"), F.pmod("hash", "columns").cast("int").alias("j"), F.lit(1).alias("side"), "b")
+    left = spread(members.filter("out").withColumn("half", F.expr("if(open, 0, 1)"))).select("a", "half", F.pmod("hash", "rows").cast("int").alias("i"), every("columns").alias("j"), F.lit(0).alias("side"), "b")
+    right = spread(members.withColumn("half", both)).select("a", "half", every("rows").alias("i"), F.pmod("hash", "columns").cast("int").alias("j"), F.lit(1).alias("side"), "b")
+    left, right = (x.select("a", (2 * F.col("i") + F.col("half")).alias("i"), "j", "side", "b") for x in (left, right))
     rows = _with_text(texts, left.union(right), ["a", "i", "j", "side", "b"])
     dealt = rows.repartition(partitions(texts.sparkSession), "a", "i", "j").sortWithinPartitions("a", "i", "j", "side", "b")
     return dealt.mapInArrow(_compare, "a long, b long, shared long, either long").dropDuplicates(["a", "b"])
@@ -369,12 +377,12 @@ def similarity_links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
     links = first = None
     for turn in range(1 + CENTRES):
         release(docs.sparkSession)
-        judged = written(_judged(verified(texts, pairs)), "jaccard-judged")
+        judged = written(_judged(verified(texts, pairs.filter("fits").drop("fits")), pairs.filter("not fits")), "jaccard-judged")
         good = judged.filter("not failed").select("a", "b", "shared", "either")
         links, first = good if links is None else links.union(good), judged if first is None else first
         if turn < CENTRES:
             pairs = written(_sized(_again(judged), where), "jaccard-pairs")
-            if pairs.isEmpty():
+            if pairs.filter("fits").isEmpty():
                 break
     release(docs.sparkSession)
     if not first.filter("open").isEmpty():

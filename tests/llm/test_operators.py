@@ -108,6 +108,25 @@ def test_leftovers_meet_in_blocks(spark, docs, monkeypatch):
     test_jaccard_components(docs, docs.limit(0))
 
 
+def test_centres_of_unfitting_size(spark):
+    """Texts that link with each other meet though the centres of all their blocks are too long for them."""
+    passage = [f"common{k}" for k in range(23)]
+    long = [(100 + k, " ".join(passage + [f"l{k}x{i}" for i in range(11)])) for k in range(300)]
+    short = [(k, " ".join(passage + [f"s{k}x{i}" for i in range(3)])) for k in range(1, 9)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_documents(spark.createDataFrame(long + short, "doc_id long, text string")).collect()}
+    assert got == {k: k for k, _ in long} | {k: 1 for k, _ in short}
+
+
+def test_open_members_of_the_main_component(spark):
+    """One open in the main component (3) meets one outside it that is not open (2)."""
+    texts = {1: words(40, 1), 2: words(40, 2), 3: words(40, 2) + ["end"], 4: words(40, 4), 5: words(40, 5)}
+    texts = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "node long, text string")
+    judged = spark.createDataFrame([(1, 2, False), (1, 3, True), (1, 4, False), (1, 5, False)], "a long, b long, open boolean")
+    label = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3), (5, 3)], "node long, component long")
+    rest = jaccard._left_over(texts, judged, label)
+    assert rest is not None and {tuple(sorted(r[:2])) for r in rest.collect()} == {(2, 3)}
+
+
 def test_substring_removal(docs, no_docs):
     rows = corpus()
     split = [WORD.findall(r[1] or "") for r in rows]
