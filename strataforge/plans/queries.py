@@ -392,8 +392,8 @@ def fun45_density(spark, sf):
 
 @query("""WITH e AS (SELECT DISTINCT s_nationkey AS n, l_partkey % 50 AS p FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity > 49) SELECT x.n::VARCHAR AS a, y.n::VARCHAR AS b, count(*) AS shared FROM e x JOIN e y ON x.p = y.p AND x.n::VARCHAR < y.n::VARCHAR GROUP BY 1, 2 HAVING count(*) >= 2""")
 def gq23_shared_neighbours(spark, sf):
-    line = D.table(spark, sf, "lineitem").filter("l_quantity > 49").join(D.table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    e = line.select(F.col("s_nationkey").cast("string").alias("src"), F.lit("SUPPLIES").alias("type"), (F.col("l_partkey") % 50).cast("string").alias("dst"))
+    line = D.table(spark, sf, "lineitem").join(D.table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    e = line.select(F.col("s_nationkey").cast("string").alias("src"), F.lit("SUPPLIES").alias("type"), F.col("l_partkey").cast("string").alias("dst"))
     return G.co_neighbours(e, "SUPPLIES", 2)
 
 
