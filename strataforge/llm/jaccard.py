@@ -13,10 +13,11 @@ texts meet.  Where that leaves few blocks, a text has several sketches under
 other hash seeds, until the bound on the chance that a worst-case pair (at the
 threshold, at the band's upper end) agrees on no block is below e^-``MISS``.
 
-Texts meet in stars: each is paired with the least member of its block's group,
-never with all of them.  Pairs whose sizes allow the threshold are verified on
-the exact sets; the centre failed the others unseen.  A linked pair shares ``MISS`` blocks or more on average; it can be
-left apart only if in all of those the centre failed one of the two.  Members
+Texts meet in stars: each is paired with the centre of its block's group, the member
+that has the least part of its blocks to itself, never with all of them.  Pairs whose
+sizes allow the threshold are verified on the exact sets; the centre failed the others
+unseen.  A linked pair shares ``MISS`` blocks or more on average; it can be left apart
+only if in all of those the centre failed one of the two.  Members
 that failed in at least ``OPEN`` blocks therefore meet again around the member
 most like the centres: of a text and its edited copies that is the text, which all
 copies resemble more than each other.  Members of linked stars that are in different
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernel import ASCII_LOWER, U64, Words, grams, mix, ragged, text_slices, word_prefix
-from .workspace import partitions, release, written
+from .workspace import discard, partitions, release, written
 
 SHINGLE = 5
 #: Similarity threshold in percent.
@@ -146,6 +147,8 @@ def sketch_keys(tokens: np.ndarray, bounds: np.ndarray, percent: int = PERCENT)
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's set; its keys only where a task meets the set first (a third of all rows may be one text)."""
+    seen: set[int] = set()
     for batch in batches:
         for i, j, data, offsets in text_slices(batch.column(2)):
             tokens, bounds = shingle_sets(data, offsets)
@@ -154,6 +157,12 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.cumsum(mix(tokens ^ U64(0x2545F4914F6CDD1D)), out=sums[1:])
             node = mix(sums[bounds[1:]] - sums[bounds[:-1]] + size.astype(U64)).view(np.int64)
             text, key = sketch_keys(tokens, bounds)
+            fresh = np.zeros(j - i, bool)
+            for r in np.unique(node, return_index=True)[1]:
+                if node[r] not in seen:
+                    fresh[r] = True
+                    seen.add(int(node[r]))
+            text, key = text[fresh[text]], key[fresh[text]]
             order = np.argsort(text, kind="stable")
             ends = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=j - i))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -168,37 +177,34 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (key, node) in order: each node with the first of its key's group, and the keys they met in."""
-    key_was = rep_was = node_was = None
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (key, node) in order: the rows, each once, of keys that two or more sets have."""
+    held = np.empty((2, 0), np.int64)
+    linked = False  # the held row has the key of the one before it
     for batch in batches:
-        key, node = (batch.column(k).to_numpy() for k in (0, 1))
-        if not len(key):
+        rows = np.concatenate([held, np.stack([batch.column(k).to_numpy() for k in (0, 1)])], 1)
+        new = np.ones(rows.shape[1], bool)
+        new[1:] = (rows[:, 1:] != rows[:, :-1]).any(0)
+        rows = rows[:, new]
+        if not rows.shape[1]:
             continue
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        new[0] = key[0] != key_was if key_was is not None else True
-        begin = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-        rep = np.where(begin >= 0, node[begin], rep_was if rep_was is not None else 0)
-        key_was, rep_was = key[-1], rep[-1]
-        differs = node != rep
-        repeat = np.zeros(len(key), bool)
-        repeat[1:] = (key[1:] == key[:-1]) & (node[1:] == node[:-1])
-        repeat[0] = node_was is not None and not new[0] and node[0] == node_was
-        node_was = node[-1]
-        differs &= ~repeat
-        pairs, met = np.unique(np.stack([rep[differs], node[differs]], 1), axis=0, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(met)], names=["a", "b", "met"])
+        same = rows[0, 1:] == rows[0, :-1]
+        before, after = np.concatenate([[linked], same]), np.concatenate([same, [False]])
+        held, linked = rows[:, -1:], bool(before[-1])
+        out = rows[:, :-1][:, (before | after)[:-1]]
+        yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1])], names=["key", "node"])
+    if linked:
+        yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], names=["key", "node"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (a, part, role, b, text) in order, the centre's text (role 0) first: exact set sizes per pair."""
+    """From (a, part, role, b, met, text) in order, the centre's text (role 0) first: exact set sizes per pair."""
     centre_was, centre = None, np.empty(0, U64)
     for batch in batches:
-        a, part, role, b = (batch.column(k).to_numpy() for k in range(4))
-        for i, j, data, offsets in text_slices(batch.column(4)):
+        a, part, role, b, met = (batch.column(k).to_numpy() for k in range(5))
+        for i, j, data, offsets in text_slices(batch.column(5)):
             tokens, bounds = shingle_sets(data, offsets)
-            left, right, both, either = [], [], [], []
+            left, right, both, either, meet = [], [], [], [], []
             for r in range(i, j):
                 own = tokens[bounds[r - i] : bounds[r - i + 1]]
                 if role[r] == 0:
@@ -209,22 +215,39 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     continue  # a repeated row
                 at = np.searchsorted(centre, own)
                 shared = int(np.count_nonzero(centre[np.minimum(at, len(centre) - 1)] == own)) if len(centre) else 0
-                left.append(a[r]), right.append(b[r]), both.append(shared), either.append(len(centre) + len(own) - shared)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (left, right, both, either)], names=["a", "b", "shared", "either"])
+                left.append(a[r]), right.append(b[r]), both.append(shared), either.append(len(centre) + len(own) - shared), meet.append(met[r])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (left, right, both, either, meet)], names=["a", "b", "shared", "either", "met"])
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, n_shingles, node, keys) of every row; node names the shingle set (null if empty)."""
+    """(doc_id, text_key, n_shingles, node, keys) of every row; node names the shingle set (null if empty).
+
+    Of equal sets that one task reads, the first alone has keys.
+    """
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     return rows.mapInArrow(_sketch, "doc_id long, text_key long, n_shingles long, node long, keys array<long>")
 
 
 def candidates(sketches: DataFrame, where: DataFrame) -> DataFrame:
-    """(a, b, met, fits): different sets that agree on ``met`` sketch blocks whose least set is a, and whether their sizes allow a link."""
+    """(a, b, met, fits): different sets that agree on ``met`` sketch blocks whose centre is a, and whether their sizes allow a link.
+
+    The centre of a block's group is the member with the least part of its keys to
+    itself.  Edits give a copy blocks that nobody else has, while all blocks of the text
+    it was made from are shared, so one text is the centre of nearly all its copies'
+    blocks, and a copy meets it alone instead of another copy in every block.
+    """
     spark = sketches.sparkSession
     rows = sketches.filter("node is not null").select(F.explode("keys").alias("key"), "node")
     dealt = rows.repartition(partitions(spark), "key").sortWithinPartitions("key", "node")
-    pairs = dealt.mapInArrow(_stars, "a long, b long, met long").groupBy("a", "b").agg(F.sum("met").alias("met"))
+    met = written(dealt.mapInArrow(_shared, "key long, node long"), "jaccard-met")
+    release(spark)
+    own = met.groupBy("node").agg(F.count("*").alias("n")).join(where, "node").select("node", (1 - F.col("n") / F.col("n_keys")).alias("alone"))
+    ranked = written(met.join(own, "node"), "jaccard-ranked")
+    discard(met)
+    centres = ranked.groupBy("key").agg(F.min(F.struct("alone", "node")).alias("centre")).select("key", F.col("centre.node").alias("a"))
+    stars = ranked.join(centres, "key").filter("a <> node")
+    pairs = written(stars.groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("met")), "jaccard-stars")
+    discard(ranked)
     return _sized(pairs, where)
 
 
@@ -255,12 +278,11 @@ def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     spark = texts.sparkSession
     fan = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(STAR_PART)).cast("int").alias("parts"))
-    members = pairs.join(fan, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"), "b")
-    centres = fan.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("a").alias("b"))
-    rows = _with_text(texts, members.union(centres), ["a", "part", "role", "b"])
+    members = pairs.join(fan, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"), "b", "met")
+    centres = fan.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("a").alias("b"), F.lit(0).cast("long").alias("met"))
+    rows = _with_text(texts, members.union(centres), ["a", "part", "role", "b", "met"])
     dealt = rows.repartition(partitions(spark), "a", "part").sortWithinPartitions("a", "part", "role", "b")
-    sizes = dealt.mapInArrow(_verify, "a long, b long, shared long, either long").dropDuplicates(["a", "b"])
-    return sizes.join(pairs, ["a", "b"])
+    return dealt.mapInArrow(_verify, "a long, b long, shared long, either long, met long").dropDuplicates(["a", "b"])
 
 
 def _judged(tested: DataFrame, unfit: DataFrame) -> DataFrame:
@@ -369,8 +391,8 @@ def _left_over(texts: DataFrame, judged: DataFrame, label: DataFrame) -> DataFra
 
 def similarity_links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Links (a, b, shared, either) between different shingle sets; every linked pair is joined by a chain of links."""
-    heads = sketches.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("head"), F.first("n_shingles").alias("size"))
-    where = written(heads.select("node", "size", F.col("head.doc_id").alias("rep_id"), F.col("head.text_key").alias("rep_key")), "jaccard-where")
+    heads = sketches.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("head"), F.first("n_shingles").alias("size"), F.max(F.size("keys")).alias("n_keys"))
+    where = written(heads.select("node", "size", "n_keys", F.col("head.doc_id").alias("rep_id"), F.col("head.text_key").alias("rep_key")), "jaccard-where")
     pairs = written(candidates(sketches, where), "jaccard-pairs")
     release(docs.sparkSession)
     texts = written(star_texts(docs, pairs, where), "jaccard-texts")
@@ -381,6 +403,7 @@ def similarity_links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
         good = judged.filter("not failed").select("a", "b", "shared", "either")
         links, first = good if links is None else links.union(good), judged if first is None else first
         if turn < CENTRES:
+            discard(pairs)
             pairs = written(_sized(_again(judged), where), "jaccard-pairs")
             if pairs.filter("fits").isEmpty():
                 break
@@ -388,6 +411,7 @@ def similarity_links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
     if not first.filter("open").isEmpty():
         rest = _left_over(texts, first, components(links))
         links = links if rest is None else links.union(written(rest, "jaccard-rest"))
+    discard(pairs, texts, where)
     return links
 
 

@@ -1,8 +1,8 @@
 """Shared scratch tables and size-checked broadcasts.
 
 Tables go below ``spark.checkpoint.dir``, which all executors and the driver
-share.  Only where the session names none (local tests) a folder of our own is
-set.  A written table cuts the lineage and outlives any executor.
+share.  Only a local session that names none gets a folder of its own; on a cluster
+that is an error.  A written table cuts the lineage and outlives any executor.
 """
 
 from __future__ import annotations
@@ -25,8 +25,11 @@ _mine: list[tuple[SparkSession, str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
+    """The folder all executors share; a local session that names none gets a folder of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="strataforge-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -54,17 +57,22 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Remove a scratch path that no later plan reads."""
-    _remove(spark, path)
+def discard(*tables: DataFrame) -> None:
+    """Remove tables made by ``written`` that no later plan reads."""
+    for table in tables:
+        path = table.__dict__["scratch_path"]
+        _remove(table.sparkSession, path)
+        _mine[:] = [x for x in _mine if x[1] != path]
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the table read back."""
+    """Write ``df`` to the shared folder and return the table read back; ``discard`` removes it."""
     spark = df.sparkSession
     path = scratch(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.__dict__["scratch_path"] = path
+    return table
 
 
 def release(spark: SparkSession) -> None:
