@@ -399,7 +399,9 @@ def similarity_links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
     links = first = None
     for turn in range(1 + CENTRES):
         release(docs.sparkSession)
-        judged = written(_judged(verified(texts, pairs.filter("fits").drop("fits")), pairs.filter("not fits")), "jaccard-judged")
+        tested = written(verified(texts, pairs.filter("fits").drop("fits")), "jaccard-tested")  # read twice below
+        judged = written(_judged(tested, pairs.filter("not fits")), "jaccard-judged")
+        discard(tested)
         good = judged.filter("not failed").select("a", "b", "shared", "either")
         links, first = good if links is None else links.union(good), judged if first is None else first
         if turn < CENTRES:
