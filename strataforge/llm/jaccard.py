@@ -17,12 +17,9 @@ Texts meet in stars: each is paired with the centre of its block's group, the me
 that has the least part of its blocks to itself, never with all of them.  Pairs whose
 sizes allow the threshold are verified on the exact sets; the centre failed the others
 unseen.  A linked pair shares ``MISS`` blocks or more on average; it can be left apart
-only if in all of those the centre failed one of the two.  Members
-that failed in at least ``OPEN`` blocks therefore meet again around the member
-most like the centres: of a text and its edited copies that is the text, which all
-copies resemble more than each other.  Members of linked stars that are in different
-components after ``CENTRES`` turns are compared exactly, in blocks of members, if one
-of the two failed so often.
+only if in all of those the centre failed one of the two.  Members of linked stars
+that are in different components are therefore compared exactly, in blocks of members,
+if one of the two failed in at least ``OPEN`` blocks.
 """
 
 from __future__ import annotations
@@ -32,12 +29,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
 from .kernel import ASCII_LOWER, U64, Words, grams, mix, ragged, text_slices, word_prefix
-from .workspace import discard, partitions, release, written
+from .workspace import checked_broadcast, discard, partitions, release, written
 
 SHINGLE = 5
 #: Similarity threshold in percent.
@@ -50,8 +47,11 @@ CROWD = 3.5
 OPEN = 2
 #: Members of a star that one task verifies, give or take chance.
 STAR_PART = 1024
-#: Turns around new centres before what is left is compared in blocks, and members of a block.
-CENTRES, BLOCK = 1, 256
+#: Members of a block of the last comparison.
+BLOCK = 256
+
+#: Whether the sizes of a pair allow a link.
+FITS = f"100 * least(size_a, size_b) >= {PERCENT} * greatest(size_a, size_b)"
 
 _BANDS: dict[tuple[int, int], tuple[int, int]] = {}
 
@@ -229,7 +229,7 @@ def sketched(docs: DataFrame) -> DataFrame:
 
 
 def candidates(sketches: DataFrame, where: DataFrame) -> DataFrame:
-    """(a, b, met, fits): different sets that agree on ``met`` sketch blocks whose centre is a, and whether their sizes allow a link.
+    """(a, b, met, size_a, size_b), written: different sets that agree on ``met`` sketch blocks whose centre is a.
 
     The centre of a block's group is the member with the least part of its keys to
     itself.  Edits give a copy blocks that nobody else has, while all blocks of the text
@@ -241,20 +241,14 @@ def candidates(sketches: DataFrame, where: DataFrame) -> DataFrame:
     dealt = rows.repartition(partitions(spark), "key").sortWithinPartitions("key", "node")
     met = written(dealt.mapInArrow(_shared, "key long, node long"), "jaccard-met")
     release(spark)
-    own = met.groupBy("node").agg(F.count("*").alias("n")).join(where, "node").select("node", (1 - F.col("n") / F.col("n_keys")).alias("alone"))
+    own = met.groupBy("node").agg(F.count("*").alias("n")).join(where, "node").select("node", "size", (1 - F.col("n") / F.col("n_keys")).alias("alone"))
     ranked = written(met.join(own, "node"), "jaccard-ranked")
     discard(met)
-    centres = ranked.groupBy("key").agg(F.min(F.struct("alone", "node")).alias("centre")).select("key", F.col("centre.node").alias("a"))
-    stars = ranked.join(centres, "key").filter("a <> node")
-    pairs = written(stars.groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("met")), "jaccard-stars")
+    centres = ranked.groupBy("key").agg(F.min(F.struct("alone", "node", "size")).alias("centre")).select("key", "centre")
+    stars = ranked.join(centres, "key").select(F.col("centre.node").alias("a"), F.col("node").alias("b"), F.col("centre.size").alias("size_a"), F.col("size").alias("size_b")).filter("a <> b")
+    pairs = written(stars.groupBy("a", "b").agg(F.count("*").alias("met"), F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b")), "jaccard-pairs")
     discard(ranked)
-    return _sized(pairs, where)
-
-
-def _sized(pairs: DataFrame, where: DataFrame) -> DataFrame:
-    left, right = (where.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}")) for x in "ab")
-    fits = F.expr(f"100 * least(size_a, size_b) >= {PERCENT} * greatest(size_a, size_b)")
-    return pairs.join(left, "a").join(right, "b").select(*pairs.columns, fits.alias("fits"))
+    return pairs
 
 
 def star_texts(docs: DataFrame, pairs: DataFrame, where: DataFrame) -> DataFrame:
@@ -277,8 +271,9 @@ def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     A star of many members is dealt to several tasks, each with the centre's text.
     """
     spark = texts.sparkSession
-    fan = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(STAR_PART)).cast("int").alias("parts"))
-    members = pairs.join(fan, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"), "b", "met")
+    fan = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(STAR_PART)).cast("int").alias("parts")), "jaccard-fan")
+    wide = checked_broadcast(fan.filter("parts > 1"))
+    members = pairs.join(wide, "a", "left").select("a", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), F.lit(1).alias("role"), "b", "met")
     centres = fan.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("a").alias("b"), F.lit(0).cast("long").alias("met"))
     rows = _with_text(texts, members.union(centres), ["a", "part", "role", "b", "met"])
     dealt = rows.repartition(partitions(spark), "a", "part").sortWithinPartitions("a", "part", "role", "b")
@@ -286,27 +281,11 @@ def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _judged(tested: DataFrame, unfit: DataFrame) -> DataFrame:
-    """Stars with the distance from the centre (null for pairs that do not fit by size), and what failed, and is open: failed in ``OPEN`` blocks or more."""
+    """Star pairs with what failed (null sizes for pairs that do not fit), and what is open: b failed in ``OPEN`` blocks or more."""
     tested = tested.unionByName(unfit.select("a", "b", "met"), allowMissingColumns=True)
-    tested = tested.withColumn("distance", 1 - F.col("shared") / F.col("either")).withColumn("failed", F.expr(f"coalesce(100 * shared < {PERCENT} * either, true)"))
-    often = tested.filter("failed").groupBy("b").agg(F.sum("met").alias("times")).filter(F.col("times") >= OPEN).select("b", F.lit(True).alias("often"))
-    return tested.join(often, "b", "left").withColumn("open", F.col("failed") & F.coalesce("often", F.lit(False))).drop("often")
-
-
-def _again(judged: DataFrame) -> DataFrame:
-    """Pairs (a, b, met) of new stars from judged ones.
-
-    A star's next centre is its member that resembles the centres it was tested with
-    most, on average: of edited copies of one text the least edited, and the same
-    for all stars that share it, which so become one star.  Around it meet those
-    that failed or that the triangle inequality lets link with one that did.
-    """
-    central = judged.groupBy("b").agg(F.coalesce(F.avg("distance"), F.lit(1.0)).alias("central"))
-    rows = judged.join(central, "b")
-    stars = rows.groupBy("a").agg(F.min(F.struct("central", "b")).alias("next"), F.min(F.when(F.col("open"), F.col("distance"))).alias("least")).filter("least is not null")
-    near = F.col("failed") | (F.col("distance") >= F.col("least") - (1 - PERCENT / 100) - 1e-9)
-    rows = judged.join(stars, "a").filter(near & (F.col("b") != F.col("next.b")))
-    return rows.groupBy(F.col("next.b").alias("a"), "b").agg(F.max("met").alias("met"))
+    tested = tested.withColumn("failed", F.expr(f"coalesce(100 * shared < {PERCENT} * either, true)"))
+    times = F.sum(F.when(F.col("failed"), F.col("met"))).over(Window.partitionBy("b"))  # as many rows as b has stars
+    return tested.withColumn("open", F.col("failed") & (times >= OPEN))
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,27 +372,19 @@ def similarity_links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Links (a, b, shared, either) between different shingle sets; every linked pair is joined by a chain of links."""
     heads = sketches.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("head"), F.first("n_shingles").alias("size"), F.max(F.size("keys")).alias("n_keys"))
     where = written(heads.select("node", "size", "n_keys", F.col("head.doc_id").alias("rep_id"), F.col("head.text_key").alias("rep_key")), "jaccard-where")
-    pairs = written(candidates(sketches, where), "jaccard-pairs")
+    pairs = candidates(sketches, where)
     release(docs.sparkSession)
     texts = written(star_texts(docs, pairs, where), "jaccard-texts")
-    links = first = None
-    for turn in range(1 + CENTRES):
-        release(docs.sparkSession)
-        tested = written(verified(texts, pairs.filter("fits").drop("fits")), "jaccard-tested")  # read twice below
-        judged = written(_judged(tested, pairs.filter("not fits")), "jaccard-judged")
-        discard(tested)
-        good = judged.filter("not failed").select("a", "b", "shared", "either")
-        links, first = good if links is None else links.union(good), judged if first is None else first
-        if turn < CENTRES:
-            discard(pairs)
-            pairs = written(_sized(_again(judged), where), "jaccard-pairs")
-            if pairs.filter("fits").isEmpty():
-                break
     release(docs.sparkSession)
-    if not first.filter("open").isEmpty():
-        rest = _left_over(texts, first, components(links))
+    tested = written(verified(texts, pairs.filter(FITS)), "jaccard-tested")
+    judged = written(_judged(tested, pairs.filter(f"not ({FITS})")), "jaccard-judged")
+    discard(tested, pairs, where)
+    links = judged.filter("not failed").select("a", "b", "shared", "either")
+    if not judged.filter("open").isEmpty():
+        release(docs.sparkSession)
+        rest = _left_over(texts, judged, components(links))
         links = links if rest is None else links.union(written(rest, "jaccard-rest"))
-    discard(pairs, texts, where)
+    discard(texts)
     return links
 
 

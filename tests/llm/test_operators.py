@@ -102,8 +102,7 @@ def test_sketch_lower_bound():
 
 
 def test_leftovers_meet_in_blocks(spark, docs, monkeypatch):
-    """With stars that always fail to bring open members together, the block comparison alone finds the links."""
-    monkeypatch.setattr(jaccard, "CENTRES", 0)
+    """Blocks of two members find the same links."""
     monkeypatch.setattr(jaccard, "BLOCK", 2)
     test_jaccard_components(docs, docs.limit(0))
 
