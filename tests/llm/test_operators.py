@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -378,6 +379,41 @@ def test_html_extraction(spark):
     assert extraction.extract(pages.limit(0)).count() == 0
 
 
+LONG = "word " * 45
+LAYOUT_CASES = [
+    (f'<article><section class="related-work"><p>{LONG}</p></section></article>', LONG.strip()),
+    (f'<div id="ad-hoc-networks"><h1>Ad hoc</h1><p>{LONG}<p>end of it</div>', f"Ad hoc\n{LONG.strip()}\nend of it"),
+    (f"<article><h1>A title</h1><p>{LONG}</p><h2>Further reading</h2><ul><li><a href=x>One link</a><li><a href=y>Two links</a></ul><p>Thanks for reading.</p></article><footer>(c) x</footer>", f"A title\n{LONG.strip()}\nFurther reading\nOne link\nTwo links\nThanks for reading."),
+    ("<h1>Title here</h1><p>Short one here.</p><p>Another short para.</p>", "Title here\nShort one here.\nAnother short para."),
+    ('<p>first words here</p><svg width="1" /><p>second words here</p>', "first words here\nsecond words here"),
+    ("<article><p>a <button>x</button> b</p><p><button>un<p>c d e f</article>", "a b\nun\nc d e f"),
+    (f"<form id=aspnetForm><nav><a href=/>x</a></nav><main><h1>Hi</h1><p>{LONG}</p></main><p>Subscribe</p></form>", f"Hi\n{LONG.strip()}"),
+    (f'<div class="post-comments"><p>{LONG}</p></div><div class="entry-content"><p>hello there</p></div>', "hello there"),
+    (f'<div id=siteHeader><a href=/>Home</a></div><article><p>{LONG}</p><div class="comment-list"><p>{LONG}</p></div></article>', LONG.strip()),
+    (f"<table><tr><td><ul><li><a>One</a><li><a>Two</a><li><a>Six</a></ul></td><td><p>{LONG}</p><p>{LONG}</p></td></tr></table>", f"{LONG.strip()}\n{LONG.strip()}"),
+    (f'<body class="page sidebar-left"><main><p>{LONG}</main><aside><p>{LONG}</aside>', LONG.strip()),
+    (f'<div class="cookie-notice"><p>{LONG}</p></div><article><header><h1>T</h1></header><p>{LONG}</p></article>', f"T\n{LONG.strip()}"),
+]
+
+
+@pytest.mark.parametrize("case", range(len(LAYOUT_CASES)))
+def test_html_layouts(case):
+    page, text = LAYOUT_CASES[case]
+    assert extraction.main_text(page) == text
+
+
+@pytest.mark.parametrize("unit", ["<a ", '<a "', "<a '\"", "<script ", "<!", "<svg>", "<button>", "<div>", "</div>", '<b a="<', "<!-- ", "text & "])
+def test_html_in_linear_time(unit):
+    began = time.time()
+    extraction.blocks(unit * (1_000_000 // len(unit)))
+    assert time.time() - began < 10
+
+
+def test_tree_agrees_with_its_pages():
+    table = extraction.labelled()
+    assert (extraction.grown().predict(table[:, :-1]) == table[:, -1]).all()
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (7, 7), (None, 3), (101, 100)], "a long, b long")
     got = {r[0]: r[1] for r in components.components(links).collect()}
