@@ -15,11 +15,13 @@ threshold, at the band's upper end) agrees on no block is below e^-``MISS``.
 
 Texts meet in stars: each is paired with the centre of its block's group, the member
 that has the least part of its blocks to itself, never with all of them.  Pairs whose
-sizes allow the threshold are verified on the exact sets; the centre failed the others
-unseen.  A linked pair shares ``MISS`` blocks or more on average; it can be left apart
-only if in all of those the centre failed one of the two.  Members of linked stars
-that are in different components are therefore compared exactly, in blocks of members,
-if one of the two failed in at least ``OPEN`` blocks.
+sizes and signatures (short parity sketches of a slice of the shingles, whose Hamming
+distance bounds the difference from below) allow the threshold are verified on the
+exact sets; the centre failed the others.  A linked pair shares ``MISS`` blocks or more
+on average; it can be left apart only if in all of those the centre failed one of the
+two.  Members of a star that are in different components are therefore compared by
+signature, in blocks of members, if one of the two failed in at least ``OPEN`` blocks,
+and what passes is verified.
 """
 
 from __future__ import annotations
@@ -48,10 +50,9 @@ OPEN = 2
 #: Members of a star that one task verifies, give or take chance.
 STAR_PART = 1024
 #: Members of a block of the last comparison.
-BLOCK = 256
-
-#: Whether the sizes of a pair allow a link.
-FITS = f"100 * least(size_a, size_b) >= {PERCENT} * greatest(size_a, size_b)"
+BLOCK = 4096
+#: Bits of a signature, and shingles in its slice at most, on average.
+SIGNATURE, SLICE = 512, 256
 
 _BANDS: dict[tuple[int, int], tuple[int, int]] = {}
 
@@ -146,6 +147,63 @@ def sketch_keys(tokens: np.ndarray, bounds: np.ndarray, percent: int = PERCENT)
     return np.concatenate(texts), np.concatenate(keys)
 
 
+def signatures(tokens: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Two short parity sketches of each set: of its shingles in its own slice of all hashes, and in half of that.
+
+    A slice of level k is a 2**-k of all hashes; a set's own level is the least that
+    leaves ``SLICE`` shingles or fewer on average.
+    """
+    n = len(bounds) - 1
+    size = np.diff(bounds)
+    level = level_of(size)
+    text = np.repeat(np.arange(n), size)
+    hashed = mix(tokens ^ U64(0x6A09E667F3BCC909))
+    out = []
+    for more in (0, 1):
+        inside = (hashed & ((U64(1) << (level[text] + more).astype(U64)) - U64(1))) == 0
+        bit = ((hashed[inside] >> U64(32)) % U64(SIGNATURE)).astype(np.int64)
+        parity = np.bincount(text[inside] * SIGNATURE + bit, minlength=n * SIGNATURE).reshape(n, SIGNATURE) & 1
+        out.append(np.packbits(parity.astype(np.uint8), axis=1))
+    return [row.tobytes() for row in np.concatenate(out, 1)]
+
+
+def level_of(size: np.ndarray) -> np.ndarray:
+    return np.maximum(0, np.ceil(np.log2(np.maximum(size, 1) / SLICE))).astype(np.int64)
+
+
+def _words_of(column: pa.Array) -> np.ndarray:
+    """(set, own level or the next, 64-bit word) of a column of signatures."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), 2, SIGNATURE // 64)
+
+
+def may_link(size_a: np.ndarray, size_b: np.ndarray, sig_a: np.ndarray, sig_b: np.ndarray) -> np.ndarray:
+    """Whether signatures leave it open that sets reach the threshold; arrays broadcast against each other.
+
+    A linked pair differs in at most (1-t)/(1+t) of its summed sizes, and its parity
+    sketches in no more bits.  Of those shingles a slice of level k > 0 holds a
+    2**-k on average, and more than six deviations and eight over that with a chance
+    below e^-16.
+    """
+    level_a, level_b = level_of(size_a), level_of(size_b)
+    level = np.maximum(level_a, level_b)
+    own_a, own_b = ((level == x)[..., None] for x in (level_a, level_b))
+    apart = np.bitwise_count(np.where(own_a, sig_a[..., 0, :], sig_a[..., 1, :]) ^ np.where(own_b, sig_b[..., 0, :], sig_b[..., 1, :])).sum(-1, dtype=np.int64)
+    most = (size_a + size_b) * (100 - PERCENT) / (100 + PERCENT)
+    mean = most / 2.0**level
+    fits = 100 * np.minimum(size_a, size_b) >= PERCENT * np.maximum(size_a, size_b)
+    return fits & (apart <= np.where(level == 0, most, mean + 6 * np.sqrt(mean) + 8))
+
+
+def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs with ``near``: sizes and signatures leave a link open."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 4096):
+            part = batch.slice(i, 4096)
+            size_a, size_b = (part.column(k).to_numpy() for k in (3, 4))
+            near = may_link(size_a, size_b, _words_of(part.column(5)), _words_of(part.column(6)))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(near)], names=[*part.schema.names, "near"])
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each text's set; its keys only where a task meets the set first (a third of all rows may be one text)."""
     seen: set[int] = set()
@@ -172,8 +230,9 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(size, pa.int64()),
                     pa.array(node, mask=size == 0),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(key[order].view(np.int64))),
+                    pa.array(signatures(tokens, bounds), pa.binary()),
                 ],
-                names=["doc_id", "text_key", "n_shingles", "node", "keys"],
+                names=["doc_id", "text_key", "n_shingles", "node", "keys", "sig"],
             )
 
 
@@ -220,16 +279,16 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, n_shingles, node, keys) of every row; node names the shingle set (null if empty).
+    """(doc_id, text_key, n_shingles, node, keys, sig) of every row; node names the shingle set (null if empty).
 
     Of equal sets that one task reads, the first alone has keys.
     """
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    return rows.mapInArrow(_sketch, "doc_id long, text_key long, n_shingles long, node long, keys array<long>")
+    return rows.mapInArrow(_sketch, "doc_id long, text_key long, n_shingles long, node long, keys array<long>, sig binary")
 
 
 def candidates(sketches: DataFrame, where: DataFrame) -> DataFrame:
-    """(a, b, met, size_a, size_b), written: different sets that agree on ``met`` sketch blocks whose centre is a.
+    """(a, b, met, size_a, size_b, sig_a, sig_b, near), written: different sets that agree on ``met`` sketch blocks whose centre is a.
 
     The centre of a block's group is the member with the least part of its keys to
     itself.  Edits give a copy blocks that nobody else has, while all blocks of the text
@@ -246,7 +305,12 @@ def candidates(sketches: DataFrame, where: DataFrame) -> DataFrame:
     discard(met)
     centres = ranked.groupBy("key").agg(F.min(F.struct("alone", "node", "size")).alias("centre")).select("key", "centre")
     stars = ranked.join(centres, "key").select(F.col("centre.node").alias("a"), F.col("node").alias("b"), F.col("centre.size").alias("size_a"), F.col("size").alias("size_b")).filter("a <> b")
-    pairs = written(stars.groupBy("a", "b").agg(F.count("*").alias("met"), F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b")), "jaccard-pairs")
+    pairs = stars.groupBy("a", "b").agg(F.count("*").alias("met"), F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"))
+    for x in "ab":
+        pairs = pairs.join(where.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}")), x)
+    columns = ["a", "b", "met", "size_a", "size_b", "sig_a", "sig_b"]
+    screened = pairs.select(columns).mapInArrow(_screen, "a long, b long, met long, size_a long, size_b long, sig_a binary, sig_b binary, near boolean")
+    pairs = written(screened, "jaccard-pairs")
     discard(ranked)
     return pairs
 
@@ -280,77 +344,60 @@ def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_verify, "a long, b long, shared long, either long, met long").dropDuplicates(["a", "b"])
 
 
-def _judged(tested: DataFrame, unfit: DataFrame) -> DataFrame:
-    """Star pairs with what failed (null sizes for pairs that do not fit), and what is open: b failed in ``OPEN`` blocks or more."""
-    tested = tested.unionByName(unfit.select("a", "b", "met"), allowMissingColumns=True)
-    tested = tested.withColumn("failed", F.expr(f"coalesce(100 * shared < {PERCENT} * either, true)"))
+def _judged(pairs: DataFrame, tested: DataFrame) -> DataFrame:
+    """Star pairs with what failed, unseen or verified, and what is open: b failed in ``OPEN`` blocks or more."""
+    good = tested.filter(f"100 * shared >= {PERCENT} * either").select("a", "b", "met", F.lit(False).alias("failed"))
+    rows = pairs.select("a", "b", "met", F.lit(True).alias("failed")).union(good)
+    rows = rows.groupBy("a", "b").agg(F.max("met").alias("met"), F.min("failed").alias("failed"))
     times = F.sum(F.when(F.col("failed"), F.col("met"))).over(Window.partitionBy("b"))  # as many rows as b has stars
-    return tested.withColumn("open", F.col("failed") & (times >= OPEN))
+    return rows.withColumn("open", F.col("failed") & (times >= OPEN))
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, i, j, side, b, text) in order: links between the members on side 0 and those on side 1 of each block."""
-
-    def found(sides: dict[int, dict[int, np.ndarray]]) -> pa.RecordBatch:
-        out = [], [], [], []
-        ids = [np.array(list(sides[k]), np.int64) for k in (0, 1)]
-        if len(ids[0]) and len(ids[1]):
-            size = [np.array([len(x) for x in sides[k].values()]) for k in (0, 1)]
-            tokens, column = np.unique(np.concatenate([*sides[0].values(), *sides[1].values()]), return_inverse=True)
-            count = np.bincount(column)
-            cut = int(size[0].sum())
-            shared = np.zeros((len(ids[0]), len(ids[1])))
-            row = [np.repeat(np.arange(len(ids[k])), size[k]) for k in (0, 1)]
-            column = [column[:cut], column[cut:]]
-            place = np.cumsum(count > 1) - 1  # a token of one member alone is shared with nobody
-            wide = int(place[-1]) + 1 if len(place) else 0
-            for low in range(0, wide, 8192):
-                held = []
-                for k in (0, 1):
-                    at = place[column[k]] - low
-                    some = (count[column[k]] > 1) & (at >= 0) & (at < 8192)
-                    matrix = np.zeros((len(ids[k]), min(8192, wide - low)), np.float32)
-                    matrix[row[k][some], at[some]] = 1
-                    held.append(matrix)
-                shared += held[0] @ held[1].T
-            shared = shared.astype(np.int64)
-            either = size[0][:, None] + size[1][None, :] - shared
-            x, y = np.nonzero((100 * shared >= PERCENT * either) & (ids[0][:, None] != ids[1][None, :]))
-            out = ids[0][x], ids[1][y], shared[x, y], either[x, y]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b", "shared", "either"])
-
-    place, sides = None, {0: {}, 1: {}}
+    """Rows (a, i, j, side, b, size, sig) in order: pairs of a member on side 0 and one on side 1 that may link."""
+
+    def found(sides: tuple[list, list]) -> Iterator[pa.RecordBatch]:
+        if not (sides[0] and sides[1]):
+            return
+        (ids, size, sig), (ids_1, size_1, sig_1) = (tuple(np.concatenate(c) for c in zip(*side, strict=True)) for side in sides)
+        for k in range(0, len(ids), 32):
+            part = slice(k, k + 32)
+            near = may_link(size[part, None], size_1[None, :], sig[part, None], sig_1[None, :])
+            x, y = np.nonzero(near & (ids[part, None] != ids_1[None, :]))
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[k + x], ids_1[y])), pa.array(np.maximum(ids[k + x], ids_1[y]))], names=["a", "b"])
+
+    place, sides = None, ([], [])
     for batch in batches:
-        here = list(zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True))
-        for i, j, data, offsets in text_slices(batch.column(5)):
-            tokens, bounds = shingle_sets(data, offsets)
-            for r in range(i, j):
-                if here[r][:3] != place:
-                    if place is not None:
-                        yield found(sides)
-                    place, sides = here[r][:3], {0: {}, 1: {}}
-                sides[here[r][3]][here[r][4]] = tokens[bounds[r - i] : bounds[r - i + 1]]
-    if place is not None:
-        yield found(sides)
-
-
-def _left_over(texts: DataFrame, judged: DataFrame, label: DataFrame) -> DataFrame | None:
-    """Links between members of a group that are in different components, one of the two open; None if there are none to compare.
-
-    Stars whose centres are linked are one group.  One of the two is outside the group's
-    main component: open ones there meet all members (half 0), others the open ones
-    of the main component (half 1).  Members are dealt into blocks, and every block of
-    one side meets every block of the other in some task.
+        here = np.stack([batch.column(k).to_numpy() for k in range(4)], 1).astype(np.int64)
+        ids, size, sig = batch.column(4).to_numpy(), batch.column(5).to_numpy(), _words_of(batch.column(6))
+        cuts = np.concatenate([[0], np.flatnonzero((here[1:] != here[:-1]).any(1)) + 1, [len(here)]])
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            if i == j:
+                continue
+            if place != tuple(here[i, :3]):
+                yield from found(sides)
+                place, sides = tuple(here[i, :3]), ([], [])
+            sides[here[i, 3]].append((ids[i:j], size[i:j], sig[i:j]))
+    yield from found(sides)
+
+
+def _left_over(pairs: DataFrame, judged: DataFrame, label: DataFrame) -> DataFrame | None:
+    """(a, b) that may link: members of a star that are in different components, one of the two open; None if there are none.
+
+    One of the two is outside the star's main component: open ones there meet all
+    members (half 0), others the open ones of the main component (half 1).  Members
+    are dealt into blocks, and every block of one side meets every block of the other
+    in some task, by signatures alone.
     """
     named = label.select(F.col("node").alias("b"), "component")
-    centre = label.select(F.col("node").alias("a"), F.col("component").alias("group"))
-    grouped = judged.select("a", "b", "open").join(centre, "a", "left").withColumn("group", F.coalesce("group", "a"))
-    members = grouped.select("group", "b", "open").union(grouped.select("group", "a", F.lit(False)))
-    members = members.groupBy(F.col("group").alias("a"), "b").agg(F.max("open").alias("open"))
+    live = judged.groupBy("a").agg(F.max("open").alias("live")).filter("live").select("a")
+    rows = pairs.join(judged.select("a", "b", "open"), ["a", "b"]).join(live, "a", "left_semi")
+    members = rows.select("a", "b", "open", F.col("size_b").alias("size"), F.col("sig_b").alias("sig")).union(rows.select("a", "a", F.lit(False), "size_a", "sig_a").dropDuplicates(["a"]))
     members = members.join(named, "b", "left").withColumn("component", F.coalesce("component", "b"))
     main = members.groupBy("a", "component").agg(F.count("*").alias("n")).groupBy("a").agg(F.max(F.struct("n", "component")).alias("main"))
     members = members.join(main, "a").withColumn("out", F.col("component") != F.col("main.component"))
-    members = written(members.select("a", "b", "open", "out"), "jaccard-members")
+    members = written(members.select("a", "b", "open", "out", "size", "sig"), "jaccard-members")
     n = lambda condition: F.count_if(F.expr(condition))
     halves = F.array(F.struct(F.lit(0).alias("half"), n("open and out").alias("left"), F.count("*").alias("right")), F.struct(F.lit(1).alias("half"), n("out and not open").alias("left"), n("open and not out").alias("right")))
     fan = members.groupBy("a").agg(halves.alias("halves")).select("a", F.inline("halves")).filter("left > 0 and right > 0")
@@ -360,31 +407,33 @@ def _left_over(texts: DataFrame, judged: DataFrame, label: DataFrame) -> DataFra
     both = F.explode(F.expr("if(open and not out, array(0, 1), array(0))"))
     spread = lambda m: m.join(fan, ["a", "half"]).withColumn("hash", F.xxhash64("b"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = spread(members.filter("out").withColumn("half", F.expr("if(open, 0, 1)"))).select("a", "half", F.pmod("hash", "rows").cast("int").alias("i"), every("columns").alias("j"), F.lit(0).alias("side"), "b")
-    right = spread(members.withColumn("half", both)).select("a", "half", every("rows").alias("i"), F.pmod("hash", "columns").cast("int").alias("j"), F.lit(1).alias("side"), "b")
-    left, right = (x.select("a", (2 * F.col("i") + F.col("half")).alias("i"), "j", "side", "b") for x in (left, right))
-    rows = _with_text(texts, left.union(right), ["a", "i", "j", "side", "b"])
-    dealt = rows.repartition(partitions(texts.sparkSession), "a", "i", "j").sortWithinPartitions("a", "i", "j", "side", "b")
-    return dealt.mapInArrow(_compare, "a long, b long, shared long, either long").dropDuplicates(["a", "b"])
+    left = spread(members.filter("out").withColumn("half", F.expr("if(open, 0, 1)"))).select("a", "half", F.pmod("hash", "rows").cast("int").alias("i"), every("columns").alias("j"), F.lit(0).alias("side"), "b", "size", "sig")
+    right = spread(members.withColumn("half", both)).select("a", "half", every("rows").alias("i"), F.pmod("hash", "columns").cast("int").alias("j"), F.lit(1).alias("side"), "b", "size", "sig")
+    rows = left.union(right).select("a", (2 * F.col("i") + F.col("half")).alias("i"), "j", "side", "b", "size", "sig")
+    dealt = rows.repartition(partitions(pairs.sparkSession), "a", "i", "j").sortWithinPartitions("a", "i", "j", "side", "b")
+    return dealt.mapInArrow(_compare, "a long, b long").distinct()
 
 
 def similarity_links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Links (a, b, shared, either) between different shingle sets; every linked pair is joined by a chain of links."""
-    heads = sketches.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("head"), F.first("n_shingles").alias("size"), F.max(F.size("keys")).alias("n_keys"))
-    where = written(heads.select("node", "size", "n_keys", F.col("head.doc_id").alias("rep_id"), F.col("head.text_key").alias("rep_key")), "jaccard-where")
+    heads = sketches.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("head"), F.first("n_shingles").alias("size"), F.max(F.size("keys")).alias("n_keys"), F.first("sig").alias("sig"))
+    where = written(heads.select("node", "size", "n_keys", "sig", F.col("head.doc_id").alias("rep_id"), F.col("head.text_key").alias("rep_key")), "jaccard-where")
     pairs = candidates(sketches, where)
     release(docs.sparkSession)
     texts = written(star_texts(docs, pairs, where), "jaccard-texts")
     release(docs.sparkSession)
-    tested = written(verified(texts, pairs.filter(FITS)), "jaccard-tested")
-    judged = written(_judged(tested, pairs.filter(f"not ({FITS})")), "jaccard-judged")
-    discard(tested, pairs, where)
-    links = judged.filter("not failed").select("a", "b", "shared", "either")
+    tested = written(verified(texts, pairs.filter("near")), "jaccard-tested")
+    judged = written(_judged(pairs, tested), "jaccard-judged")
+    linked = f"100 * shared >= {PERCENT} * either"
+    links = tested.filter(linked).select("a", "b", "shared", "either")
     if not judged.filter("open").isEmpty():
-        release(docs.sparkSession)
-        rest = _left_over(texts, judged, components(links))
-        links = links if rest is None else links.union(written(rest, "jaccard-rest"))
-    discard(texts)
+        rest = _left_over(pairs, judged, components(links))
+        if rest is not None:
+            rest = written(rest.withColumn("met", F.lit(0).cast("long")), "jaccard-rest")
+            more = written(verified(texts, rest), "jaccard-tested")
+            links = links.union(more.filter(linked).select("a", "b", "shared", "either"))
+            discard(rest)
+    discard(texts, pairs, where, judged)
     return links
 
 

@@ -120,11 +120,33 @@ def test_centres_of_unfitting_size(spark):
 def test_open_members_of_the_main_component(spark):
     """One open in the main component (3) meets one outside it that is not open (2)."""
     texts = {1: words(40, 1), 2: words(40, 2), 3: words(40, 2) + ["end"], 4: words(40, 4), 5: words(40, 5)}
-    texts = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "node long, text string")
+    tokens = {k: jaccard.shingle_sets(np.frombuffer(t := " ".join(v).encode(), np.uint8), np.array([0, len(t)])) for k, v in texts.items()}
+    size, sig = {k: len(t[0]) for k, t in tokens.items()}, {k: bytearray(jaccard.signatures(*t)[0]) for k, t in tokens.items()}
+    pairs = spark.createDataFrame([(1, b, size[1], size[b], sig[1], sig[b]) for b in (2, 3, 4, 5)], "a long, b long, size_a long, size_b long, sig_a binary, sig_b binary")
     judged = spark.createDataFrame([(1, 2, False), (1, 3, True), (1, 4, False), (1, 5, False)], "a long, b long, open boolean")
     label = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3), (5, 3)], "node long, component long")
-    rest = jaccard._left_over(texts, judged, label)
-    assert rest is not None and {tuple(sorted(r[:2])) for r in rest.collect()} == {(2, 3)}
+    rest = jaccard._left_over(pairs, judged, label)
+    assert rest is not None and {tuple(r) for r in rest.collect()} == {(2, 3)}
+
+
+@pytest.mark.parametrize("size", [3, 40, 200, 256, 257, 300, 520, 900, 5000])
+def test_signatures_pass_every_link(size):
+    """Signatures never part sets at the threshold, whatever their levels, and mostly part unrelated ones."""
+    rng = np.random.default_rng(size)
+    passed = 0
+    for _ in range(60):
+        a = rng.integers(0, 2**63, size, dtype=np.uint64)
+        gone = size // 7
+        b = np.concatenate([a[gone:], rng.integers(0, 2**63, gone, dtype=np.uint64)])
+        both = size - gone
+        if 100 * both < jaccard.PERCENT * (size + gone):
+            b, both = a[gone:], size - gone
+        c = np.concatenate([a[: size // 5], rng.integers(0, 2**63, size - size // 5, dtype=np.uint64)])
+        rows = [np.sort(x) for x in (a, b, c)]
+        sig = np.frombuffer(b"".join(jaccard.signatures(np.concatenate(rows), np.cumsum([0, *map(len, rows)]))), np.uint64).reshape(3, 2, -1)
+        assert jaccard.may_link(np.array([len(a)]), np.array([len(b)]), sig[:1], sig[1:2])[0]
+        passed += int(jaccard.may_link(np.array([len(a)]), np.array([len(c)]), sig[:1], sig[2:])[0])
+    assert passed <= 6 or size < 40
 
 
 def test_substring_removal(docs, no_docs):
