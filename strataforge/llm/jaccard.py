@@ -51,6 +51,7 @@ OPEN = 2
 STAR_PART = 1024
 #: Members of a block of the last comparison.
 BLOCK = 4096
+LINKED = f"100 * shared >= {PERCENT} * either"
 #: Bits of a signature, and shingles in its slice at most, on average.
 SIGNATURE, SLICE = 512, 256
 
@@ -346,9 +347,8 @@ def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def _judged(pairs: DataFrame, tested: DataFrame) -> DataFrame:
     """Star pairs with what failed, unseen or verified, and what is open: b failed in ``OPEN`` blocks or more."""
-    good = tested.filter(f"100 * shared >= {PERCENT} * either").select("a", "b", "met", F.lit(False).alias("failed"))
-    rows = pairs.select("a", "b", "met", F.lit(True).alias("failed")).union(good)
-    rows = rows.groupBy("a", "b").agg(F.max("met").alias("met"), F.min("failed").alias("failed"))
+    good = tested.filter(LINKED).select("a", "b", F.lit(True).alias("linked"))
+    rows = pairs.drop("near").join(good, ["a", "b"], "left").withColumn("failed", F.col("linked").isNull()).drop("linked")
     times = F.sum(F.when(F.col("failed"), F.col("met"))).over(Window.partitionBy("b"))  # as many rows as b has stars
     return rows.withColumn("open", F.col("failed") & (times >= OPEN))
 
@@ -382,7 +382,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from found(sides)
 
 
-def _left_over(pairs: DataFrame, judged: DataFrame, label: DataFrame) -> DataFrame | None:
+def _left_over(judged: DataFrame, label: DataFrame) -> DataFrame | None:
     """(a, b) that may link: members of a star that are in different components, one of the two open; None if there are none.
 
     One of the two is outside the star's main component: open ones there meet all
@@ -391,13 +391,16 @@ def _left_over(pairs: DataFrame, judged: DataFrame, label: DataFrame) -> DataFra
     in some task, by signatures alone.
     """
     named = label.select(F.col("node").alias("b"), "component")
-    live = judged.groupBy("a").agg(F.max("open").alias("live")).filter("live").select("a")
-    rows = pairs.join(judged.select("a", "b", "open"), ["a", "b"]).join(live, "a", "left_semi")
-    members = rows.select("a", "b", "open", F.col("size_b").alias("size"), F.col("sig_b").alias("sig")).union(rows.select("a", "a", F.lit(False), "size_a", "sig_a").dropDuplicates(["a"]))
-    members = members.join(named, "b", "left").withColumn("component", F.coalesce("component", "b"))
-    main = members.groupBy("a", "component").agg(F.count("*").alias("n")).groupBy("a").agg(F.max(F.struct("n", "component")).alias("main"))
-    members = members.join(main, "a").withColumn("out", F.col("component") != F.col("main.component"))
-    members = written(members.select("a", "b", "open", "out", "size", "sig"), "jaccard-members")
+    stars = judged.groupBy("a").agg(F.max("open").alias("live"), F.first("size_a").alias("size"), F.first("sig_a").alias("sig")).filter("live")
+    stars = written(stars.select("a", F.col("a").alias("b"), F.lit(False).alias("open"), "size", "sig"), "jaccard-live")
+    rows = judged.join(stars.select("a"), "a", "left_semi").select("a", "b", "open", F.col("size_b").alias("size"), F.col("sig_b").alias("sig"))
+    members = rows.union(stars).join(named, "b", "left").withColumn("component", F.coalesce("component", "b"))
+    found = written(members.select("a", "b", "open", "size", "sig", "component"), "jaccard-found")
+    counted = found.groupBy("a", "component").agg(F.count("*").alias("n"))
+    main = F.max(F.struct("n", "component")).over(Window.partitionBy("a"))  # a star's components
+    counted = counted.select("a", "component", (F.col("component") != main["component"]).alias("out"))
+    members = written(found.join(counted, ["a", "component"]).select("a", "b", "open", "out", "size", "sig"), "jaccard-members")
+    discard(stars, found)
     n = lambda condition: F.count_if(F.expr(condition))
     halves = F.array(F.struct(F.lit(0).alias("half"), n("open and out").alias("left"), F.count("*").alias("right")), F.struct(F.lit(1).alias("half"), n("out and not open").alias("left"), n("open and not out").alias("right")))
     fan = members.groupBy("a").agg(halves.alias("halves")).select("a", F.inline("halves")).filter("left > 0 and right > 0")
@@ -410,7 +413,7 @@ def _left_over(pairs: DataFrame, judged: DataFrame, label: DataFrame) -> DataFra
     left = spread(members.filter("out").withColumn("half", F.expr("if(open, 0, 1)"))).select("a", "half", F.pmod("hash", "rows").cast("int").alias("i"), every("columns").alias("j"), F.lit(0).alias("side"), "b", "size", "sig")
     right = spread(members.withColumn("half", both)).select("a", "half", every("rows").alias("i"), F.pmod("hash", "columns").cast("int").alias("j"), F.lit(1).alias("side"), "b", "size", "sig")
     rows = left.union(right).select("a", (2 * F.col("i") + F.col("half")).alias("i"), "j", "side", "b", "size", "sig")
-    dealt = rows.repartition(partitions(pairs.sparkSession), "a", "i", "j").sortWithinPartitions("a", "i", "j", "side", "b")
+    dealt = rows.repartition(partitions(judged.sparkSession), "a", "i", "j").sortWithinPartitions("a", "i", "j", "side", "b")
     return dealt.mapInArrow(_compare, "a long, b long").distinct()
 
 
@@ -424,14 +427,13 @@ def similarity_links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
     release(docs.sparkSession)
     tested = written(verified(texts, pairs.filter("near")), "jaccard-tested")
     judged = written(_judged(pairs, tested), "jaccard-judged")
-    linked = f"100 * shared >= {PERCENT} * either"
-    links = tested.filter(linked).select("a", "b", "shared", "either")
+    links = tested.filter(LINKED).select("a", "b", "shared", "either")
     if not judged.filter("open").isEmpty():
-        rest = _left_over(pairs, judged, components(links))
+        rest = _left_over(judged, components(links))
         if rest is not None:
             rest = written(rest.withColumn("met", F.lit(0).cast("long")), "jaccard-rest")
             more = written(verified(texts, rest), "jaccard-tested")
-            links = links.union(more.filter(linked).select("a", "b", "shared", "either"))
+            links = links.union(more.filter(LINKED).select("a", "b", "shared", "either"))
             discard(rest)
     discard(texts, pairs, where, judged)
     return links

@@ -122,10 +122,9 @@ def test_open_members_of_the_main_component(spark):
     texts = {1: words(40, 1), 2: words(40, 2), 3: words(40, 2) + ["end"], 4: words(40, 4), 5: words(40, 5)}
     tokens = {k: jaccard.shingle_sets(np.frombuffer(t := " ".join(v).encode(), np.uint8), np.array([0, len(t)])) for k, v in texts.items()}
     size, sig = {k: len(t[0]) for k, t in tokens.items()}, {k: bytearray(jaccard.signatures(*t)[0]) for k, t in tokens.items()}
-    pairs = spark.createDataFrame([(1, b, size[1], size[b], sig[1], sig[b]) for b in (2, 3, 4, 5)], "a long, b long, size_a long, size_b long, sig_a binary, sig_b binary")
-    judged = spark.createDataFrame([(1, 2, False), (1, 3, True), (1, 4, False), (1, 5, False)], "a long, b long, open boolean")
+    judged = spark.createDataFrame([(1, b, b == 3, size[1], size[b], sig[1], sig[b]) for b in (2, 3, 4, 5)], "a long, b long, open boolean, size_a long, size_b long, sig_a binary, sig_b binary")
     label = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3), (5, 3)], "node long, component long")
-    rest = jaccard._left_over(pairs, judged, label)
+    rest = jaccard._left_over(judged, label)
     assert rest is not None and {tuple(r) for r in rest.collect()} == {(2, 3)}
 
 
