@@ -30,7 +30,9 @@ from .workspace import share
 
 #: Labelled texts of each class that training may use.
 MOST_LABELLED = 1500
-WINDOW, STRIDE = 32, 24
+#: Length of a text that training uses; scoring takes texts of any length whole.
+MOST_CHARS = 1 << 15
+WINDOW, STRIDE = 32, 16
 WORD_BITS, GRAM_BITS = 16, 14
 WIDTH, HIDDEN, GAZE = 6, 8, 8  # of an embedding, of a direction's state, of attention
 ROUNDS, EPOCHS, LEAST_STEPS, BATCH, RATE = 3, 2, 80, 256, 0.01
@@ -351,9 +353,11 @@ def is_held_out(doc_id: str = "doc_id") -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Network:
-    """Train on the labelled rows that are not held out.
+    """Train on the labelled rows that are not held out: of each class at most ``MOST_LABELLED`` ids, a text each.
 
     Of contradicting labels of an id the toxic one holds; null labels and ids are dropped.
+    Of rows that repeat an id the least text counts; texts of more than ``MOST_CHARS``
+    take no part in training, so what comes to the driver has a fixed bound.
     """
     rows = labels.select("doc_id", "toxic").dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~is_held_out())
     share = rows.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
@@ -363,8 +367,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Network:
         some = rows.filter(F.col("toxic") == kind).orderBy("order", "doc_id").limit(MOST_LABELLED)
         wanted = some if wanted is None else wanted.union(some)
     wanted = F.broadcast(wanted)  # at most twice MOST_LABELLED rows
-    found = docs.select("doc_id", "text").join(wanted, "doc_id").select("order", "doc_id", "text", "toxic").collect()
-    found.sort(key=lambda r: (r["order"], r["doc_id"], r["text"] or ""))
+    short = docs.select("doc_id", "text").filter(F.coalesce(F.length("text"), F.lit(0)) <= MOST_CHARS)
+    found = short.join(wanted, "doc_id").groupBy("order", "doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    found.sort(key=lambda r: (r["order"], r["doc_id"]))
     toxic = np.array([r["toxic"] for r in found], np.int64)
     kept_out = mix(np.array([r["order"] for r in found], np.int64).view(U64)) % U64(4) == 0
     return train([r["text"] for r in found], toxic, kept_out, min(max(share or 0.0, 1e-3), 1 - 1e-3))
