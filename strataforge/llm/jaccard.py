@@ -418,10 +418,14 @@ def _left_over(judged: DataFrame, label: DataFrame) -> DataFrame | None:
 
 
 def similarity_links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Links (a, b, shared, either) between different shingle sets; every linked pair is joined by a chain of links."""
+    """Links (a, b, shared, either) between different shingle sets; every linked pair is joined by a chain of links.
+
+    ``sketches``, a written table, is removed on the way.
+    """
     heads = sketches.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("head"), F.first("n_shingles").alias("size"), F.max(F.size("keys")).alias("n_keys"), F.first("sig").alias("sig"))
     where = written(heads.select("node", "size", "n_keys", "sig", F.col("head.doc_id").alias("rep_id"), F.col("head.text_key").alias("rep_key")), "jaccard-where")
     pairs = candidates(sketches, where)
+    discard(sketches)  # the keys are by far the largest table
     release(docs.sparkSession)
     texts = written(star_texts(docs, pairs, where), "jaccard-texts")
     release(docs.sparkSession)
@@ -442,7 +446,8 @@ def similarity_links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
 def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The sketches' (doc_id, text_key, n_shingles, node), and (node, component) of every set that has links."""
     sketches = written(sketched(docs), "jaccard-sketches")
-    return sketches.select("doc_id", "text_key", "n_shingles", "node"), components(similarity_links(docs, sketches))
+    narrow = written(sketches.select("doc_id", "text_key", "n_shingles", "node"), "jaccard-rows")
+    return narrow, components(similarity_links(docs, sketches))
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
