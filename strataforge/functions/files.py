@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # File names and extensions by kind.
-CODE = (".py", ".java", ".cpp", ".c", ".h", ".hpp", ".js", ".ts", ".go", ".rs", ".rb", ".php", ".scala", ".kt", ".swift", ".sh", ".pl", ".m", ".jl", ".cs", ".ipynb")
-LICENSES = ("license", "licence", "copying", "notice", "copyright", "unlicense")
+CODE = (".py", ".pyx", ".pyi", ".ipynb", ".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs", ".java", ".scala", ".kt", ".groovy", ".clj", ".c", ".cpp", ".cxx", ".cc", ".h", ".hpp", ".hxx", ".cs", ".vb", ".fs", ".php", ".rb", ".go", ".rs", ".swift", ".sh", ".bash", ".zsh", ".fish", ".ps1", ".bat", ".cmd", ".sql", ".r", ".m", ".pl", ".lua", ".dart", ".hs", ".elm", ".ml", ".f90", ".f95", ".f03", ".asm", ".s", ".vim", ".el")
+LICENSES = ("license", "licence", "copying", "copyright", "legal", "notice", "authors", "contributors", "credits", "acknowledgment")
 BUILDS = ("Makefile", "CMakeLists.txt", "pom.xml", "build.gradle", "setup.py", "pyproject.toml", "Cargo.toml", "package.json", "build.xml", "meson.build")
 DATA = (".csv", ".tsv", ".json", ".jsonl", ".parquet", ".xlsx", ".xls", ".h5", ".hdf5", ".npz", ".npy", ".pkl", ".sqlite", ".db", ".arff")
 CONFIGS = (".yml", ".yaml", ".toml", ".ini", ".cfg", ".conf", ".env", ".properties")

@@ -6,13 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Keyword lists of the documentation signals.
-LICENSE_WORDS = ("mit license", "apache license", "gpl", "bsd license", "creative commons", "license", "licence", "copyright", "all rights reserved", "mozilla public license", "public domain")
-CITATION_WORDS = ("cite", "citation", "bibtex", "doi", "reference")
-AUTHOR_WORDS = ("author", "contributor", "maintainer", "contact")
+LICENSE_WORDS = ("mit license", "apache license", "gpl", "lgpl", "bsd license", "cc-by", "creative commons", "epl", "eupl", "mpl", "unlicense")
+CITATION_WORDS = ("how to cite", "citation", "doi:", "zenodo", "paper url")
+AUTHOR_WORDS = ("author", "contributors", "maintainers", "developer")
 TROUBLE_WORDS = ("troubleshooting", "faq", "known issues", "common problems", "debug", "help")
 REPRODUCE_WORDS = ("reproduce", "replicate", "reproducibility", "experiment", "expected output", "seed")
 USAGE_WORDS = ("usage", "how to use", "example", "run", "command", "config", "parameter")
-JARGON = ("algorithm", "api", "architecture", "benchmark", "cache", "compiler", "container", "dataset", "dependency", "docker", "framework", "kernel", "library", "module", "parser", "pipeline", "protocol", "repository", "runtime", "thread")
+JARGON = ("api", "library", "dataset", "framework", "dependency", "gpu", "docker", "virtualenv", "conda", "cli", "shell", "python", "server", "backend", "runtime", "build", "script", "repository", "compile", "kernel")
 STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of", "on", "that", "the", "this", "to", "was", "were", "will", "with")
 
 
@@ -113,9 +113,9 @@ def collapse(text: Column | str) -> Column:
 
 
 def jargon_ratio(text: Column | str) -> Column:
-    """Share of words that are jargon, 0 for texts under 100 words."""
+    """Share of words that are jargon once all but letters, digits and _ is gone; 0 for texts under 100 words."""
     words = F.filter(F.split(F.lower(_c(text)), r"\s+"), lambda w: w != "")
-    hits = F.size(F.filter(words, lambda w: w.isin(*JARGON)))
+    hits = F.size(F.filter(words, lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}_]", "").isin(*JARGON)))
     return F.when(F.size(words) >= 100, hits / F.size(words)).otherwise(F.lit(0.0))
 
 

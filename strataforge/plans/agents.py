@@ -50,7 +50,7 @@ PREDICATES = {
     "PRE24": ("names", "any", ("preprocess", "clean", "transform", "prepare",)),
     "PRE27": ("docs", "any", ("results", "performance", "metrics", "accuracy", "precision", "recall", "f1", "benchmark", "evaluation", "comparison",)),
     "PRE28": ("docs", "any", ("validation", "verification", "testing", "quality assurance", "qa", "correctness", "reliability",)),
-    "PRE30": ("names", "any", (".txt", ".md", ".pdf", ".csv", ".json", ".xml", ".yaml", ".yml", ".zip", ".tar.gz", ".py", ".ipynb",)),
+    "PRE30": ("names", "ends", (".txt", ".md", ".pdf", ".csv", ".json", ".xml", ".yaml", ".yml", ".zip", ".tar.gz", ".py", ".ipynb",)),
     "PRE31": ("docs", "any", ("readme",)),
     "PRE33": ("code", "regex", (r"^import\s+", r"^from\s+.*\s+import",)),
     "PRE34": ("names", "any", ("config", "settings", "env", "ini", "yaml", "yml", "json",)),
@@ -139,7 +139,11 @@ COMPONENTS = {
         "review_process": (("PRE82", 0.3), ("PRE83", 0.2), ("PRE84", 0.2), ("PRE85", 0.2), ("PRE86", 0.1)),
     },
 }
-ARCHIVE_HOSTS, CODE_HOSTS = "zenodo|figshare|dryad|osf\\.io|archive\\.org|softwareheritage", "github|gitlab|bitbucket"
+# Hosts by kind.
+ARCHIVE_HOSTS = ("zenodo", "figshare", "dataverse", "dryad", "osf.io")
+CODE_HOSTS = ("github.com", "gitlab.com", "bitbucket.org")
+#: Components that the wording of a justification leaves out.
+UNWORDED = ("comprehensive", "artifact_packaging", "preparation", "result_replication", "review_process")
 
 
 def texts(df: DataFrame) -> DataFrame:
@@ -171,6 +175,8 @@ def _flag(where: str, how: str, words: tuple[str, ...]) -> Column:
     if where == "names":
         if how == "exact":
             return F.exists("names", lambda x: x.isin(*words))
+        if how == "ends":
+            return F.exists("names", lambda x: reduce(Column.__or__, [x.endswith(w) for w in words]))
         return F.exists("names", lambda x: reduce(Column.__or__, [x.contains(w) for w in words]))
     text = F.col({"names+docs": "docs", "names+code": "code"}.get(where, where))
     if how == "regex":
@@ -187,7 +193,9 @@ def flags() -> dict[str, Column]:
     names, paths, docs, readme, url = F.col("names"), F.col("paths"), F.col("docs"), F.col("readme"), F.lower(F.coalesce("repository_url", F.lit("")))
     styles = sum(F.exists(F.transform("repository_structure", lambda f: f["name"]), test).cast("int") for test in (lambda x: x.contains("_"), lambda x: x.contains("-"), lambda x: x.rlike("[a-z][A-Z]")))
     few_styles = F.coalesce(styles, F.lit(0)) <= 2
-    tests = F.exists(names, lambda x: x.startswith("test") | x.endswith("_test.py")) | F.exists(paths, lambda x: x.contains("test"))
+    archive, code_host = (reduce(Column.__or__, [url.contains(h) for h in hosts]) for hosts in (ARCHIVE_HOSTS, CODE_HOSTS))
+    named_test = F.exists(names, lambda x: x.contains("test"))
+
     def some_path(word: str) -> Column:
         return F.exists(paths, lambda x: x.contains(word))
 
@@ -198,31 +206,31 @@ def flags() -> dict[str, Column]:
         "has_name": F.col("repository_name").isNotNull(),
         "has_url": url != "",
         "url_valid": url.rlike("^[a-z][a-z0-9+.-]*://[^/]+"),
-        "archive_host": url.rlike(ARCHIVE_HOSTS),
-        "code_host": url.rlike(CODE_HOSTS) & ~url.rlike(ARCHIVE_HOSTS),
-        "other_host": ~url.rlike(ARCHIVE_HOSTS) & ~url.rlike(CODE_HOSTS),
+        "archive_host": archive,
+        "code_host": code_host & ~archive,
+        "other_host": ~archive & ~code_host,
         "license_file": _n("license_files") > 0,
         "license_open": (_n("license_files") > 0) & opened,
         "license_closed": (_n("license_files") > 0) & ~opened,
         "has_readme": readme != "",
-        "purpose": readme.rlike("purpose|overview|introduction|about|description|abstract"),
-        "provenance": readme.rlike("provenance|author|citation|paper|publication|doi"),
-        "setup_section": readme.rlike("setup|install|requirement"),
-        "usage_section": readme.rlike("usage|example|run"),
+        "purpose": readme.rlike("purpose|description|about|overview"),
+        "provenance": readme.rlike("provenance|citation|reference|paper"),
+        "setup_section": readme.rlike("setup|install|installation|requirements"),
+        "usage_section": readme.rlike("usage|how to use|examples|commands"),
         "PRE06": readme.contains("```") | readme.rlike(r"(?m)^\s+[a-z]"),
         "PRE07": readme.rlike(r"(?m)^#{1,6}\s+|^[\s]*[-*+]\s+|\[.*\]\(.*\)"),
-        "setup_files": F.exists(names, lambda x: x.contains("setup") | x.contains("install")),
+        "setup_files": F.exists(names, lambda x: x.rlike("setup|install|requirements|dockerfile")),
         "example_files": F.exists(paths, lambda x: x.contains("example") | x.contains("demo")),
-        "PRE12": F.exists(names, lambda x: x.endswith(".sh") | x.isin("main.py", "run.py", "cli.py")),
+        "PRE12": F.exists(names, lambda x: x.endswith(".sh") | x.isin("main.py", "app.py", "run.py", "cli.py")),
         "any_docs": _n("documentation_files") > 0,
-        "config_files": F.exists(names, lambda x: x.rlike("config|\\.ya?ml$|\\.json$|\\.ini$|\\.toml$")),
+        "config_files": F.exists(names, lambda x: x.rlike("config|env|environment|settings")),
         "PRE21": F.exists(paths, lambda x: x.rlike(r"\.(csv|json|tsv|xlsx|xls|parquet|h5|hdf5)$|(^|/)(data|dataset|datasets)/")),
         "PRE23": docs.contains("dataset") & docs.rlike("https?://"),
-        "PRE25": tests,
+        "PRE25": named_test,
         "PRE26": F.exists(names, lambda x: x.rlike("eval|benchmark|metrics|performance")),
         "PRE29": (F.size(names) >= 5) & F.exists(names, lambda x: x.contains("readme")) & F.exists(names, lambda x: x.rlike(r"\.(py|java|cpp|js)$")),
         "PRE31": (_n("documentation_files") >= 2) & (readme != ""),
-        "PRE32": F.exists(names, lambda x: x.isin("version", "version.txt", "changelog", "changelog.md")) | docs.contains("version"),
+        "PRE32": F.exists(names, lambda x: x.isin("version", "version.txt", "changelog", "changelog.md")) | docs.contains("version") | docs.contains("changelog"),
         "main_file": F.exists(names, lambda x: x.isin("main.py", "app.py", "run.py", "start.py", "index.py")),
         "script_files": F.exists(names, lambda x: x.rlike(r"\.(sh|bat|py|js)$")),
         "ten_entries": F.size(names) >= 10,
@@ -230,9 +238,9 @@ def flags() -> dict[str, Column]:
         "two_docs": _n("documentation_files") >= 2,
         "three_code": _n("code_files") >= 3,
         "PRE37": places >= 2,
-        "PRE38": tests,
+        "PRE38": named_test | some_path("test"),
         "PRE39": F.exists(names, lambda x: x.rlike("validat|verif")),
-        "PRE48": F.exists(paths, lambda x: x.contains("module") | x.contains("__init__.py")) | F.col("code").contains("module"),
+        "PRE48": some_path("module") | F.exists(names, lambda x: x.contains("__init__.py")) | (_n("code_files") > 3),
         "PRE71": few_styles,
     }
     return {k: F.coalesce(v, F.lit(False)) for k, v in out.items()}
@@ -253,10 +261,17 @@ def component_scores(df: DataFrame) -> DataFrame:
 
 
 def agent_scores(components: DataFrame) -> DataFrame:
-    """(artifact_name, dimension, score, justification, evidence)."""
-    tier = F.when(F.col("score") >= 0.8, "excellent").when(F.col("score") >= 0.6, "good").when(F.col("score") >= 0.4, "fair").otherwise("limited")
-    out = components.groupBy("artifact_name", "dimension").agg(F.round(F.avg("score"), 6).alias("score"), F.sort_array(F.flatten(F.collect_list("evidence"))).alias("evidence"))
-    return out.withColumn("justification", F.concat(tier, F.lit(" "), "dimension"))
+    """(artifact_name, dimension, score, justification, evidence).
+
+    The score is the mean of the components; the justification's tier needs every
+    component that it speaks of to reach the bound.
+    """
+    worded = F.when(~F.col("component").isin(*UNWORDED), F.col("score"))
+    out = components.groupBy("artifact_name", "dimension").agg(
+        F.round(F.avg("score"), 6).alias("score"), F.min(worded).alias("least"), F.sort_array(F.flatten(F.collect_list("evidence"))).alias("evidence")
+    )
+    tier = F.when(F.col("least") >= 0.8, "excellent").when(F.col("least") >= 0.6, "good").when(F.col("least") >= 0.4, "fair").otherwise("poor")
+    return out.withColumn("justification", F.concat(tier, F.lit(" "), "dimension")).drop("least")
 
 
 def reviewed(agents: DataFrame, reviews: DataFrame) -> DataFrame:

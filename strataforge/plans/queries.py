@@ -54,14 +54,13 @@ def com04_licensing(spark, sf):
     return per.withColumn("accepted", F.col("licensing") >= 0.5).withColumn("rank", F.row_number().over(order))
 
 
-@query("""
-SELECT doc_id, contains(lower(text), 'license') AS license, contains(lower(text), 'copyright') OR contains(lower(text), 'all rights reserved') AS copyright,
-  contains(lower(text), 'doi.org') OR contains(lower(text), '10.') AS doi, contains(lower(text), 'author') OR contains(lower(text), 'contributor') OR contains(lower(text), 'maintainer') OR contains(lower(text), 'contact') AS author
-FROM documents
+@query(r"""
+SELECT doc_id, regexp_matches(lower(text), 'mit license|apache license|gpl|lgpl|bsd license|cc-by|creative commons|epl|eupl|mpl|unlicense') AS license,
+  regexp_matches(lower(text), 'how to cite|citation|doi:|zenodo|paper url') AS citation, regexp_matches(lower(text), 'author|contributors|maintainers|developer') AS author FROM documents
 """)
 def fun11_attribution(spark, sf):
     t = D.table(spark, sf, "documents")
-    return t.select("doc_id", X.has_any("text", ("license",)).alias("license"), X.has_any("text", ("copyright", "all rights reserved")).alias("copyright"), X.doi("text").alias("doi"), X.has_any("text", X.AUTHOR_WORDS).alias("author"))
+    return t.select("doc_id", X.has_any("text", X.LICENSE_WORDS).alias("license"), X.has_any("text", X.CITATION_WORDS).alias("citation"), X.has_any("text", X.AUTHOR_WORDS).alias("author"))
 
 
 @query(r"""
@@ -112,7 +111,7 @@ def fun07_page_headings(spark, sf):
 
 
 @query(r"""
-SELECT source AS artifact, round(avg(CASE WHEN len(w) >= 100 THEN len(list_filter(w, lambda x: list_contains(['algorithm', 'api', 'architecture', 'benchmark', 'cache', 'compiler', 'container', 'dataset', 'dependency', 'docker', 'framework', 'kernel', 'library', 'module', 'parser', 'pipeline', 'protocol', 'repository', 'runtime', 'thread'], x)))::DOUBLE / len(w) ELSE 0 END), 6) AS jargon
+SELECT source AS artifact, round(avg(CASE WHEN len(w) >= 100 THEN len(list_filter(w, lambda x: list_contains(['api', 'library', 'dataset', 'framework', 'dependency', 'gpu', 'docker', 'virtualenv', 'conda', 'cli', 'shell', 'python', 'server', 'backend', 'runtime', 'build', 'script', 'repository', 'compile', 'kernel'], regexp_replace(x, '[^\pL\pN_]', '', 'g'))))::DOUBLE / len(w) ELSE 0 END), 6) AS jargon
 FROM (SELECT source, regexp_extract_all(lower(text), '[^ \t\n\x0B\f\r]+') AS w FROM documents) GROUP BY 1
 """)
 def fun16_jargon(spark, sf):

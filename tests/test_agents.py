@@ -33,3 +33,38 @@ def test_reviews_only_raise(spark):
     down = spark.createDataFrame([("a", "usability", 0.1, "bad")], "artifact_name string, dimension string, review double, comment string")
     assert A.reviewed(scores, up).first()["score"] == 0.9
     assert A.reviewed(scores, down).first()["score"] == 0.4
+
+
+def held(spark, **k):
+    row = A.texts(spark.createDataFrame([artifact("x", **k)], A.ARTIFACT)).select(*[v.alias(n) for n, v in A.flags().items()]).first()
+    return {n for n, v in row.asDict().items() if v}
+
+
+def entries(*paths):
+    return [(p.rpartition("/")[2], p, None, 1.0) for p in paths]
+
+
+def test_hosts(spark):
+    hosts = {"archive_host", "code_host", "other_host"}
+    for url, kind in (("https://dataverse.org/x", "archive_host"), ("https://archive.org/x", "other_host"), ("https://github.com/zenodo", "archive_host"), ("https://gitlab.com/x", "code_host"), ("https://github.io/x", "other_host")):
+        assert held(spark, repository_url=url) & hosts == {kind}
+
+
+def test_file_flags(spark):
+    assert "config_files" not in held(spark, repository_structure=entries("a.yml", "b.json"))
+    assert "config_files" in held(spark, repository_structure=entries("environment.txt"))
+    assert "setup_files" in held(spark, repository_structure=entries("Dockerfile"))
+    assert "PRE12" in held(spark, repository_structure=entries("app.py"))
+    assert "PRE30" not in held(spark, repository_structure=entries("a.py.bak")) and "PRE30" in held(spark, repository_structure=entries("a.tar.gz"))
+    tests = held(spark, repository_structure=entries("tests/a.py"))
+    assert "PRE38" in tests and "PRE25" not in tests
+    assert "PRE48" in held(spark, code_files=[(f"f{i}.py", ["x"]) for i in range(4)]) and "PRE48" not in held(spark, code_files=[("f.py", ["module"])])
+    assert "PRE32" in held(spark, documentation_files=[("a.md", ["see the changelog"])])
+    found = held(spark, documentation_files=[("README.md", ["About", "see the paper"])])
+    assert {"purpose", "provenance"} <= found and not found & {"setup_section", "usage_section"}
+
+
+def test_tier_needs_every_component(spark):
+    rows = [("a", "documentation", c, v, []) for c, v in (("readme", 1.0), ("setup_instructions", 0.9), ("usage_instructions", 0.5), ("comprehensive", 0.0))]
+    out = A.agent_scores(spark.createDataFrame(rows, "artifact_name string, dimension string, component string, score double, evidence array<string>")).first()
+    assert out["justification"] == "fair documentation" and out["score"] == 0.6
