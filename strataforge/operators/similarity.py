@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,14 +26,39 @@ def unit(df: DataFrame, vector: str) -> DataFrame:
     return df.withColumn(vector, F.transform(vector, lambda x: F.try_divide(x.cast("double"), length)))
 
 
+#: Vectors of a block that meets another in one matrix product.
+BLOCK = 512
+
+
 def keyword_links(keywords: DataFrame, key: str, dimension: str, vector: str, least: float) -> DataFrame:
-    """Pairs of keywords of different dimensions that are similar; keywords are a bounded vocabulary, compared as a stated set."""
-    u = unit(keywords, vector)
-    x, y = u.alias("x"), u.alias("y")
-    on = (F.col(f"x.{key}") < F.col(f"y.{key}")) & (F.col(f"x.{dimension}") != F.col(f"y.{dimension}"))
-    score = dot(F.col(f"x.{vector}"), F.col(f"y.{vector}"))
-    pairs = x.join(y, on).select(F.col(f"x.{key}").alias("a"), F.col(f"y.{key}").alias("b"), F.col(f"x.{dimension}").alias("dim_a"), F.col(f"y.{dimension}").alias("dim_b"), score.alias("similarity"))
-    return pairs.filter(F.col("similarity") > least)
+    """(a, b, dim_a, dim_b, similarity): pairs of keywords of different dimensions that are similar, a the smaller key.
+
+    Keywords are a vocabulary, compared as a stated set: dealt into blocks, and every two
+    blocks meet in one task as a matrix product, so no pair is a row unless it is
+    similar.  Null vectors and vectors without a direction link with nothing.
+    """
+    rows = unit(keywords.select(key, dimension, vector), vector).filter(F.forall(vector, lambda x: x.isNotNull()))
+    blocks = max(1, -(-keywords.count() // BLOCK))
+    own = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+    rows = rows.select(own.alias("own"), F.col(key).alias("key"), F.col(dimension).alias("dim"), F.col(vector).alias("v"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "dim", "v")
+    kinds = keywords.schema[key].dataType.simpleString(), keywords.schema[dimension].dataType.simpleString()
+    names = ["a", "b", "dim_a", "dim_b", "similarity"]
+
+    def linked(block: pd.DataFrame) -> pd.DataFrame:
+        one, two = (block[block["own"] == block[c]].reset_index(drop=True) for c in "ij")
+        if one.empty or two.empty:
+            return pd.DataFrame({c: [] for c in names})
+        score = np.stack(one["v"].to_numpy()) @ np.stack(two["v"].to_numpy()).T
+        x, y = np.nonzero(score > least)
+        left, right = one.iloc[x].reset_index(drop=True), two.iloc[y].reset_index(drop=True)
+        swap = (left["key"] > right["key"]).to_numpy() & (block["i"].iloc[0] != block["j"].iloc[0])
+        a, b = ({c: np.where(swap, p[c], q[c]) for c in ("key", "dim")} for p, q in ((right, left), (left, right)))
+        out = pd.DataFrame({"a": a["key"], "b": b["key"], "dim_a": a["dim"], "dim_b": b["dim"], "similarity": score[x, y]})
+        return out[(out["a"] < out["b"]) & (out["dim_a"] != out["dim_b"])]
+
+    return rows.groupBy("i", "j").applyInPandas(linked, f"a {kinds[0]}, b {kinds[0]}, dim_a {kinds[1]}, dim_b {kinds[1]}, similarity double")
 
 
 def conflicts(links: DataFrame, pairs: list[tuple], least: float) -> DataFrame:
@@ -50,19 +77,22 @@ def top_k(rows: DataFrame, key: str, vector: str, queries: DataFrame, k: int) ->
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def clusters(links: DataFrame, a: str, b: str, rounds: int = 50) -> DataFrame:
+def clusters(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, cluster): connected components of links, by least label; density clustering with two points a core.
 
-    Labels spread along links and over their own labels until none changes.
+    Labels spread along links and jump over their own labels until none changes.
     """
     edges = links.select(F.col(a).alias("x"), F.col(b).alias("y"))
     edges = edges.union(edges.select("y", "x")).distinct().persist()
     labels = edges.groupBy(F.col("x").alias("node")).agg(F.least(F.min("x"), F.min("y")).alias("cluster"))
-    for _ in range(rounds):
+    while True:
         near = edges.join(labels, F.col("y") == F.col("node")).groupBy("x").agg(F.min("cluster").alias("c"))
-        new = labels.join(near, F.col("node") == F.col("x")).select("node", F.least("cluster", "c").alias("cluster"), (F.col("c") < F.col("cluster")).alias("moved")).checkpoint()
+        step = labels.join(near, F.col("node") == F.col("x")).select("node", F.col("cluster").alias("was"), F.least("cluster", "c").alias("cluster"))
+        up = labels.select(F.col("node").alias("up"), F.col("cluster").alias("above"))
+        step = step.join(up, F.col("cluster") == F.col("up")).select("node", "was", F.least("cluster", "above").alias("cluster"))
+        new = step.checkpoint()
         labels = new.select("node", "cluster")
-        if new.filter("moved").isEmpty():
+        if new.filter("cluster <> was").isEmpty():
             break
     edges.unpersist()
     return labels

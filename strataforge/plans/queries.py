@@ -232,12 +232,12 @@ def agg10_extraction_confidence(spark, sf):
 
 # --- keyword sets and pairs -------------------------------------------------------
 
-_SETS = """s AS (SELECT c_mktsegment AS seg, list_sort(list(DISTINCT n_name)) AS words FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 8000 GROUP BY 1)"""
+_SETS = """s AS (SELECT p_brand AS seg, list_sort(list(DISTINCT p_type || ' ' || p_size)) AS words FROM part GROUP BY 1)"""
 
 
 def _sets(spark, sf):
-    c = D.table(spark, sf, "customer").filter("c_acctbal > 8000").join(F.broadcast(D.table(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
-    return K.keyword_sets(c.withColumnRenamed("c_mktsegment", "seg"), "seg", "n_name")
+    p = D.table(spark, sf, "part").select(F.col("p_brand").alias("seg"), F.concat_ws(" ", "p_type", F.col("p_size").cast("string")).alias("word"))
+    return K.keyword_sets(p, "seg", "word")
 
 
 @query(f"""WITH {_SETS} SELECT x.seg AS a, y.seg AS b, len(list_intersect(x.words, y.words))::INT AS shared, len(list_distinct(x.words || y.words))::INT AS "union", (len(x.words) - len(list_intersect(x.words, y.words)))::INT AS only_a,
@@ -335,10 +335,10 @@ def joi16_existence_flags(spark, sf):
     return c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.col("o_custkey").isNotNull().alias("has_orders"), F.coalesce("large", F.lit(False)).alias("has_large"))
 
 
-@query("SELECT coalesce(a.k, b.k) AS nation, a.v AS customers, b.v AS suppliers FROM (SELECT c_nationkey k, count(*) v FROM customer WHERE c_acctbal < 0 GROUP BY 1) a FULL JOIN (SELECT s_nationkey k, count(*) v FROM supplier WHERE s_acctbal < 0 GROUP BY 1) b ON a.k = b.k WHERE a.v IS DISTINCT FROM b.v")
+@query("SELECT coalesce(a.k, b.k) AS nation, a.v AS customers, b.v AS suppliers FROM (SELECT c_nationkey k, count(*) v FROM customer GROUP BY 1) a FULL JOIN (SELECT s_nationkey k, count(*) v FROM supplier GROUP BY 1) b ON a.k = b.k WHERE a.v IS DISTINCT FROM b.v")
 def set05_differences(spark, sf):
-    a = D.table(spark, sf, "customer").filter("c_acctbal < 0").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("customers"))
-    b = D.table(spark, sf, "supplier").filter("s_acctbal < 0").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("suppliers"))
+    a = D.table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("customers"))
+    b = D.table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("suppliers"))
     return a.join(b, "nation", "full").filter("not (customers <=> suppliers)").select("nation", "customers", "suppliers")
 
 
@@ -389,7 +389,7 @@ def fun45_density(spark, sf):
     return n.join(e).select("nodes", "edges", _r(G.density(F.col("nodes").cast("double"), F.col("edges").cast("double")), 9).alias("density"))
 
 
-@query("""WITH e AS (SELECT DISTINCT s_nationkey AS n, l_partkey % 50 AS p FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity > 49) SELECT x.n::VARCHAR AS a, y.n::VARCHAR AS b, count(*) AS shared FROM e x JOIN e y ON x.p = y.p AND x.n::VARCHAR < y.n::VARCHAR GROUP BY 1, 2 HAVING count(*) >= 2""")
+@query("""WITH e AS (SELECT DISTINCT s_nationkey AS n, l_partkey AS p FROM lineitem JOIN supplier ON l_suppkey = s_suppkey) SELECT x.n::VARCHAR AS a, y.n::VARCHAR AS b, count(*) AS shared FROM e x JOIN e y ON x.p = y.p AND x.n::VARCHAR < y.n::VARCHAR GROUP BY 1, 2 HAVING count(*) >= 2""")
 def gq23_shared_neighbours(spark, sf):
     line = D.table(spark, sf, "lineitem").join(D.table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     e = line.select(F.col("s_nationkey").cast("string").alias("src"), F.lit("SUPPLIES").alias("type"), F.col("l_partkey").cast("string").alias("dst"))
@@ -433,7 +433,7 @@ def agg05_criteria(spark, sf):
 
 
 @query("""SELECT query, rank::INT AS rank, vec_id, round(score, 5) AS score FROM (SELECT q.vec_id AS query, e.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score,
-row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) DESC, e.vec_id) AS rank FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0) WHERE rank <= 5""")
+row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) DESC, e.vec_id) AS rank FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0) WHERE rank <= 5""")
 def srt07_vector_top_k(spark, sf):
     e = D.table(spark, sf, "embeddings")
     out = V.top_k(e, "vec_id", "embedding", e.filter("vec_id % 20 = 0"), 5)  # the stated query set
