@@ -8,6 +8,7 @@ components, the total the weighted sum of the agents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -31,11 +32,11 @@ ACCEPT = 0.50
 
 # What each predicate looks for: (where, how, words).
 PREDICATES = {
-    "PRE02": ("docs", "any", ("doi.org", "10.",)),
+    "PRE02": ("sources", "any", ("doi.org", "10.",)),
     "PRE03": ("license", "any", ("mit license", "apache license", "gpl", "bsd license", "creative commons", "cc-by", "cc0", "public domain", "mozilla public license", "eclipse public license",)),
-    "PRE04": ("docs", "any", ("readme", "license",)),
-    "PRE08": ("readme", "any", ("setup", "install", "installation", "requirements", "dependencies", "prerequisites", "environment", "configuration",)),
-    "PRE09": ("readme", "any", ("usage", "how to use", "examples", "commands", "run", "execute", "quick start", "getting started",)),
+    "PRE04": ("readmes", "any", ("license",)),
+    "PRE08": ("readmes", "any", ("setup", "install", "installation", "requirements", "dependencies", "prerequisites", "environment", "configuration",)),
+    "PRE09": ("readmes", "any", ("usage", "how to use", "examples", "commands", "run", "execute", "quick start", "getting started",)),
     "PRE10": ("names", "exact", ("dockerfile", "docker-compose.yml", "docker-compose.yaml",)),
     "PRE11": ("names", "exact", ("requirements.txt", "package.json", "pom.xml", "build.gradle", "cargo.toml",)),
     "PRE13": ("docs", "any", ("reproduce", "replicate", "results", "experiments", "evaluation", "benchmark", "performance", "metrics",)),
@@ -43,18 +44,17 @@ PREDICATES = {
     "PRE15": ("docs", "any", ("architecture", "design", "structure", "overview", "system",)),
     "PRE16": ("docs", "any", ("troubleshooting", "faq", "issues", "problems", "debug",)),
     "PRE17": ("names", "any", ("contributing", "contribute",)),
-    "PRE18": ("readme", "any", ("hardware", "cpu", "gpu", "memory", "ram", "storage", "disk space", "processor", "cores", "threads", "minimum requirements",)),
-    "PRE19": ("readme", "any", ("software", "operating system", "os", "python", "java", "c++", "dependencies", "libraries", "packages", "frameworks", "version", "requirements",)),
+    "PRE18": ("docs", "any", ("hardware", "cpu", "gpu", "memory", "ram", "storage", "disk space", "processor", "cores", "threads", "minimum requirements",)),
+    "PRE19": ("docs", "any", ("software", "operating system", "os", "python", "java", "c++", "dependencies", "libraries", "packages", "frameworks", "version", "requirements",)),
     "PRE20": ("names", "exact", ("requirements.txt", "package.json", "pom.xml", "build.gradle", "cargo.toml", "go.mod", "environment.yml",)),
-    "PRE22": ("readme", "any", ("dataset", "data", "format", "schema", "columns", "fields", "attributes", "data description", "data format", "data structure",)),
+    "PRE22": ("docs", "any", ("dataset", "data", "format", "schema", "columns", "fields", "attributes", "data description", "data format", "data structure",)),
     "PRE24": ("names", "any", ("preprocess", "clean", "transform", "prepare",)),
     "PRE27": ("docs", "any", ("results", "performance", "metrics", "accuracy", "precision", "recall", "f1", "benchmark", "evaluation", "comparison",)),
     "PRE28": ("docs", "any", ("validation", "verification", "testing", "quality assurance", "qa", "correctness", "reliability",)),
     "PRE30": ("names", "ends", (".txt", ".md", ".pdf", ".csv", ".json", ".xml", ".yaml", ".yml", ".zip", ".tar.gz", ".py", ".ipynb",)),
-    "PRE31": ("docs", "any", ("readme",)),
-    "PRE33": ("code", "regex", (r"^import\s+", r"^from\s+.*\s+import",)),
+    "PRE33": ("code_files", "cased", (r"(?m)^import\s+", r"(?m)^from\s+.*\s+import",)),
     "PRE34": ("names", "any", ("config", "settings", "env", "ini", "yaml", "yml", "json",)),
-    "PRE35": ("code", "regex", (r"try\s*:", r"except\s*:", r"catch\s*\(", r"finally\s*:", r"raise\s+", r"throw\s+", "error", "exception",)),
+    "PRE35": ("code_files", "regex", (r"try\s*:", r"except\s*:", r"catch\s*\(", r"finally\s*:", r"raise\s+", r"throw\s+", "error", "exception",)),
     "PRE40": ("docs", "any", ("verify", "verification", "validate", "validation", "test", "testing", "quality", "assurance", "correctness", "reliability",)),
     "PRE41": ("names", "any", ("lint", "flake8", "pylint", "eslint", "checkstyle",)),
     "PRE42": ("names", "any", ("benchmark", "performance", "speed", "timing",)),
@@ -64,16 +64,16 @@ PREDICATES = {
     "PRE46": ("names", "any", ("build", "make", "compile", "install.sh", "setup.sh",)),
     "PRE47": ("docs", "any", ("deploy", "deployment", "production", "server", "hosting", "install", "setup", "configuration",)),
     "PRE49": ("names", "any", ("config", "settings", "params", "parameters",)),
-    "PRE50": ("code", "regex", (r"def\s+\w+\s*\([^)]*\)", r"class\s+\w+\s*\([^)]*\)", r"args\.", r"kwargs\.", r"config\[", r"settings\[",)),
+    "PRE50": ("code_files", "cased", (r"def\s+\w+\s*\([^)]*\)", r"class\s+\w+\s*\([^)]*\)", r"args\.", r"kwargs\.", r"config\[", r"settings\[",)),
     "PRE51": ("docs", "any", ("reuse", "reusable", "modular", "component", "library", "api", "interface", "extend", "customize", "configure",)),
-    "PRE52": ("code", "regex", (r'def\s+\w+\s*\([^)]*\):\s*"""[^"]*"""', r'class\s+\w+\s*\([^)]*\):\s*"""[^"]*"""', "@property", "@staticmethod", "@classmethod",)),
-    "PRE53": ("docs", "regex", (r"\d+\.\s+", r"[-*]\s+", r"step\s+\d+", r"first\s+", r"second\s+", r"third\s+",)),
+    "PRE52": ("code_files", "cased", (r'def\s+\w+\s*\([^)]*\):\s*"""[^"]*"""', r'class\s+\w+\s*\([^)]*\):\s*"""[^"]*"""', "@property", "@staticmethod", "@classmethod",)),
+    "PRE53": ("documentation_files", "regex", (r"\d+\.\s+", r"[-*]\s+", r"step\s+\d+", r"first\s+", r"second\s+", r"third\s+",)),
     "PRE54": ("docs", "any", ("environment", "virtual", "venv", "conda", "docker", "container", "python", "java", "node", "npm", "pip", "install",)),
     "PRE55": ("docs", "any", ("install", "dependency", "requirement", "package", "library", "pip install", "npm install", "maven", "gradle",)),
     "PRE56": ("docs", "any", ("troubleshoot", "troubleshooting", "faq", "common issues", "problems", "errors", "debug", "fix",)),
     "PRE57": ("docs", "any", ("verify", "test", "check", "validate", "confirm", "run test", "hello world", "example", "demo",)),
     "PRE58": ("docs", "any", ("example", "usage", "how to", "basic", "simple", "quick start", "getting started", "demo", "tutorial",)),
-    "PRE59": ("docs", "regex", (r"python\s+\w+\.py", r"java\s+\w+", r"node\s+\w+", r"\./[\w-]+", r"bash\s+[\w-]+", r"curl\s+",)),
+    "PRE59": ("documentation_files", "cased", (r"python\s+\w+\.py", r"java\s+\w+", r"node\s+\w+", r"\./[\w-]+", r"bash\s+[\w-]+", r"curl\s+",)),
     "PRE60": ("docs", "any", ("parameter", "argument", "option", "flag", "--", "-", "input", "output", "config", "setting",)),
     "PRE61": ("docs", "any", ("output", "result", "example", "sample", "expected", "should see", "will produce", "generates",)),
     "PRE62": ("docs", "any", ("use case", "scenario", "example", "case study", "application", "workflow", "pipeline", "process",)),
@@ -91,8 +91,8 @@ PREDICATES = {
     "PRE75": ("names", "any", ("gui", "tkinter", "pyqt", "wx", "gtk", "ui",)),
     "PRE76": ("names", "any", ("interactive", "notebook", "jupyter", "demo", "playground",)),
     "PRE77": ("names", "any", ("responsive", "mobile", "adaptive", "flexible",)),
-    "PRE78": ("code", "regex", (r"try\s*:", r"except\s*:", r"catch\s*\(", r"finally\s*:", r"raise\s+", r"throw\s+", "error", "exception",)),
-    "PRE79": ("code", "regex", (r"print\s*\([^)]*error[^)]*\)", r"logging\.[^)]*error[^)]*\)", r"raise\s+[^)]*Error[^)]*\)", r"return\s+[^)]*error[^)]*\)",)),
+    "PRE78": ("code_files", "regex", (r"try\s*:", r"except\s*:", r"catch\s*\(", r"finally\s*:", r"raise\s+", r"throw\s+", "error", "exception",)),
+    "PRE79": ("code_files", "regex", (r"print\s*\([^)]*error[^)]*\)", r"logging\.[^)]*error[^)]*\)", r"raise\s+[^)]*Error[^)]*\)", r"return\s+[^)]*error[^)]*\)",)),
     "PRE80": ("code", "any", ("validate", "validation", "check", "verify", "confirm", "feedback", "message", "notification", "alert",)),
     "PRE81": ("code", "any", ("recover", "restore", "backup", "retry", "fallback", "alternative", "default", "safe", "secure",)),
     "PRE82": ("names", "exact", (".git", ".gitignore", ".gitattributes",)),
@@ -146,28 +146,38 @@ CODE_HOSTS = ("github.com", "gitlab.com", "bitbucket.org")
 UNWORDED = ("comprehensive", "artifact_packaging", "preparation", "result_replication", "review_process")
 
 
+def _content(file: Column) -> Column:
+    return F.concat_ws("\n", F.coalesce(file["content"], F.array().cast("array<string>")))
+
+
 def texts(df: DataFrame) -> DataFrame:
-    """Adds what predicates look at: lower-cased names, paths, docs, code, license and README texts.
+    """Adds what predicates look at: lower-cased names, paths, docs, code, license and READMEs; URL and docs as they are written.
+
+    ``readme`` is the first README as it is written, ``readmes`` all of them.
 
     A missing repository_structure is rebuilt from the paths of the other file lists.
     """
     files = ("documentation_files", "code_files", "license_files", "docker_files")
     listed = reduce(lambda a, c: F.concat(a, F.coalesce(F.transform(c, lambda f: f["path"]), F.array().cast("array<string>"))), files, F.array().cast("array<string>"))
     paths = F.coalesce(F.transform("repository_structure", lambda f: F.coalesce(f["path"], f["name"])), listed)
-    names = F.transform(paths, lambda p: F.lower(F.substring_index(p, "/", -1)))
+    own = F.transform("repository_structure", lambda f: F.coalesce(f["name"], F.substring_index(f["path"], "/", -1)))
+    written = F.coalesce(own, F.transform(listed, lambda p: F.substring_index(p, "/", -1)))
 
-    def whole(column: str) -> Column:
-        return F.coalesce(F.lower(F.concat_ws("\n", F.flatten(F.transform(column, lambda f: F.coalesce(f["content"], F.array().cast("array<string>")))))), F.lit(""))
+    def whole(files: Column) -> Column:
+        return F.coalesce(F.concat_ws("\n", F.transform(files, _content)), F.lit(""))
 
     readmes = F.filter("documentation_files", lambda f: F.lower(f["path"]).contains("readme"))
-    readme = F.coalesce(F.lower(F.concat_ws("\n", F.try_element_at(readmes, F.lit(1))["content"])), F.lit(""))
     return (
         df.withColumn("paths", F.transform(paths, F.lower))
-        .withColumn("names", names)
-        .withColumn("docs", whole("documentation_files"))
-        .withColumn("code", whole("code_files"))
-        .withColumn("license", whole("license_files"))
-        .withColumn("readme", readme)
+        .withColumn("written_names", written)
+        .withColumn("names", F.transform("written_names", F.lower))
+        .withColumn("written_docs", whole(F.col("documentation_files")))
+        .withColumn("docs", F.lower("written_docs"))
+        .withColumn("sources", F.concat_ws("\n", "repository_url", "written_docs"))
+        .withColumn("code", F.lower(whole(F.col("code_files"))))
+        .withColumn("license", F.lower(whole(F.col("license_files"))))
+        .withColumn("readmes", F.lower(whole(readmes)))
+        .withColumn("readme", F.coalesce(_content(F.try_element_at(readmes, F.lit(1))), F.lit("")))
     )
 
 
@@ -178,85 +188,97 @@ def _flag(where: str, how: str, words: tuple[str, ...]) -> Column:
         if how == "ends":
             return F.exists("names", lambda x: reduce(Column.__or__, [x.endswith(w) for w in words]))
         return F.exists("names", lambda x: reduce(Column.__or__, [x.contains(w) for w in words]))
-    text = F.col({"names+docs": "docs", "names+code": "code"}.get(where, where))
-    if how == "regex":
-        return reduce(Column.__or__, [text.rlike(f"(?mi){w}") for w in words])
-    return reduce(Column.__or__, [text.contains(w) for w in words])
+    if how in ("regex", "cased"):  # file by file, so that no match runs from one file into the next
+        mark = "(?Uid)" if how == "regex" else "(?Ud)"
+        return F.exists(where, lambda f: reduce(Column.__or__, [_content(f).rlike(mark + w) for w in words]))
+    return reduce(Column.__or__, [F.col(where).contains(w) for w in words])
 
 
 def _n(column: str) -> Column:
     return F.coalesce(F.size(column), F.lit(0))
 
 
-def flags() -> dict[str, Column]:
-    """Every predicate as a Column over ``texts`` rows."""
+def flags(wanted: set[str] | None = None) -> dict[str, Column]:
+    """Every predicate, or those wanted, as a Column over ``texts`` rows."""
     names, paths, docs, readme, url = F.col("names"), F.col("paths"), F.col("docs"), F.col("readme"), F.lower(F.coalesce("repository_url", F.lit("")))
-    styles = sum(F.exists(F.transform("repository_structure", lambda f: f["name"]), test).cast("int") for test in (lambda x: x.contains("_"), lambda x: x.contains("-"), lambda x: x.rlike("[a-z][A-Z]")))
+    plain = F.lower("readme")
+    styles = sum(F.exists("written_names", test).cast("int") for test in (lambda x: x.contains("_"), lambda x: x.contains("-"), lambda x: x.rlike("[a-z][A-Z]")))
     few_styles = F.coalesce(styles, F.lit(0)) <= 2
     archive, code_host = (reduce(Column.__or__, [url.contains(h) for h in hosts]) for hosts in (ARCHIVE_HOSTS, CODE_HOSTS))
     named_test = F.exists(names, lambda x: x.contains("test"))
+    has_readme = F.exists("documentation_files", lambda f: F.lower(f["path"]).contains("readme"))
 
     def some_path(word: str) -> Column:
         return F.exists(paths, lambda x: x.contains(word))
 
     places = sum(some_path(w).cast("int") for w in ("src", "doc", "test"))
     opened = _flag(*PREDICATES["PRE03"])
-    out = {k: _flag(*v) for k, v in PREDICATES.items() if k != "PRE03"}
-    out |= {
-        "has_name": F.col("repository_name").isNotNull(),
-        "has_url": url != "",
-        "url_valid": url.rlike("^[a-z][a-z0-9+.-]*://[^/]+"),
-        "archive_host": archive,
-        "code_host": code_host & ~archive,
-        "other_host": ~archive & ~code_host,
-        "license_file": _n("license_files") > 0,
-        "license_open": (_n("license_files") > 0) & opened,
-        "license_closed": (_n("license_files") > 0) & ~opened,
-        "has_readme": readme != "",
-        "purpose": readme.rlike("purpose|description|about|overview"),
-        "provenance": readme.rlike("provenance|citation|reference|paper"),
-        "setup_section": readme.rlike("setup|install|installation|requirements"),
-        "usage_section": readme.rlike("usage|how to use|examples|commands"),
-        "PRE06": readme.contains("```") | readme.rlike(r"(?m)^\s+[a-z]"),
-        "PRE07": readme.rlike(r"(?m)^#{1,6}\s+|^[\s]*[-*+]\s+|\[.*\]\(.*\)"),
-        "setup_files": F.exists(names, lambda x: x.rlike("setup|install|requirements|dockerfile")),
-        "example_files": F.exists(paths, lambda x: x.contains("example") | x.contains("demo")),
-        "PRE12": F.exists(names, lambda x: x.endswith(".sh") | x.isin("main.py", "app.py", "run.py", "cli.py")),
-        "any_docs": _n("documentation_files") > 0,
-        "config_files": F.exists(names, lambda x: x.rlike("config|env|environment|settings")),
-        "PRE21": F.exists(paths, lambda x: x.rlike(r"\.(csv|json|tsv|xlsx|xls|parquet|h5|hdf5)$|(^|/)(data|dataset|datasets)/")),
-        "PRE23": docs.contains("dataset") & docs.rlike("https?://"),
-        "PRE25": named_test,
-        "PRE26": F.exists(names, lambda x: x.rlike("eval|benchmark|metrics|performance")),
-        "PRE29": (F.size(names) >= 5) & F.exists(names, lambda x: x.contains("readme")) & F.exists(names, lambda x: x.rlike(r"\.(py|java|cpp|js)$")),
-        "PRE31": (_n("documentation_files") >= 2) & (readme != ""),
-        "PRE32": F.exists(names, lambda x: x.isin("version", "version.txt", "changelog", "changelog.md")) | docs.contains("version") | docs.contains("changelog"),
-        "main_file": F.exists(names, lambda x: x.isin("main.py", "app.py", "run.py", "start.py", "index.py")),
-        "script_files": F.exists(names, lambda x: x.rlike(r"\.(sh|bat|py|js)$")),
-        "ten_entries": F.size(names) >= 10,
-        "PRE36": few_styles,
-        "two_docs": _n("documentation_files") >= 2,
-        "three_code": _n("code_files") >= 3,
-        "PRE37": places >= 2,
-        "PRE38": named_test | some_path("test"),
-        "PRE39": F.exists(names, lambda x: x.rlike("validat|verif")),
-        "PRE48": some_path("module") | F.exists(names, lambda x: x.contains("__init__.py")) | (_n("code_files") > 3),
-        "PRE71": few_styles,
+    special: dict[str, Callable[[], Column]] = {
+        "has_name": lambda: F.col("repository_name") != "",
+        "has_url": lambda: url != "",
+        "url_valid": lambda: url.rlike("^[a-z][a-z0-9+.-]*://[^/?#]+"),
+        "archive_host": lambda: archive,
+        "code_host": lambda: code_host & ~archive,
+        "other_host": lambda: ~archive & ~code_host,
+        "license_file": lambda: _n("license_files") > 0,
+        "license_open": lambda: (_n("license_files") > 0) & opened,
+        "license_closed": lambda: (_n("license_files") > 0) & ~opened,
+        "has_readme": lambda: has_readme,
+        "purpose": lambda: plain.rlike("purpose|description|about|overview"),
+        "provenance": lambda: plain.rlike("provenance|citation|reference|paper"),
+        "setup_section": lambda: plain.rlike("setup|install|installation|requirements"),
+        "usage_section": lambda: plain.rlike("usage|how to use|examples|commands"),
+        "PRE06": lambda: readme.contains("```") | readme.rlike(r"(?Udm)^\s+[a-zA-Z]"),
+        "PRE07": lambda: readme.rlike(r"(?Udm)^#{1,6}\s+|^[\s]*[-*+]\s+|\[.*\]\(.*\)"),
+        "setup_files": lambda: F.exists(names, lambda x: x.rlike("setup|install|requirements|dockerfile")),
+        "example_files": lambda: F.exists(names, lambda x: x.rlike("example|demo|tutorial|notebook")),
+        "PRE12": lambda: F.exists(names, lambda x: x.endswith(".sh") | x.isin("main.py", "app.py", "run.py", "cli.py")),
+        "any_docs": lambda: _n("documentation_files") > 0,
+        "config_files": lambda: F.exists(names, lambda x: x.rlike("config|env|environment|settings")),
+        "PRE21": lambda: F.exists(names, lambda x: x.rlike(r"\.(csv|json|tsv|xlsx|xls|parquet|h5|hdf5)$")) | F.exists(paths, lambda x: x.rlike("data/|dataset/|/datasets/")),
+        "PRE23": lambda: docs.contains("dataset") | F.col("written_docs").rlike("https?://"),
+        "PRE25": lambda: named_test,
+        "PRE26": lambda: F.exists(names, lambda x: x.rlike("eval|benchmark|metrics|performance")),
+        "PRE29": lambda: (F.size(names) >= 5) & F.exists(names, lambda x: x.contains("readme")) & F.exists("written_names", lambda x: x.rlike(r"\.(py|java|cpp|js)$")),
+        "PRE31": lambda: (_n("documentation_files") >= 2) & has_readme,
+        "PRE32": lambda: F.exists(names, lambda x: x.isin("version", "version.txt", "changelog", "changelog.md")) | docs.contains("version") | docs.contains("changelog"),
+        "main_file": lambda: F.exists(names, lambda x: x.isin("main.py", "app.py", "run.py", "start.py", "index.py")),
+        "script_files": lambda: F.exists(names, lambda x: x.rlike(r"\.(sh|bat|py|js)$")),
+        "ten_entries": lambda: F.size(names) >= 10,
+        "PRE36": lambda: few_styles,
+        "two_docs": lambda: _n("documentation_files") >= 2,
+        "three_code": lambda: _n("code_files") >= 3,
+        "PRE37": lambda: places >= 2,
+        "PRE38": lambda: named_test | some_path("test"),
+        "PRE39": lambda: F.exists(names, lambda x: x.rlike("validate|validation|verify|verification")),
+        "PRE48": lambda: some_path("module") | F.exists("written_names", lambda x: x.contains("__init__.py")) | (_n("code_files") > 3),
+        "PRE71": lambda: few_styles,
     }
-    return {k: F.coalesce(v, F.lit(False)) for k, v in out.items()}
+    made = {k: (lambda v=v: _flag(*v)) for k, v in PREDICATES.items() if k != "PRE03"} | special
+    return {k: F.coalesce(v(), F.lit(False)) for k, v in made.items() if wanted is None or k in wanted}
+
+
+def _score(found: dict[str, Column], weighted: tuple[tuple[str, float], ...]) -> Column:
+    """The weights added in their order and not rounded: 0.3 + 0.2 + 0.2 + 0.1 stays below the tier of 0.8."""
+    return F.least(F.lit(1.0), sum((F.when(found[p], w).otherwise(0.0) for p, w in weighted), F.lit(0.0)))
+
+
+def component(df: DataFrame, dimension: str, name: str) -> DataFrame:
+    """(artifact_name, score and each predicate of one component, in lower case)."""
+    weighted = COMPONENTS[dimension][name]
+    found = flags({p for p, _ in weighted})
+    return texts(df).select("artifact_name", _score(found, weighted).alias("score"), *(found[p].alias(p.lower()) for p, _ in weighted))
 
 
-def component_scores(df: DataFrame) -> DataFrame:
+def component_scores(df: DataFrame, dimensions: tuple[str, ...] | None = None) -> DataFrame:
     """(artifact_name, dimension, component, score, evidence): evidence lists the predicates that hold."""
-    found = flags()
+    chosen = {d: parts for d, parts in COMPONENTS.items() if dimensions is None or d in dimensions}
+    found = flags({p for parts in chosen.values() for weighted in parts.values() for p, _ in weighted})
     rows = []
-    for dimension, parts in COMPONENTS.items():
-        for component, weighted in parts.items():
-            score = F.least(F.lit(1.0), sum((F.when(found[p], w).otherwise(0.0) for p, w in weighted), F.lit(0.0)))
-            if component == "readme":
-                score = F.when(found["has_readme"], score).otherwise(0.0)
+    for dimension, parts in chosen.items():
+        for name, weighted in parts.items():
             evidence = F.array_compact(F.array(*(F.when(found[p], F.lit(p)) for p, _ in weighted)))
-            rows.append(F.struct(F.lit(dimension).alias("dimension"), F.lit(component).alias("component"), F.round(score, 6).alias("score"), evidence.alias("evidence")))
+            rows.append(F.struct(F.lit(dimension).alias("dimension"), F.lit(name).alias("component"), _score(found, weighted).alias("score"), evidence.alias("evidence")))
     return texts(df).select("artifact_name", F.explode(F.array(*rows)).alias("r")).select("artifact_name", "r.*")
 
 

@@ -13,11 +13,12 @@ from ..operators import graph as G
 from ..operators import keywords as K
 from ..operators import similarity as V
 from ..operators import statistics as S
+from . import agent_queries as R
 from . import standins as D
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Query] = dict(R.QUERIES)
+ORACLES: dict[str, str] = dict(R.ORACLES)
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -37,23 +38,6 @@ def _r(c, n=6):
 # --- text signals -----------------------------------------------------------------
 
 
-@query("""
-WITH f AS (SELECT source AS artifact, doc_id, contains(lower(text), 'license') AS lic, contains(lower(text), 'mit license') OR contains(lower(text), 'apache license') OR contains(lower(text), 'gpl') AS opened, contains(lower(text), 'readme') AS named FROM documents),
-a AS (SELECT artifact, count(*) AS n_files, count_if(lic)::BIGINT AS n_license, round(least(1.0, 0.4 * max(lic::INT) + 0.4 * max(opened::INT) + 0.2 * max((named OR lic)::INT))::DOUBLE, 6) AS licensing FROM f GROUP BY 1)
-SELECT artifact, n_files, n_license, licensing, licensing >= 0.5 AS accepted, (row_number() OVER (ORDER BY licensing DESC, n_license DESC, artifact))::INT AS rank FROM a
-""")
-def com04_licensing(spark, sf):
-    """License flags of every artifact's files, weighted, capped and ranked (the flagship query)."""
-    flags = D.files(spark, sf).select(
-        "artifact", X.has_any("text", ("license",)).alias("lic"), X.has_any("text", ("mit license", "apache license", "gpl")).alias("opened"), X.has_any("text", ("readme", "license")).alias("named")
-    )
-    has = lambda c: F.max(F.col(c).cast("int"))
-    score = _r(F.least(F.lit(1.0), 0.4 * has("lic") + 0.4 * has("opened") + 0.2 * has("named")))
-    per = flags.groupBy("artifact").agg(F.count("*").alias("n_files"), F.count_if("lic").alias("n_license"), score.alias("licensing"))
-    order = Window.orderBy(F.desc("licensing"), F.desc("n_license"), "artifact")
-    return per.withColumn("accepted", F.col("licensing") >= 0.5).withColumn("rank", F.row_number().over(order))
-
-
 @query(r"""
 SELECT doc_id, regexp_matches(lower(text), 'mit license|apache license|gpl|lgpl|bsd license|cc-by|creative commons|epl|eupl|mpl|unlicense') AS license,
   regexp_matches(lower(text), 'how to cite|citation|doi:|zenodo|paper url') AS citation, regexp_matches(lower(text), 'author|contributors|maintainers|developer') AS author FROM documents

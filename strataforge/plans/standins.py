@@ -103,3 +103,51 @@ nodes AS (SELECT 'R' || r_regionkey AS id, 'Region' AS label, r_name AS name FRO
 edges AS (SELECT 'R' || n_regionkey AS src, 'CONTAINS' AS type, 'N' || n_nationkey AS dst FROM nation UNION ALL SELECT 'N' || c_nationkey, 'CONTAINS', 'C' || c_custkey FROM customer
   UNION ALL SELECT 'N' || s_nationkey, 'CONTAINS', 'S' || s_suppkey FROM supplier
   UNION ALL SELECT DISTINCT 'C' || o_custkey, 'ORDERED', 'S' || l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+
+# What artifacts are dealt from: each holds the entries, phrases, lines, license and URL that its id names.
+PATHS = (
+    "README.md", "docs/readme.txt", "docs/api.md", "CONTRIBUTING.md", "contribute.txt", "Dockerfile", "docker-compose.yml", "requirements.txt", "package.json", "pom.xml", "Cargo.toml", "go.mod", "environment.yml",
+    "setup.py", "install.sh", "scripts/setup.sh", "Makefile", "build.gradle", "dist/app.zip", "src/main.py", "src/app.py", "src/cli.py", "src/run.py", "start.py", "index.py", "src/__init__.py", "src/module_a.java", "web/index.html",
+    "web/style.css", "web/app.js", "run.bat", "example_one.ipynb", "tutorial-two.ipynb", "notebooks/playNotebook.ipynb", "demo.cpp", "tests/helper.py", "test_main.py", "main_test.py", "validate.py", "validators.py", "verification.txt",
+    "eval.py", "benchmark-speed.py", "timing.log", "metrics.csv", "data/items.bin", "metadata/items.bin", "datasets/items.bin", "big/datasets/items.parquet", "preprocess.py", "clean.R", "config.yaml", "settings.ini", "params.toml",
+    "venv/pip.cfg", "conda.lock", "pylint.rc", ".eslintrc", ".gitignore", ".git", "CHANGELOG.md", "VERSION", "history.rst", "issue_template.txt", "bugs.txt", "feedback.html", "TODO", "gui_tkinter.py", "mobileView.js", "adaptive.css", "a.py.bak",
+)
+PHRASES = (
+    "purpose", "provenance", "citation", "Install", "Requirements", "prerequisites", "usage", "How to use", "quick start", "```", "    indented", "# Title", "* item", "[a](b)", "doi.org", "DOI.ORG", "10.1145", "license", "reproduce", "metrics",
+    "architecture", "design", "FAQ", "debug", "hardware", "GPU", "disk space", "software", "c++", "dataset", "schema", "http://x.org", "HTTPS://X.ORG", "accuracy", "f1", "quality assurance", "reliability", "version", "Changelog", "verify", "deploy",
+    "hosting", "reuse", "customize", "1. go", "step 2", "conda", "npm", "maven", "fix", "confirm", "hello world", "tutorial", "python x.py", "Python y.py", "./run", "curl -O", "flag", "output", "should see", "scenario", "workflow", "paper results",
+    "precision", "baseline", "state-of-the-art", "intuitive", "user-friendly", "beginner", "walkthrough", "manual", "screen reader", "font size", "update", "latest",
+)
+CODE_LINES = (
+    "import os", "  import sys", "Import x", "from a import b", "try:", "catch (E e)", "raise ValueError", "an Error", "def f(a, b):", '"""Says what."""', "class A(B):", "DEF g(x)", "args.x", "Args.x", "config[1]", "@property", "x = 1",
+    "print('error')", "return (1, error)", "logging.info(x)", "validate(x)", "alert", "retry", "fallback", "open('f(", "')", "raise",
+)
+LICENSES = ("MIT License", "Apache License", "GPL", "all rights reserved", "CC-BY 4.0", "proprietary", "public domain")
+URLS = ("https://zenodo.org/record/1", "https://github.com/a/b", "https://doi.org/10.5281/x", "", "gitlab.com/a", "https://Dataverse.org/x", "https://example.org/v10.2", "https://github.com/zenodo", "ftp://osf.io", "http://?q", "bitbucket.org")
+
+
+def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Artifact rows (``agents.ARTIFACT``'s columns that predicates read): one a document, whose text its README holds."""
+    d = F.col("doc_id")
+    fixed = lambda items: F.split(F.lit("\n".join(items)), "\n")  # noqa: E731  one literal, folded to an array
+
+    def dealt(items, step: int, share: int):
+        return F.filter(fixed(items), lambda x, i: (d * (i + step) + i) % 97 < 97 // share)
+
+    def files(*made):
+        return F.filter(F.array(*(F.when(keep, F.struct(F.lit(path).alias("path"), content.alias("content"))) for keep, path, content in made)), lambda f: f.isNotNull())
+
+    guide = dealt(PHRASES, 5, 23)
+    readme = F.concat(dealt(PHRASES, 2, 19), F.split(F.coalesce("text", F.lit("")), "\n"))
+    code = lambda j: F.filter(fixed(CODE_LINES), lambda x, i: (d + j * 5 + i * 3) % 11 == 0)
+    license_line = lambda i: F.array(F.element_at(fixed(LICENSES), (i % len(LICENSES)).cast("int") + 1))
+    return table(spark, sf_dir, "documents").select(
+        d.cast("string").alias("artifact_name"),
+        F.when(d % 4 == 0, None).when(d % 4 == 1, "").otherwise(F.col("source")).alias("repository_name"),
+        F.when(d % 11 != 0, F.element_at(fixed(URLS), (d % len(URLS)).cast("int") + 1)).alias("repository_url"),
+        F.transform(dealt(PATHS, 3, 7), lambda p: F.struct(F.substring_index(p, "/", -1).alias("name"), p.alias("path"))).alias("repository_structure"),
+        files((d % 3 == 0, "docs/guide.md", guide), (d % 4 != 0, "README.md", readme), (d % 5 == 0, "docs/Readme.txt", guide)).alias("documentation_files"),
+        files(*((d % 5 > j, f"f{j}.py", code(j)) for j in range(4))).alias("code_files"),
+        files((d % 3 == 1, "LICENSE", license_line(d)), ((d % 3 == 1) & (d % 2 == 1), "LICENSE.2", license_line(d + 3))).alias("license_files"),
+        files((F.lit(False), "", guide)).alias("docker_files"),
+    )

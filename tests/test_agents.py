@@ -68,3 +68,25 @@ def test_tier_needs_every_component(spark):
     rows = [("a", "documentation", c, v, []) for c, v in (("readme", 1.0), ("setup_instructions", 0.9), ("usage_instructions", 0.5), ("comprehensive", 0.0))]
     out = A.agent_scores(spark.createDataFrame(rows, "artifact_name string, dimension string, component string, score double, evidence array<string>")).first()
     assert out["justification"] == "fair documentation" and out["score"] == 0.6
+
+
+def test_flags_read_the_files_that_the_rules_name(spark):
+    two = [("guide.md", ["GPU"]), ("README.md", []), ("docs/readme.txt", ["Install", "License"])]
+    found = held(spark, documentation_files=two)
+    assert {"has_readme", "PRE04", "PRE08", "PRE18", "PRE31"} <= found and not found & {"setup_section", "PRE06"}
+    assert "PRE04" not in held(spark, documentation_files=[("guide.md", ["license"])])
+    assert "PRE02" in held(spark, repository_url="https://doi.org/1") and "PRE02" not in held(spark, documentation_files=[("a.md", ["DOI.ORG"])])
+    assert "PRE23" in held(spark, documentation_files=[("a.md", ["http://x"])]) and "PRE23" in held(spark, documentation_files=[("a.md", ["Dataset"])])
+    assert "PRE21" in held(spark, repository_structure=entries("metadata/a.bin")) and "PRE21" not in held(spark, repository_structure=entries("datasets/a.bin"))
+    assert "PRE39" not in held(spark, repository_structure=entries("validator.py")) and "example_files" in held(spark, repository_structure=entries("tutorial.md"))
+    assert "PRE33" not in held(spark, code_files=[("a.py", ["Import os"])]) and "PRE59" not in held(spark, documentation_files=[("a.md", ["Python x.py"])])
+    assert "PRE50" not in held(spark, code_files=[("a.py", ["def f("]), ("b.py", [")"])]) and "PRE50" in held(spark, code_files=[("a.py", ["def f(", ")"])])
+
+
+def test_sums_are_not_rounded_before_the_tiers(spark):
+    rows = [artifact("x", repository_structure=entries("gui.js", "cli.md", "notebook.md", "mobile.md"))]
+    got = A.component(spark.createDataFrame(rows, A.ARTIFACT), "usability", "user_interface").first()["score"]
+    assert got == 0.3 + 0.2 + 0.2 + 0.2 + 0.1
+    rows = [artifact("y", repository_structure=entries("a.js", "cli.md", "gui.md", "mobile.md"))]
+    got = A.component(spark.createDataFrame(rows, A.ARTIFACT), "usability", "user_interface").first()["score"]
+    assert got == 0.3 + 0.2 + 0.2 + 0.1 and got < 0.8
