@@ -1,11 +1,12 @@
 """WARC archives and an index of captures, merged from sorted runs by a loser tree.
 
-Records are written as text rows that end in the two line breaks a WARC record
-ends in, so each file Spark writes is a WARC file (gzip), on whatever file system
-the shared folder is.  Reading goes by Content-Length.  Each archive gives one run
-of index rows, sorted by URL key and time.  Runs are cut at range boundaries of
-(URL key, time, page), which splits even one URL's history, and every range merges
-its pieces of all runs with a loser tree.
+Every record is a gzip member of its own, and an archive is closed when its members
+reach ``ARCHIVE_BYTES``; Spark's text writer puts each archive, one row, into a file on
+whatever file system the shared folder is (so names end in ``.txt``).  Reading unzips
+one member after the other.  Each archive gives one run of index rows, sorted by URL key
+and time, each with the file, offset and length of its record.  Runs are cut at range
+boundaries of (URL key, time, page), which splits even one URL's history, and every
+range merges its pieces of all runs with a loser tree.
 """
 
 from __future__ import annotations
@@ -23,13 +24,13 @@ from .workspace import checked_broadcast, partitions, scratch
 
 #: Least payload of which a second copy is written as a revisit.
 REVISIT_BYTES = 1000
-#: Records of an archive at most.
-ARCHIVE_RECORDS = 2048
+#: Bytes at which an archive is closed; only a record that is larger by itself makes a larger one.
+ARCHIVE_BYTES = 32 << 20
 #: Time of page 0; each page is captured a second after the one before.
 EPOCH = 1_704_067_200
 END = "\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_SCHEMA = "archive string, place long, urlkey string, captured string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+_SCHEMA = "archive string, place long, urlkey string, captured string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, offset long, length long"
 
 
 def _record_id(page: Column, digest: Column) -> Column:
@@ -79,9 +80,39 @@ def records(pages: DataFrame) -> DataFrame:
     return rows.select(F.concat(*head).alias("record"))
 
 
+def _member(data: bytes) -> bytes:
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return packer.compress(data) + packer.flush()
+
+
+def _archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per archive, without its last byte: a gzip member ends in the highest byte of its size.
+
+    That byte is 0 for less than 16 MB; after a larger record an empty member is added.
+    The writer's line separator puts the 0 back.
+    """
+
+    def closed(members: list[bytes]) -> pa.RecordBatch:
+        if members[-1][-1]:
+            members.append(_member(b""))
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(members)[:-1]], pa.binary())], names=["archive"])
+
+    members, size = [], 0
+    for batch in batches:
+        for record in batch.column(0).cast(pa.binary()):
+            members.append(_member(record.as_py() + END.encode()))
+            size += len(members[-1])
+            if size >= ARCHIVE_BYTES:
+                yield closed(members)
+                members, size = [], 0
+    if members:
+        yield closed(members)
+
+
 def write_archives(pages: DataFrame, path: str) -> None:
-    """Write every page's record to gzip WARC files below ``path``."""
-    records(pages).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
+    """Write every page's record to WARC files below ``path``, a gzip member a record."""
+    made = records(pages).mapInArrow(_archives, "archive binary").select(F.col("archive").cast("string"))
+    made.write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
 
 
 def url_key(url: str | None) -> str:
@@ -92,30 +123,30 @@ def url_key(url: str | None) -> str:
     return ",".join(reversed(host.split("."))) + ")" + cut + rest
 
 
-def _unzipped(content: bytes) -> bytes:
-    out = []
-    while content:
+def parse(content: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
+    """(offset, length, header, block) of each member of an archive, one unzipped at a time; a damaged one raises ValueError."""
+    at, end, view = 0, END.encode(), memoryview(content)
+    while at < len(view):
         one = zlib.decompressobj(31)
-        out.append(one.decompress(content))
-        content = one.unused_data
-    return b"".join(out)
-
-
-def parse(content: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, header, block) of each record of an unzipped archive; a damaged one raises ValueError."""
-    at, end = 0, END.encode()
-    while at < len(content):
-        head = content.index(end, at)
-        lines = content[at:head].decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        header = dict(line.split(": ", 1) for line in lines[1:])
-        begin = head + len(end)
-        past = begin + int(header["Content-Length"])
-        if content[past : past + len(end)] != end:
-            raise ValueError(f"record at byte {at} has another length")
-        yield at, header, content[begin:past]
-        at = past + len(end)
+        parts, fed = [], at
+        try:
+            while not one.eof and fed < len(view):
+                parts.append(one.decompress(view[fed : fed + (1 << 16)]))
+                fed += 1 << 16
+        except zlib.error as e:
+            raise ValueError(f"no gzip member at byte {at}") from e
+        if not one.eof:
+            raise ValueError(f"member at byte {at} is cut off")
+        past = min(fed, len(view)) - len(one.unused_data)
+        record = b"".join(parts)
+        if record:
+            head, _, rest = record.partition(end)
+            lines = head.decode().split("\r\n")
+            header = dict(line.split(": ", 1) for line in lines[1:])
+            if not lines[0].startswith("WARC/") or len(rest) != int(header["Content-Length"]) + len(end) or not rest.endswith(end):
+                raise ValueError(f"member at byte {at} is no whole record")
+            yield at, past - at, header, rest[: -len(end)]
+        at = past
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,19 +154,20 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column(0), batch.column(1), strict=True):
             rows = []
-            for _, header, block in parse(_unzipped(content.as_py())):
+            name = path.as_py()
+            for offset, length, header, block in parse(content.as_buffer()):
                 http, _, payload = block.partition(END.encode())
                 size, digest = int(http.rpartition(b": ")[2]), header["WARC-Payload-Digest"].removeprefix("sha1:")
                 if header["WARC-Type"] == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):  # noqa: S324
                     raise ValueError(f"{path}: payload of page {header.get('X-Page')} is damaged")
                 page, first = header.get("X-Page"), header.get("X-Refers-To-Page")
-                rows.append((url_key(header.get("WARC-Target-URI")), header["WARC-Date"], int(page) if page else None, size, digest, header["WARC-Type"], int(first) if first else None))
+                rows.append((url_key(header.get("WARC-Target-URI")), header["WARC-Date"], int(page) if page else None, size, digest, header["WARC-Type"], int(first) if first else None, name, offset, length))
             rows.sort(key=_order)
-            columns = list(zip(*rows, strict=True)) or [()] * 7
-            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+            columns = list(zip(*rows, strict=True)) or [()] * 10
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([path.as_py()] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
-                names=["archive", "place", "urlkey", "captured", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
+                [pa.array([name] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
+                names=["archive", "place", "urlkey", "captured", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "file", "offset", "length"],
             )
 
 
@@ -197,11 +229,11 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def capture_index(spark: SparkSession, path: str) -> DataFrame:
-    """(urlkey, captured, page_id, payload_bytes, payload_digest, record_type, refers_to) of all records below ``path``.
+    """(urlkey, captured, page_id, payload_bytes, payload_digest, record_type, refers_to, file, offset, length) of all records below ``path``.
 
     Globally ordered by URL key, time and page: partition by partition, and within each.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("path", "content")
     runs = files.mapInArrow(_index, _SCHEMA)
     ranged = runs.repartitionByRange(partitions(spark), "urlkey", "captured", F.asc_nulls_first("page_id")).sortWithinPartitions("archive", "place")
     return ranged.mapInArrow(_merge, _SCHEMA.removeprefix("archive string, place long, "))
@@ -212,7 +244,7 @@ def archived(pages: DataFrame) -> DataFrame:
 
     A null html is an empty payload, a null url has no key; rows that repeat the
     page_id of a response are responses too; extra columns are ignored.  No rows
-    give no records.
+    give no records.  Memory is bounded by an archive and one record, however long.
     """
     spark = pages.sparkSession
     path = scratch(spark, "warc")

@@ -1,5 +1,6 @@
 """Corpus operators against brute force and on hard rows: nulls, empty and long texts, ties, repeats, empty tables."""
 
+import gzip
 import hashlib
 import random
 import re
@@ -8,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from strataforge.llm import annforest, components, decontamination, extraction, jaccard, mixing, sharding, substring, toxicity, urlfilter, warc
@@ -378,6 +380,28 @@ def test_warc_round_trip(spark):
         want[(page, len(data), hashlib.sha1(data).hexdigest(), "revisit" if again else "response", 9 if again else None)] += 1
     assert got == want
     assert warc.archived(pages.limit(0)).count() == 0
+    for r in out:  # the locator of every row leads to its record, a gzip member of its own
+        with open(r["file"].removeprefix("file:"), "rb") as f:
+            f.seek(r["offset"])
+            (offset, length, header, block), *more = warc.parse(f.read(r["length"]))
+        assert (offset, length, more) == (0, r["length"], []) and header.get("X-Page") == (None if r["page_id"] is None else str(r["page_id"]))
+        assert header["WARC-Type"] == "revisit" or hashlib.sha1(block.partition(b"\r\n\r\n")[2]).hexdigest() == r["payload_digest"]
+
+
+def test_warc_long_pages_and_archives_by_bytes(spark, monkeypatch):
+    rng = random.Random(2)
+    noise = "".join(chr(rng.randrange(32, 0x2000)) for _ in range(200_000))
+    pages = spark.createDataFrame([(1, "u", "x" * (17 << 20)), (2, "u", noise), (3, "u", noise), (4, "v", "y")], "page_id long, url string, html string").coalesce(1)
+    out = {r["page_id"]: r for r in warc.archived(pages).collect()}
+    assert out[1]["payload_bytes"] == 17 << 20 and (out[2]["record_type"], out[2]["refers_to"]) == ("revisit", 3) and len({r["file"] for r in out.values()}) == 1
+    records = [r[0].encode() for r in warc.records(pages).collect()]
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 1 << 10)
+    made = [r.column(0)[0].as_py() + b"\0" for r in warc._archives(iter([pa.RecordBatch.from_pydict({"record": [x.decode() for x in records]})]))]
+    assert len(made) > 1 and sum(len(list(warc.parse(a))) for a in made) == 4
+    assert b"".join(gzip.decompress(a) for a in made) == b"".join(x + b"\r\n\r\n" for x in records)
+    for damaged in (made[0][:-9], made[0][5:], made[-1] + b"garbage"):
+        with pytest.raises(ValueError):
+            list(warc.parse(damaged))
 
 
 def test_loser_tree():
