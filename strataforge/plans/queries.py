@@ -14,11 +14,12 @@ from ..operators import keywords as K
 from ..operators import similarity as V
 from ..operators import statistics as S
 from . import agent_queries as R
+from . import profile_queries as C
 from . import standins as D
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = dict(R.QUERIES)
-ORACLES: dict[str, str] = dict(R.ORACLES)
+QUERIES: dict[str, Query] = R.QUERIES | C.QUERIES
+ORACLES: dict[str, str] = R.ORACLES | C.ORACLES
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -565,12 +566,6 @@ def agg26_run_statistics(spark, sf):
     return c.groupBy("role").agg(F.count("*").alias("turns"), F.count_if(F.length("text") > 0).alias("filled"), _r(F.avg(F.length("text"))).alias("mean"))
 
 
-@query("SELECT doc_id, length(text) - length(replace(text, 'the', '')) AS chars, ((length(text) - length(replace(text, 'the', ''))) // 3)::BIGINT AS strict, CASE WHEN (length(text) - length(replace(text, 'the', ''))) // 3 > (length(text) - length(replace(text, 'de', ''))) // 2 THEN 'en' ELSE 'other' END AS domain FROM documents")
-def agg33_domain_score(spark, sf):
-    t = D.table(spark, sf, "documents")
-    return t.select("doc_id", (F.length("text") - F.length(F.replace("text", F.lit("the"), F.lit("")))).cast("long").alias("chars"), X.count_of("text", "the").alias("strict"), F.when(X.count_of("text", "the") > X.count_of("text", "de"), "en").otherwise("other").alias("domain"))
-
-
 @query(f"WITH {D.WEIGHTS_SQL} SELECT x.venue AS a, y.venue AS b, round(sum(x.weight * y.weight) / (sqrt(sum(x.weight * x.weight)) * sqrt(sum(y.weight * y.weight))), 6) AS similarity FROM weights x JOIN weights y ON x.dimension = y.dimension AND x.venue < y.venue GROUP BY 1, 2")
 def ml05_venue_similarity(spark, sf):
     """Cosine of the numeric weight vectors of every two venues (25 nations)."""
