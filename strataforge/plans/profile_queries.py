@@ -56,19 +56,18 @@ def _texts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_TEXTS}, {_DOMAINS} SELECT doc_id, category, score FROM domains")
 def agg33_domain_score(spark, sf):
-    score = F.greatest(*V.domain_scores("text", "keys").values())
-    return _texts(spark, sf).select("doc_id", V.domain("text", "keys").alias("category"), score.alias("score"))
+    score = F.greatest(*(F.col("__domains")[d] for d in V.DOMAINS))
+    return V.prepared(_texts(spark, sf), "text", "keys").select("doc_id", V.domain().alias("category"), score.alias("score"))
 
 
 @query(f"WITH {_TEXTS}, {_EMPHASIS} SELECT doc_id, dimension, score, round(weight, 6) AS weight FROM emphasis")
 def agg34_dimension_emphasis(spark, sf):
-    return V.emphasis(_texts(spark, sf), "doc_id", "text")
+    return V.emphasis(V.prepared(_texts(spark, sf), "text"), "doc_id")
 
 
 @query(f"WITH {_TEXTS}, {_STYLES} SELECT doc_id, strict, moderate, lenient, style, CASE style WHEN 'strict' THEN 0.8::DOUBLE WHEN 'lenient' THEN 0.5::DOUBLE ELSE 0.7::DOUBLE END AS threshold FROM styles")
 def agg35_evaluation_style(spark, sf):
-    counts = [c.alias(k) for k, c in V.style_counts("text").items()]
-    return _texts(spark, sf).select("doc_id", *counts, V.style("text").alias("style")).withColumn("threshold", V.threshold("style"))
+    return V.prepared(_texts(spark, sf), "text").select("doc_id", "__styles.*", V.style().alias("style")).withColumn("threshold", V.threshold("style"))
 
 
 @query(f"""WITH {_TEXTS}, {_DOMAINS}, {_EMPHASIS}, {_STYLES},

@@ -54,47 +54,70 @@ def _first_most(scores: dict[str, Column]) -> Column:
     return F.array_max(F.array(*(F.struct(c.alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("name")) for i, (name, c) in enumerate(scores.items()))))["name"]
 
 
-def domain_scores(text: str, keywords: str | None = None) -> dict[str, Column]:
-    """Score of each domain: occurrences of its words, and 2 for each (keyword, word) of which one holds the other."""
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+def prepared(rows: DataFrame, text: str, keywords: str | None = None) -> DataFrame:
+    """Adds what the rules below read, each computed once a row: scores of domains and dimensions, counts of styles (__domains, __dimensions, __styles).
+
+    A null text counts as empty. ``keywords`` names an array of the venue's own key phrases, which a replaceable extractor gives.
+    """
+    keys = F.array().cast("array<string>") if keywords is None else F.transform(F.coalesce(F.col(keywords), F.array().cast("array<string>")), F.lower)
+    lowered = rows.withColumns({"__low": F.lower(F.coalesce(F.col(text), F.lit(""))), "__keys": keys})
+    counted = lowered.withColumns({"__domains": _struct(domain_scores("__low", "__keys")), "__dimensions": _struct(emphasis_scores("__low")), "__styles": _struct(style_counts("__low"))})
+    return counted.drop("__low", "__keys")
+
 
-    def score(words: tuple[str, ...]) -> Column:
-        found = _sum(X.count_of(low, w) for w in words)
-        if keywords is None:
-            return found
-        held = F.array(*map(F.lit, words))
-        touching = lambda k: F.size(F.filter(held, lambda w: F.contains(F.lower(k), w) | F.contains(w, F.lower(k))))
-        return found + F.aggregate(F.coalesce(F.col(keywords), F.array().cast("array<string>")), F.lit(0).cast("long"), lambda a, k: a + 2 * touching(k))
+def _struct(parts: dict[str, Column]) -> Column:
+    return F.struct(*(c.alias(name) for name, c in parts.items()))
 
-    return {name: score(words) for name, words in DOMAINS.items()}
 
+def _fields(column: str, names) -> dict[str, Column]:
+    return {name: F.col(column)[name] for name in names}
 
-def domain(text: str, keywords: str | None = None) -> Column:
-    return _first_most(domain_scores(text, keywords))
 
+def _occurrences(column: str, word: str) -> str:
+    return f"(length({column}) - length(replace({column}, '{word}', ''))) div {len(word)}"
+
+
+def _total(terms: list[str]) -> Column:
+    """A long sum as one SQL text: the driver builds it in one call instead of several a word."""
+    return F.expr(" + ".join(terms))
+
+
+def domain_scores(low: str, keys: str) -> dict[str, Column]:
+    """Score of each domain: occurrences of its words, and 2 for each (keyword, word) of which one holds the other."""
+    touching = lambda w: f"2 * size(filter({keys}, k -> contains(k, '{w}') or contains('{w}', k)))"
+    return {name: _total([t for w in words for t in (_occurrences(low, w), touching(w))]) for name, words in DOMAINS.items()}
 
-def emphasis_scores(text: str) -> dict[str, Column]:
+
+def emphasis_scores(low: str) -> dict[str, Column]:
     """Per dimension: occurrences of its words anywhere, and again of those that stand as whole words."""
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    return {name: _sum(X.count_of(low, w) for w in words) + F.regexp_count(low, F.lit(rf"(?U)\b(?:{'|'.join(words)})\b")) for name, words in DIMENSIONS.items()}
+    return {name: _total([_occurrences(low, w) for w in words]) + F.regexp_count(low, F.lit(rf"(?U)\b(?:{'|'.join(words)})\b")) for name, words in DIMENSIONS.items()}
 
 
-def emphasis(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, dimension, score, weight): scores as shares of their sum, equal shares where no word occurs."""
-    scored = rows.select(key, F.array(*(F.struct(F.lit(d).alias("dimension"), c.alias("score")) for d, c in emphasis_scores(text).items())).alias("s"))
-    total = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["score"])
-    weight = F.coalesce(F.try_divide(F.col("x.score"), F.col("total")), F.lit(1 / len(DIMENSIONS)))
-    return scored.select(key, total.alias("total"), F.explode("s").alias("x")).select(key, "x.dimension", "x.score", F.round(weight, 6).alias("weight"))
+def style_counts(low: str) -> dict[str, Column]:
+    return {name: _total([_occurrences(low, w) for w in words]) for name, (words, _) in STYLES.items()}
 
 
-def style_counts(text: str) -> dict[str, Column]:
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    return {name: _sum(X.count_of(low, w) for w in words) for name, (words, _) in STYLES.items()}
+def domain() -> Column:
+    """Of ``prepared`` rows, the domain with the highest score, the first of equals."""
+    return _first_most(_fields("__domains", DOMAINS))
 
 
-def style(text: str) -> Column:
-    """strict or lenient where its words outnumber both others, else moderate."""
-    n = style_counts(text)
+def shares() -> dict[str, Column]:
+    """Of ``prepared`` rows, each dimension's share of all scores, equal shares where no word occurs."""
+    scores = _fields("__dimensions", DIMENSIONS)
+    total = _sum(scores.values())
+    return {name: F.coalesce(F.try_divide(c, total), F.lit(1 / len(scores))) for name, c in scores.items()}
+
+
+def emphasis(rows: DataFrame, key: str) -> DataFrame:
+    """(key, dimension, score, weight) of ``prepared`` rows."""
+    parts = [F.struct(F.lit(d).alias("dimension"), F.col("__dimensions")[d].alias("score"), F.round(w, 6).alias("weight")) for d, w in shares().items()]
+    return rows.select(key, F.explode(F.array(*parts)).alias("x")).select(key, "x.dimension", "x.score", "x.weight")
+
+
+def style() -> Column:
+    """Of ``prepared`` rows: strict or lenient where its words outnumber both others, else moderate."""
+    n = _fields("__styles", STYLES)
     return F.when((n["strict"] > n["moderate"]) & (n["strict"] > n["lenient"]), "strict").when((n["lenient"] > n["moderate"]) & (n["lenient"] > n["strict"]), "lenient").otherwise("moderate")
 
 
@@ -104,16 +127,14 @@ def threshold(style: Column | str) -> Column:
 
 
 def profiles(rows: DataFrame, name: str, text: str, keywords: str | None = None) -> DataFrame:
-    """One profile a row: name, category, emphasis map, top_emphasis, threshold, style, text_length, n_guidelines.
+    """One profile a row: name, category, emphasis map, top_emphasis, style, threshold, text_length, n_guidelines.
 
-    A null or empty text has the first domain, equal emphasis and a moderate style.
-    ``keywords`` names an array of the venue's own key phrases, which a replaceable extractor gives.
+    A null or empty text has equal emphasis and a moderate style, and the first domain unless keywords say another.
     """
-    scores = emphasis_scores(text)
-    total = _sum(scores.values())
-    weights = F.map_from_arrays(F.array(*map(F.lit, scores)), F.array(*(F.coalesce(F.try_divide(c, total), F.lit(1 / len(scores))) for c in scores.values())))
+    weights = F.map_from_entries(F.array(*(F.struct(F.lit(d), w) for d, w in shares().items())))
     whole = F.coalesce(F.col(text), F.lit(""))
-    out = rows.select(F.col(name).alias("name"), domain(text, keywords).alias("category"), weights.alias("emphasis"), _first_most(scores).alias("top_emphasis"), style(text).alias("style"), F.length(whole).cast("long").alias("text_length"), F.size(F.split(whole, "\n")).cast("long").alias("n_guidelines"))
+    top = _first_most(_fields("__dimensions", DIMENSIONS))
+    out = prepared(rows, text, keywords).select(F.col(name).alias("name"), domain().alias("category"), weights.alias("emphasis"), top.alias("top_emphasis"), style().alias("style"), F.length(whole).cast("long").alias("text_length"), F.size(F.split(whole, "\n")).cast("long").alias("n_guidelines"))
     return out.withColumn("threshold", threshold("style"))
 
 

@@ -169,3 +169,8 @@ def bibliography(spark: SparkSession, path: str) -> DataFrame:
         return F.when(found != "", found).alias(name)
 
     return whole.select(F.regexp_extract("entry", r"^\w+\{([^,]*),", 1).alias("key"), *map(field, ("author", "title", "year", "publisher", "url", "abstract", "keywords")))
+
+
+def profiles(spark: SparkSession, path: str) -> DataFrame:
+    """Venue profiles as ``sinks.profiles`` writes them."""
+    return spark.read.schema("name string, category string, emphasis map<string, double>, top_emphasis string, style string, text_length long, n_guidelines long, threshold double, generated timestamp").json(path)

@@ -40,3 +40,8 @@ def graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 def report(rows: DataFrame, line: str, path: str) -> None:
     """A text report: one line a row, from a SQL expression."""
     rows.select(F.expr(line).alias("value")).write.mode("overwrite").text(path)
+
+
+def profiles(rows: DataFrame, path: str) -> None:
+    """Venue profiles as JSON, with the time they were made."""
+    rows.withColumn("generated", F.current_timestamp()).write.mode("overwrite").json(path)
