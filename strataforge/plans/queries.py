@@ -14,12 +14,13 @@ from ..operators import keywords as K
 from ..operators import similarity as V
 from ..operators import statistics as S
 from . import agent_queries as R
+from . import graph_queries as T
 from . import profile_queries as C
 from . import standins as D
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = R.QUERIES | C.QUERIES
-ORACLES: dict[str, str] = R.ORACLES | C.ORACLES
+QUERIES: dict[str, Query] = R.QUERIES | C.QUERIES | T.QUERIES
+ORACLES: dict[str, str] = R.ORACLES | C.ORACLES | T.ORACLES
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
