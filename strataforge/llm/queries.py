@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import annforest, decontamination, extraction, jaccard, mixing, sharding, substring, toxicity, urlfilter, warc
+from . import annforest, decontamination, extraction, jaccard, mixing, sharding, substring, toxicity, urlfilter, vafile, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +57,14 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(_table(spark, sf_dir, "documents"))
 
 
+def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.search(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -69,6 +78,8 @@ QUERIES: dict[str, Query] = {
         op8_minimax_shards,
         op9_main_text,
         op10_jaccard_join,
+        op12_exact_top_k,
+        op13_whitening,
     )
 }
 
@@ -78,4 +89,5 @@ ORACLES: dict[str, str] = {
     "op5_substring_dedup": substring.ORACLE_SQL,
     "op7_warc_index": warc.ORACLE_SQL,
     "op10_jaccard_join": jaccard.ORACLE_SQL,
+    "op12_exact_top_k": vafile.ORACLE_SQL,
 }
