@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import annforest, decontamination, extraction, jaccard, mixing, sharding, substring, toxicity, urlfilter, vafile, warc, whitening
+from . import alignment, annforest, decontamination, extraction, jaccard, mixing, sharding, substring, toxicity, urlfilter, vafile, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,6 +57,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"), keep_groups=False)
+
+
 def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.search(_table(spark, sf_dir, "embeddings"))
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Query] = {
         op8_minimax_shards,
         op9_main_text,
         op10_jaccard_join,
+        op11_token_alignment,
         op12_exact_top_k,
         op13_whitening,
     )
