@@ -33,8 +33,8 @@ VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters before which texts may be split, and what counts as white space beside them.
 SPLITS, BLANK = " \n\t\r", r"\s▁"
 #: Bytes of text of a block of documents (a longer text has a block of its own), segments of a row of its dictionary,
-#: alignments that a task gathers before it packs them by block, and segments of documents counted at a time.
-BLOCK, ROW, GATHER, COUNT = 1 << 25, 1 << 12, 1 << 19, 1 << 20
+#: alignments that a task gathers before it packs them by block, segments of documents counted and bytes of text cut at a time.
+BLOCK, ROW, GATHER, COUNT, SOME = 1 << 25, 1 << 12, 1 << 18, 1 << 19, 1 << 21
 
 
 def packed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,11 +68,19 @@ def _binaries(values: list[np.ndarray]) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(values), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.binary())
 
 
-def _integers(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+def _integers(column: pa.ChunkedArray, kind: type = np.int64) -> tuple[np.ndarray, np.ndarray]:
     """All integers of a column of binaries, and how many each row has."""
     rows = [np.frombuffer(v, np.uint8) for v in column.to_pylist()]
-    values = unpacked(np.concatenate(rows)) if rows else np.empty(0, np.int64)
-    return values, np.array([int((r < 128).sum()) for r in rows], np.int64)
+    sizes = np.array([np.count_nonzero(r < 128) for r in rows], np.int64)
+    out, place, begin = np.empty(int(sizes.sum()), kind), 0, 0
+    while begin < len(rows):  # a few rows at a time: the steps on the way take many times the result
+        end, held = begin + 1, len(rows[begin])
+        while end < len(rows) and held + len(rows[end]) <= COUNT:
+            held, end = held + len(rows[end]), end + 1
+        values = unpacked(np.concatenate(rows[begin:end]))
+        out[place : place + len(values)] = values
+        place, begin = place + len(values), end
+    return out, sizes
 
 
 def _unicode_of_bytes() -> dict[str, int]:
@@ -184,17 +192,26 @@ class _Block:
     """A block's segments by their local numbers, and its documents as segment numbers."""
 
     def __init__(self, docs: pa.Table, rows: pa.Table, base: int):
-        self.segments, self.lengths = _integers(docs["segments"])
+        self.segments, self.lengths = _integers(docs["segments"], np.int32)
         locals_, _ = _integers(rows["local"])
         sizes, _ = _integers(rows["size"])
         self.pieces, _ = _integers(rows["pieces"])
         self.first, self.size = np.zeros(len(locals_), np.int64), np.zeros(len(locals_), np.int64)
         self.first[locals_], self.size[locals_] = np.cumsum(sizes) - sizes, sizes
         self.base = base
-        self.owner = np.repeat(np.arange(len(self.lengths)), self.lengths)
-        whole = np.bincount(self.owner[self.size[self.segments] == 0], minlength=len(self.lengths)) == 0
+        self.past = np.cumsum(self.lengths)
         #: Documents that have tokens.
-        self.whole = whole & (self.lengths > 0)
+        self.whole = np.ones(len(self.lengths), bool)
+        self.whole = (self.lengths > 0) & (self.of_documents((self.size == 0).astype(np.int64)) == 0)
+
+    def runs(self) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """Whole documents, about ``COUNT`` segments at a time: their places, their segments, and the document of each."""
+        begin = 0
+        while begin < len(self.past):
+            upto = int(self.past[begin - 1]) if begin else 0
+            end = max(begin + 1, int(np.searchsorted(self.past, upto + COUNT, "right")))
+            yield slice(begin, end), self.segments[upto : int(self.past[end - 1])], np.repeat(np.arange(begin, end), self.lengths[begin:end])
+            begin = end
 
     def of_segments(self, of_pieces: np.ndarray) -> np.ndarray:
         """Sums over each segment's pieces."""
@@ -203,26 +220,24 @@ class _Block:
 
     def of_documents(self, of_segments: np.ndarray) -> np.ndarray:
         """Sums over each document's segments; 0 for those without tokens."""
-        upto, past = np.concatenate([[0], np.cumsum(of_segments[self.segments])]), np.cumsum(self.lengths)
-        return np.where(self.whole, upto[past] - upto[past - self.lengths], 0)
+        out = np.zeros(len(self.lengths), np.int64)
+        for docs, segments, _ in self.runs():
+            upto, past = np.concatenate([[0], np.cumsum(of_segments[segments])]), np.cumsum(self.lengths[docs])
+            out[docs] = upto[past] - upto[past - self.lengths[docs]]
+        return np.where(self.whole, out, 0)
 
     def pair_counts(self) -> tuple[np.ndarray, np.ndarray]:
         """Id pairs, and how many of the block's documents hold each."""
         pairs, place = np.unique(self.pieces >> 2, return_inverse=True)
         counts = np.zeros(len(pairs), np.int64)
-        past = np.cumsum(self.lengths)
-        begin = 0
-        while begin < len(past):  # whole documents, about COUNT segments at a time
-            end = max(begin + 1, int(np.searchsorted(past, (past[begin - 1] if begin else 0) + COUNT, "right")))
-            s = slice(int(past[begin - 1]) if begin else 0, int(past[end - 1]))
-            here = self.whole[self.owner[s]]
-            held = np.unique(self.owner[s][here] * len(self.size) + self.segments[s][here])
+        for _, segments, owner in self.runs():
+            here = self.whole[owner]
+            held = np.unique(owner[here] * len(self.size) + segments[here])
             doc, segment = held // max(1, len(self.size)), held % max(1, len(self.size))
             size = self.size[segment]
             at = np.repeat(self.first[segment] - np.cumsum(size) + size, size) + np.arange(size.sum())
             both = np.unique(np.repeat(doc, size) * max(1, len(pairs)) + place[at])
             counts += np.bincount(both % max(1, len(pairs)), minlength=len(pairs))
-            begin = end
         return pairs, counts
 
     def group_texts(self) -> list[bytes]:
@@ -239,10 +254,16 @@ class _Block:
         closes = np.append((kind[1:] != kind[:-1]) | (of[1:] != of[:-1]), True) if len(ids) else np.empty(0, bool)
         sign = np.where(~closes, 0, kind + 1)
         words = [f"{k}{s}".encode() for k in range(int(ids.max(initial=-1)) + 1) for s in ",|;"]
-        texts = [words[k] for k in (ids * 3 + sign).tolist()]
-        upto = np.concatenate([[0], np.cumsum(ends_a + ends_b)])
-        start, stop = upto[self.first].tolist(), upto[self.first + self.size].tolist()
-        return [b"".join(texts[i:j]) for i, j in zip(start, stop, strict=True)]
+        upto, code = np.concatenate([[0], np.cumsum(ends_a + ends_b)]), ids * 3 + sign
+        out: list[bytes] = [b""] * len(self.size)
+        order = np.argsort(self.first, kind="stable")
+        for i in range(0, len(order), 1 << 16):
+            some = order[i : i + (1 << 16)]
+            start, stop = upto[self.first[some]], upto[self.first[some] + self.size[some]]
+            texts = [words[k] for k in code[start[0] : stop[-1]].tolist()]
+            for n, x, y in zip(some.tolist(), (start - start[0]).tolist(), (stop - start[0]).tolist(), strict=True):
+                out[n] = b"".join(texts[x:y])
+        return out
 
 
 def align(docs: DataFrame, pair: Pair | None = None, keep_groups: bool = True) -> DataFrame:
@@ -279,8 +300,8 @@ def align(docs: DataFrame, pair: Pair | None = None, keep_groups: bool = True) -
             i = 0
             while i < batch.num_rows:
                 rows: list[np.ndarray] = []
-                begin = i
-                while i < batch.num_rows and size < BLOCK:
+                begin, most = i, min(BLOCK, size + SOME)
+                while i < batch.num_rows and size < most:
                     text = batch.column(1)[i].as_py()
                     parts = (find(" " + text) if splits else [" " + text]) if text else []
                     rows.append(np.fromiter(map(known.__getitem__, parts), np.int64, len(parts)))
@@ -365,11 +386,11 @@ def align(docs: DataFrame, pair: Pair | None = None, keep_groups: bool = True) -
         ends_a, ends_b = (block.pieces >> 1) & 1, block.pieces & 1
         sums = {"n_a": ends_a, "n_b": ends_b, "n_groups": ends_a & ends_b, "n_links": np.ones(len(ends_a), np.int64), "n_best": best[at], "count_sum": count[at]}
         out = {"doc_id": left["doc_id"]} | {k: block.of_documents(block.of_segments(v)) for k, v in sums.items()}
-        words, numbers = block.group_texts(), block.segments.tolist()
+        words = block.group_texts()
         digests, groups = [], []
         past = 0
         for n, whole in zip(block.lengths.tolist(), block.whole.tolist(), strict=True):
-            text = b"".join([words[k] for k in numbers[past : past + n]])[:-1] if whole else b""
+            text = b"".join([words[k] for k in block.segments[past : past + n].tolist()])[:-1] if whole else b""
             past += n
             digests.append(hashlib.sha256(text).hexdigest() if whole else "")
             groups.append(text.decode() if keep_groups else None)
