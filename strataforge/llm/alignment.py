@@ -242,26 +242,29 @@ class _Block:
 
     def group_texts(self) -> list[bytes]:
         """Each segment's groups as text, every one closed by a semicolon."""
-        ends_a, ends_b = (self.pieces >> 1) & 1, self.pieces & 1
-        pair = self.pieces >> 2
-        group = np.concatenate([[0], np.cumsum(ends_a & ends_b)[:-1]]) if len(pair) else pair
-        at_a, at_b = np.flatnonzero(ends_a), np.flatnonzero(ends_b)
-        ids = np.concatenate([pair[at_a] // self.base, pair[at_b] % self.base])
-        kind = np.concatenate([np.zeros(len(at_a), np.int64), np.ones(len(at_b), np.int64)])
-        of = np.concatenate([group[at_a], group[at_b]])
-        order = np.lexsort((np.concatenate([at_a, at_b]), kind, of))
-        ids, kind, of = ids[order], kind[order], of[order]
-        closes = np.append((kind[1:] != kind[:-1]) | (of[1:] != of[:-1]), True) if len(ids) else np.empty(0, bool)
-        sign = np.where(~closes, 0, kind + 1)
-        words = [f"{k}{s}".encode() for k in range(int(ids.max(initial=-1)) + 1) for s in ",|;"]
-        upto, code = np.concatenate([[0], np.cumsum(ends_a + ends_b)]), ids * 3 + sign
         out: list[bytes] = [b""] * len(self.size)
         order = np.argsort(self.first, kind="stable")
-        for i in range(0, len(order), 1 << 16):
-            some = order[i : i + (1 << 16)]
-            start, stop = upto[self.first[some]], upto[self.first[some] + self.size[some]]
-            texts = [words[k] for k in code[start[0] : stop[-1]].tolist()]
-            for n, x, y in zip(some.tolist(), (start - start[0]).tolist(), (stop - start[0]).tolist(), strict=True):
+        words: dict[int, bytes] = {}
+        for i in range(0, len(order), 1 << 15):  # segments that lie side by side
+            some = order[i : i + (1 << 15)]
+            begin = int(self.first[some[0]])
+            pieces = self.pieces[begin : int(self.first[some[-1]] + self.size[some[-1]])]
+            pair, ends_a, ends_b = pieces >> 2, (pieces >> 1) & 1, pieces & 1
+            group = np.cumsum(ends_a & ends_b) - (ends_a & ends_b)
+            at_a, at_b = np.flatnonzero(ends_a), np.flatnonzero(ends_b)
+            ids = np.concatenate([pair[at_a] // self.base, pair[at_b] % self.base])
+            side = np.concatenate([group[at_a] * 2, group[at_b] * 2 + 1])  # of each group first A's, then B's
+            place = np.argsort(side, kind="stable")
+            ids, side = ids[place], side[place]
+            sign = np.where(np.append(side[1:] != side[:-1], True), side % 2 + 1, 0)[: len(ids)]
+            texts = []
+            for k in (ids * 3 + sign).tolist():
+                if k not in words:
+                    words[k] = f"{k // 3}{',|;'[k % 3]}".encode()
+                texts.append(words[k])
+            upto = np.concatenate([[0], np.cumsum(ends_a + ends_b)])
+            first = self.first[some] - begin
+            for n, x, y in zip(some.tolist(), upto[first].tolist(), upto[first + self.size[some]].tolist(), strict=True):
                 out[n] = b"".join(texts[x:y])
         return out
 
@@ -377,15 +380,21 @@ def align(docs: DataFrame, pair: Pair | None = None, keep_groups: bool = True) -
     right = right.unionByName(back.select("block", *(empty.cast("binary").alias(c) for c in ("local", "size", "pieces")), "pair", "count", "best"))
 
     def composed(left: pa.Table, right: pa.Table) -> pa.Table:
-        is_pair = right["pair"].is_valid()
-        pairs = right.filter(is_pair)
-        block = _Block(left, right.filter(right["local"].is_valid()), base)
+        pairs = right.select(["pair", "count", "best"]).filter(right["pair"].is_valid())
+        block = _Block(left, right.select(["local", "size", "pieces"]).filter(right["local"].is_valid()), base)
         known, count, best = pairs["pair"].to_numpy(), pairs["count"].to_numpy(), pairs["best"].to_numpy().astype(np.int64)
         order = np.argsort(known)
-        at = order[np.searchsorted(known, block.pieces >> 2, sorter=order)] if len(known) else np.empty(0, np.int64)
-        ends_a, ends_b = (block.pieces >> 1) & 1, block.pieces & 1
-        sums = {"n_a": ends_a, "n_b": ends_b, "n_groups": ends_a & ends_b, "n_links": np.ones(len(ends_a), np.int64), "n_best": best[at], "count_sum": count[at]}
-        out = {"doc_id": left["doc_id"]} | {k: block.of_documents(block.of_segments(v)) for k, v in sums.items()}
+        known, count, best = known[order], count[order], best[order]
+        pieces = block.pieces
+        sums = {  # one at a time
+            "n_a": lambda: (pieces >> 1) & 1,
+            "n_b": lambda: pieces & 1,
+            "n_groups": lambda: pieces & (pieces >> 1) & 1,
+            "n_links": lambda: np.ones(len(pieces), np.int64),
+            "n_best": lambda: best[np.searchsorted(known, pieces >> 2)],
+            "count_sum": lambda: count[np.searchsorted(known, pieces >> 2)],
+        }
+        out = {"doc_id": left["doc_id"]} | {k: block.of_documents(block.of_segments(v())) for k, v in sums.items()}
         words = block.group_texts()
         digests, groups = [], []
         past = 0
