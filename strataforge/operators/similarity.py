@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import kept
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -68,13 +70,41 @@ def conflicts(links: DataFrame, pairs: list[tuple], least: float) -> DataFrame:
     return links.filter((F.col("similarity") > least) & both.isin(*wanted))
 
 
+#: Rows and queries of two blocks that meet in one task.
+TOP_BLOCK = 4096
+
+
 def top_k(rows: DataFrame, key: str, vector: str, queries: DataFrame, k: int) -> DataFrame:
-    """(query, rank, key, score): nearest rows of each query by cosine; queries are a stated set, broadcast by their size."""
-    u = unit(rows.select(key, vector), vector)
-    q = unit(queries.select(F.col(key).alias("query"), F.col(vector).alias("q")), "q")
-    scored = u.join(q, F.col(key) != F.col("query")).select("query", key, dot(F.col("q"), F.col(vector)).alias("score"))
+    """(query, rank, key, score): the nearest rows of each query by cosine but the query itself, exactly.
+
+    Queries are a stated set.  Rows and queries are dealt into blocks; every two blocks meet in one task as a matrix
+    product that keeps ``k`` rows a query, so no pair beyond those is a row.  Vectors
+    without a direction are left out.
+    """
+    u = unit(rows.select(key, vector), vector).filter(F.forall(vector, lambda x: x.isNotNull()))
+    q = unit(queries.select(F.col(key).alias("query"), F.col(vector).alias("q")), "q").filter(F.forall("q", lambda x: x.isNotNull()))
+    n, m = (max(1, -(-t.count() // TOP_BLOCK)) for t in (rows, queries))
+    left = q.select("query", "q", F.pmod(F.xxhash64("query"), F.lit(m)).cast("int").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
+    right = u.select(key, F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("j"))
+    kinds = queries.schema[key].dataType.simpleString(), rows.schema[key].dataType.simpleString()
+
+    def best(asked: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        if asked.empty or block.empty:
+            return pd.DataFrame({"query": asked["query"][:0], key: block[key][:0], "score": []})
+        block = block.sort_values(key, kind="stable")
+        keys, x, y = block[key].to_numpy(), np.stack(asked["q"].to_numpy()), np.stack(block["v"].to_numpy())
+        out = []
+        for i in range(0, len(x), 256):
+            score = x[i : i + 256] @ y.T
+            for query, row in zip(asked["query"].to_numpy()[i : i + 256], np.where(keys[None, :] == asked["query"].to_numpy()[i : i + 256, None], -np.inf, score), strict=True):
+                order = np.argsort(-np.round(row, 9), kind="stable")[:k]
+                order = order[np.isfinite(row[order])]
+                out.append(pd.DataFrame({"query": query, key: keys[order], "score": row[order]}))
+        return pd.concat(out, ignore_index=True)
+
+    scored = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(best, f"query {kinds[0]}, {key} {kinds[1]}, score double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), key))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query", key, "score", "rank")
 
 
 def clusters(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -90,7 +120,7 @@ def clusters(links: DataFrame, a: str, b: str) -> DataFrame:
         step = labels.join(near, F.col("node") == F.col("x")).select("node", F.col("cluster").alias("was"), F.least("cluster", "c").alias("cluster"))
         up = labels.select(F.col("node").alias("up"), F.col("cluster").alias("above"))
         step = step.join(up, F.col("cluster") == F.col("up")).select("node", "was", F.least("cluster", "above").alias("cluster"))
-        new = step.checkpoint()
+        new = kept(step, "labels")
         labels = new.select("node", "cluster")
         if new.filter("cluster <> was").isEmpty():
             break

@@ -13,6 +13,8 @@ from ..operators import graph as G
 from ..operators import keywords as K
 from ..operators import similarity as V
 from ..operators import statistics as S
+from ..operators import vector_index as I
+from ..operators.tables import shared_path
 from . import agent_queries as R
 from . import graph_queries as T
 from . import profile_queries as C
@@ -426,6 +428,14 @@ def srt07_vector_top_k(spark, sf):
     return out.select("query", "rank", "vec_id", _r(F.col("score"), 5).alias("score"))
 
 
+@query()
+def rag01_vector_index(spark, sf):
+    """The 20 nearest rows of every vector whose id is divisible by 20, by an index built over all vectors; tests measure its recall."""
+    e, path = D.table(spark, sf, "embeddings"), shared_path(spark, "vector-index")
+    I.build(e, "vec_id", "embedding", path)
+    return I.search(e.filter("vec_id % 20 = 0"), "vec_id", "embedding", path, 20).select("query", "rank", F.col("key").alias("vec_id"), _r(F.col("score"), 5).alias("score"))
+
+
 _LINKS = """l AS (SELECT x.vec_id AS a, y.vec_id AS b, x.label AS dim_a, y.label AS dim_b, list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS similarity FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id AND x.label <> y.label)"""
 
 
