@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import files as P
 from ..functions import text as X
+from ..operators import encoder as N
 from ..operators import graph as G
+from ..operators import keyphrases as H
 from ..operators import keywords as K
 from ..operators import similarity as V
 from ..operators import statistics as S
@@ -436,6 +438,43 @@ def rag01_vector_index(spark, sf):
     return I.search(e.filter("vec_id % 20 = 0"), "vec_id", "embedding", path, 20).select("query", "rank", F.col("key").alias("vec_id"), _r(F.col("score"), 5).alias("score"))
 
 
+_TOKENS = r"""w AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\p{L}\p{N}\s]', ' ', 'g'), '\s+'), lambda w: length(w) >= 3 AND w NOT IN ('a','an','and','are','as','at','be','by','for','from','has','he','in','is','it','its','of','on','that','the','this','to','was','were','will','with') AND NOT regexp_full_match(w, '\p{N}+')) AS w FROM documents),
+p AS (SELECT doc_id, i, w[i] AS word FROM w, unnest(range(1, len(w) + 1)) AS t(i)), k AS (SELECT word FROM p GROUP BY 1 HAVING count(*) >= 5),
+c AS (SELECT a.word, b.word AS context, count(*) AS n FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.i <> b.i AND abs(a.i - b.i) <= 4 WHERE a.word IN (FROM k) AND b.word IN (FROM k) GROUP BY 1, 2),
+o AS (SELECT word, sum(n) AS own FROM c GROUP BY 1), m AS (SELECT c.*, ln(n * (SELECT sum(own) FROM o) / (o.own::DOUBLE * q.own)) AS ppmi FROM c JOIN o USING (word) JOIN o q ON c.context = q.word)"""
+
+
+@query(f"WITH {_TOKENS} SELECT word, context, n::BIGINT AS n, round(ppmi, 6) AS ppmi FROM m WHERE ppmi > 0")
+def fun05_word_associations(spark, sf):
+    """The matrix that the encoder factors, over all documents."""
+    return N.associations(N.cooccurrences(D.table(spark, sf, "documents"), "text")).select("word", "context", "n", _r(F.col("ppmi")).alias("ppmi"))
+
+
+@query()
+def fun05_encoded_texts(spark, sf):
+    """A vector for each document, by an encoder fitted on all of them; tests hold it against a dense factorisation."""
+    docs = D.table(spark, sf, "documents")
+    return N.encode(docs, "doc_id", "text", N.fit(docs, "text")).select("doc_id", "n_words", F.transform("vector", lambda x: _r(x)).alias("vector"))
+
+
+@query()
+def fun04_key_phrases(spark, sf):
+    """20 key phrases of one or two words of each document by maximal marginal relevance; tests hold the choice against a plain loop."""
+    docs = D.table(spark, sf, "documents")
+    return H.phrases(docs, "doc_id", "text", N.fit(docs, "text"))
+
+
+@query()
+def agg36_profiles_by_key_phrases(spark, sf):
+    """Venue profiles of all documents, whose key phrases the encoder gives (``agg36_venue_profiles`` has long words in their place)."""
+    from . import profiles
+
+    docs = D.table(spark, sf, "documents")
+    found = H.phrases(docs, "doc_id", "text", N.fit(docs, "text")).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "phrase"))), lambda x: x["phrase"]).alias("keys"))
+    texts = docs.select("doc_id", "text").join(found, "doc_id", "left")
+    return profiles.profiles(texts.withColumn("keys", F.coalesce("keys", F.array().cast("array<string>"))), "doc_id", "text", "keys").drop("emphasis")
+
+
 _LINKS = """l AS (SELECT x.vec_id AS a, y.vec_id AS b, x.label AS dim_a, y.label AS dim_b, list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS similarity FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id AND x.label <> y.label)"""
 
 
