@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators.substrings import either_way
 
 # Words of each domain, in order (the first of equal domains wins).
 DOMAINS = {
@@ -141,13 +142,14 @@ def profiles(rows: DataFrame, name: str, text: str, keywords: str | None = None)
 def lookup(names: DataFrame, name: str, known: DataFrame, order: str) -> DataFrame:
     """(name, profile, match): the profile of that name in upper case, else the first in ``order`` of which one name holds the other, else none ('default').
 
-    Only names without an exact match, each once, meet the profiles pair by pair.
+    Only names without an exact match, each once, are looked up by containment, through an index of trigrams.
     """
     asked = names.select(F.col(name).alias("name"), F.upper(name).alias("__up")).distinct()
     held = known.select(F.col("name").alias("profile"), F.col(order).alias("__order"))
     exact = asked.join(held.select("profile").distinct(), F.col("__up") == F.col("profile"), "left")
     rest = exact.filter("profile is null").select("name", "__up")
-    near = rest.join(held, F.contains("__up", "profile") | F.contains("profile", "__up")).groupBy("name").agg(F.min_by("profile", F.struct("__order", "profile")).alias("near"))
+    pairs = either_way(rest, "__up", held, "profile").toDF("__up", "profile")
+    near = rest.join(pairs, "__up").join(held, "profile").groupBy("name").agg(F.min_by("profile", F.struct("__order", "profile")).alias("near"))
     out = exact.join(near, "name", "left")
     match = F.when(F.col("profile").isNotNull(), "exact").when(F.col("near").isNotNull(), "partial").otherwise("default")
     return out.select("name", F.coalesce("profile", "near").alias("profile"), match.alias("match"))

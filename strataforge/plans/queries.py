@@ -13,8 +13,10 @@ from ..operators import encoder as N
 from ..operators import graph as G
 from ..operators import keyphrases as H
 from ..operators import keywords as K
+from ..operators import mentions as W
 from ..operators import similarity as V
 from ..operators import statistics as S
+from ..operators import substrings as B
 from ..operators import vector_index as I
 from ..operators.tables import shared_path
 from . import agent_queries as R
@@ -475,6 +477,47 @@ def agg36_profiles_by_key_phrases(spark, sf):
     return profiles.profiles(texts.withColumn("keys", F.coalesce("keys", F.array().cast("array<string>"))), "doc_id", "text", "keys").drop("emphasis")
 
 
+@query(f"WITH {D.MENTIONS_SQL} SELECT artifact, type, target, n FROM e")
+def joi02_named_files(spark, sf):
+    """DESCRIBES and MENTIONS edges of every document to the files and folders of its artifact that it names."""
+    return W.edges(D.readmes(spark, sf), "artifact", "document", "text", D.artifact_files(spark, sf), "path").select("artifact", "type", "target", "n")
+
+
+_LANGUAGES = ", ".join(f"('{e}', '{n}')" for e, n in P.LANGUAGES.items())
+
+
+@query(f"""WITH {D.MENTIONS_SQL}, l(x, language) AS (VALUES {_LANGUAGES}), c AS (SELECT artifact, coalesce(language, 'Unknown') AS language, lower(regexp_extract(regexp_extract(target, '[^/]*$'), '^.+(\\.[^.]+)$', 1)) AS file_type FROM e LEFT JOIN l ON x = lower(regexp_extract(regexp_extract(target, '[^/]*$'), '^.+(\\.[^.]+)$', 1)) WHERE type = 'DESCRIBES')
+SELECT language, file_type, count(DISTINCT artifact) AS artifact_count, count(*) AS total_references FROM c GROUP BY 1, 2 ORDER BY 3 DESC, 4 DESC, 1, 2 LIMIT 10""")
+def gq06_code_references(spark, sf):
+    links = W.edges(D.readmes(spark, sf), "artifact", "document", "text", D.artifact_files(spark, sf), "path")
+    return W.code_references(links, P.language("target"), P.extension("target"))
+
+
+@query(f"WITH {D.MENTIONS_SQL} SELECT target AS directory_name, count(DISTINCT artifact) AS artifact_count, count(*) AS total_mentions FROM e WHERE type = 'MENTIONS' GROUP BY 1 ORDER BY 2 DESC, 3 DESC, 1 LIMIT 15")
+def gq07_directory_mentions(spark, sf):
+    return W.directory_references(W.edges(D.readmes(spark, sf), "artifact", "document", "text", D.artifact_files(spark, sf), "path"))
+
+
+@query("""WITH v AS (SELECT p_name AS term, min(p_partkey) AS o FROM part GROUP BY 1), s AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS seed FROM part UNION SELECT upper(substr(p_name, 2, 6)) FROM part UNION SELECT p_name || 's' FROM part UNION SELECT substr(p_type, 1, 2) FROM part),
+r AS (SELECT seed, term, row_number() OVER (PARTITION BY seed ORDER BY o, term) AS place FROM s, v WHERE contains(lower(term), lower(seed)) OR contains(lower(seed), lower(term)))
+SELECT seed, term, place::INT AS place FROM r WHERE place <= 5""")
+def joi14_seed_terms(spark, sf):
+    """The first five part names, in the order of the table, that hold a seed or that a seed holds."""
+    part = D.table(spark, sf, "part")
+    seeds = part.select(F.explode(F.split("p_name", " ")).alias("seed"))
+    for made in (F.upper(F.substring("p_name", 2, 6)), F.concat("p_name", F.lit("s")), F.substring("p_type", 1, 2)):
+        seeds = seeds.union(part.select(made))
+    return B.expanded(seeds, "seed", part, "p_name", "p_partkey")
+
+
+@query("""WITH a AS (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS w FROM benchmark), b AS (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS w FROM documents)
+SELECT a.w AS seed, count(*) AS terms, max(b.w) AS last FROM a JOIN b ON contains(b.w, a.w) WHERE a.w <> '' GROUP BY 1""")
+def joi14_words_within_words(spark, sf):
+    """For every word of the benchmark, how many distinct words of all documents hold it."""
+    one, two = (D.table(spark, sf, t).select(F.explode(F.split(F.lower("text"), " ")).alias("w")) for t in ("benchmark", "documents"))
+    return B.contained(one.filter("w <> ''"), "w", two, "w").groupBy(F.col("needle").alias("seed")).agg(F.count("*").alias("terms"), F.max("hay").alias("last"))
+
+
 _LINKS = """l AS (SELECT x.vec_id AS a, y.vec_id AS b, x.label AS dim_a, y.label AS dim_b, list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS similarity FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id AND x.label <> y.label)"""
 
 

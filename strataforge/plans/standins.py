@@ -151,3 +151,29 @@ def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
         files((d % 3 == 1, "LICENSE", license_line(d)), ((d % 3 == 1) & (d % 2 == 1), "LICENSE.2", license_line(d + 3))).alias("license_files"),
         files((F.lit(False), "", guide)).alias("docker_files"),
     )
+
+
+def _dealt(d, items: tuple[str, ...], step: int, share: int):
+    return F.filter(F.split(F.lit("\n".join(items)), "\n"), lambda x, i: (d * (i + step) + i) % 97 < 97 // share)
+
+
+def readmes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(artifact, document, text): each document as the README of an artifact, below lines that point at some paths."""
+    d = F.col("doc_id")
+    seen = F.transform(_dealt(d, PATHS, 4, 5), lambda p: F.concat(F.lit("see "), p))
+    return table(spark, sf_dir, "documents").select(d.alias("artifact"), d.alias("document"), F.concat_ws("\n", seen, "text").alias("text"))
+
+
+def artifact_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(artifact, path): the files of the artifacts of ``readmes``."""
+    d = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select(d.alias("artifact"), F.explode(_dealt(d, PATHS, 3, 7)).alias("path"))
+
+
+MENTIONS_SQL = f"""
+paths(i, path) AS (VALUES {", ".join(f"({i}, '{p}')" for i, p in enumerate(PATHS))}),
+f AS (SELECT doc_id, path, regexp_extract(path, '[^/]*$') AS name FROM documents, paths WHERE (doc_id * (i + 3) + i) % 97 < 13),
+r AS (SELECT doc_id, concat_ws(chr(10), string_agg('see ' || path, chr(10) ORDER BY i) FILTER (WHERE (doc_id * (i + 4) + i) % 97 < 19), first(text)) AS text FROM documents, paths GROUP BY doc_id),
+g AS (SELECT DISTINCT doc_id, unnest(string_split(path, '/')[:-2]) AS folder FROM f),
+e AS (SELECT doc_id AS artifact, 'DESCRIBES' AS type, path AS target, ((length(text) - length(replace(text, name, ''))) // length(name))::BIGINT AS n FROM f JOIN r USING (doc_id) WHERE contains(text, name)
+  UNION ALL SELECT doc_id, 'MENTIONS', folder, ((length(text) - length(replace(text, folder || '/', ''))) // (length(folder) + 1))::BIGINT FROM g JOIN r USING (doc_id) WHERE contains(text, folder || '/'))"""
