@@ -11,6 +11,7 @@ from ..functions import files as P
 from ..functions import text as X
 from ..operators import encoder as N
 from ..operators import graph as G
+from ..operators import hierarchy as Y
 from ..operators import keyphrases as H
 from ..operators import keywords as K
 from ..operators import mentions as W
@@ -541,6 +542,22 @@ def ml02_degrees(spark, sf):
     return V.degrees(V.keyword_links(_keyword_vectors(spark, sf), "vec_id", "label", "embedding", 0.35), "a", "b")
 
 
+@query()
+def pip02_semantic_hierarchy(spark, sf):
+    """The single-linkage joins of all vectors of different dimensions that are similar; a test holds them against a sequential forest."""
+    links = V.keyword_links(_keyword_vectors(spark, sf), "vec_id", "label", "embedding", 0.35)
+    return Y.spanning_forest(links.withColumn("height", F.round(1 - F.col("similarity"), 9)), "a", "b", "height").withColumn("height", _r(F.col("height"), 5))
+
+
+@query(f"""WITH RECURSIVE {_LINKS}, s AS (SELECT a, b FROM l WHERE similarity > 0.45 UNION SELECT b, a FROM l WHERE similarity > 0.45),
+r(node, other) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.node, s.b FROM r JOIN s ON s.a = r.other) SELECT node, min(other) AS cluster FROM r GROUP BY 1""")
+def pip02_clusters_at_a_height(spark, sf):
+    """Single-linkage clusters at height 0.55, cut from the hierarchy."""
+    e = _keyword_vectors(spark, sf)
+    links = V.keyword_links(e, "vec_id", "label", "embedding", 0.35).withColumn("height", 1 - F.col("similarity"))
+    return Y.cut(e, "vec_id", Y.spanning_forest(links, "a", "b", "height"), 0.55)
+
+
 @query("""SELECT conv_id, string_agg(role || ': ' || substr(text, 1, 500), chr(10) ORDER BY turn) AS context, count(*) AS turns FROM conversations GROUP BY 1""")
 def rag03_context(spark, sf):
     c = D.table(spark, sf, "conversations").select("conv_id", "turn", F.concat("role", F.lit(": "), F.substring("text", 1, 500)).alias("line"))
