@@ -200,8 +200,11 @@ def node_id(kind: Column | str, identifier: Column | str) -> Column:
     return F.substring(F.md5(F.concat_ws(":", kind, identifier)), 1, 16)
 
 
-def setup_complexity(text: Column | str, docker: Column, builds: Column) -> Column:
-    """low, medium or high: Docker 2 points, a build file a half, setup words 1 to 3."""
-    words = F.regexp_count(F.lower(_c(text)), F.lit(r"\b(install|setup|configuration|prerequisite)\b"))
-    points = docker.cast("int") * 2 + builds * 0.5 + F.when(words > 20, 3).when(words > 10, 2).when(words > 0, 1).otherwise(0)
+# Fixed value: words that tell of a setup.
+SETUP_WORDS = r"\b(install|setup|configuration|prerequisite)\b"
+
+
+def setup_complexity(words: Column, docker: Column, builds: Column) -> Column:
+    """low, medium or high: Docker 2 points, a build file a half; over 10 setup words 3, over 5 2, any 1."""
+    points = docker.cast("int") * 2 + builds * 0.5 + F.when(words > 10, 3).when(words > 5, 2).when(words > 0, 1).otherwise(0)
     return F.when(points <= 2, "low").when(points <= 5, "medium").otherwise("high")

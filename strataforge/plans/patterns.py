@@ -7,57 +7,73 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import statistics as S
-from .agents import texts
 
 # Weights of the five scores in the prediction, and the classes of the total.
 SCORES = {"documentation": 0.25, "reproducibility": 0.30, "availability": 0.20, "structure": 0.15, "complexity": 0.10}
 CLASSES = ((0.8, "high", 0.9), (0.6, "medium", 0.7))
-FLAGS = ["has_readme", "has_license", "has_docker", "has_setup", "has_tests", "has_data", "has_examples", "has_doi", "has_citation", "has_requirements"]
+FLAGS = ["has_readme", "has_license", "has_docker", "has_requirements", "has_data_files", "has_zenodo_doi", "has_setup_instructions", "has_examples"]
+# What documentation says where it names a DOI of the archive, tells how to set up, or has examples.
+ZENODO = r"zenodo\.org|doi\.org.*zenodo|10\.5281/zenodo"
+SETUP = "installation|setup|getting started|how to run|usage"
+EXAMPLES = "example|demo|tutorial|sample"
+#: Marks of a line of a drawn tree, one for each level.
+TREE_MARKS = "[│├└]"
 
 
 def features(artifacts: DataFrame) -> DataFrame:
-    """One flat feature row per artifact."""
-    rows = texts(artifacts)
-    names, paths, docs = F.col("names"), F.col("paths"), F.col("docs")
-    n = lambda c: F.coalesce(F.size(c), F.lit(0))
+    """One flat feature row per artifact; missing lists are empty, a missing size is 0.
+
+    Texts are looked at one by one, in lower case, their lines joined by blanks.  total_files is the
+    number of lines of the tree, tree_depth the most marks of one line; readme_length counts the first README's characters.
+    """
+    n = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+    empty = F.array().cast("array<string>")
+    docs = F.coalesce(F.transform("documentation_files", lambda f: F.lower(F.concat_ws(" ", f["content"]))), empty)
+    readmes = F.filter("documentation_files", lambda f: F.lower(f["path"]).contains("readme"))
+    says = lambda pattern: F.coalesce(F.exists(docs, lambda d: d.rlike(pattern)), F.lit(False))
+    count = lambda array: F.coalesce(F.aggregate(array, F.lit(0), lambda s, x: s + x), F.lit(0))
     flags = {
-        "has_readme": F.col("readme") != "",
+        "has_readme": n(readmes) > 0,
         "has_license": n("license_files") > 0,
-        "has_docker": (n("docker_files") > 0) | F.exists(names, lambda x: x.startswith("docker")),
-        "has_setup": docs.rlike(r"\b(install|setup)"),
-        "has_tests": F.exists(paths, lambda x: x.rlike("(^|/)tests?(/|_)|_test\\.")),
-        "has_data": F.exists(paths, lambda x: x.rlike(r"(^|/)(data|datasets?)/|\.(csv|parquet|tsv)$")),
-        "has_examples": docs.rlike("example|tutorial|demo"),
-        "has_doi": X.doi(docs),
-        "has_citation": docs.rlike("cite|citation|bibtex"),
-        "has_requirements": F.exists(names, lambda x: x.isin("requirements.txt", "environment.yml", "setup.py", "package.json", "pom.xml", "cargo.toml")),
+        "has_docker": n("docker_files") > 0,
+        "has_requirements": F.exists("build_files", lambda f: F.lower(f["path"]).contains("requirements")),
+        "has_data_files": n("data_files") > 0,
+        "has_zenodo_doi": says(ZENODO),
+        "has_setup_instructions": says(SETUP),
+        "has_examples": says(EXAMPLES),
     }
+    words = count(F.transform(docs, lambda d: F.regexp_count(d, F.lit(X.SETUP_WORDS))))
     numbers = {
-        "total_files": F.coalesce(F.size("tree_structure"), F.size(paths)),
-        "doc_files": n("documentation_files"),
+        "total_files": n("tree_structure"),
+        "documentation_sections": count(F.transform("documentation_files", lambda f: n(f["content"]))),
+        "readme_length": count(F.transform(F.coalesce(F.try_element_at(readmes, F.lit(1))["content"], empty), lambda x: F.length(x))),
         "code_files": n("code_files"),
-        "doc_words": X.word_count(docs),
-        "depth": F.coalesce(F.array_max(F.transform(paths, lambda p: F.size(F.split(p, "/")))), F.lit(0)),
-        "size_mb": F.coalesce("repo_size_mb", F.lit(0.0)),
+        "tree_depth": F.coalesce(F.array_max(F.transform("tree_structure", lambda x: F.regexp_count(x, F.lit(TREE_MARKS)))), F.lit(0)),
+        "repo_size_mb": F.coalesce("repo_size_mb", F.lit(0.0)),
     }
-    out = rows.select("artifact_name", *(F.coalesce(c, F.lit(False)).alias(k) for k, c in flags.items()), *(c.alias(k) for k, c in numbers.items()), docs.alias("__docs"))
-    return out.withColumn("setup_complexity", X.setup_complexity("__docs", F.col("has_docker"), F.lit(0))).drop("__docs")
+    setup = X.setup_complexity(words, flags["has_docker"], n("build_files"))
+    return artifacts.select("artifact_name", *(F.coalesce(c, F.lit(False)).alias(k) for k, c in flags.items()), *(c.alias(k) for k, c in numbers.items()), setup.alias("setup_complexity"))
 
 
-def _on(flag: str, points: float) -> Column:
-    return F.when(F.col(flag), points).otherwise(0.0)
+def _on(condition: Column | str, points: float) -> Column:
+    return F.when(F.col(condition) if isinstance(condition, str) else condition, points).otherwise(0.0)
 
 
 def scores(rows: DataFrame) -> DataFrame:
-    """Adds the five scores, each from 0 to 1."""
-    hard = F.when(F.col("setup_complexity") == "high", 0.5).when(F.col("setup_complexity") == "medium", 0.2).otherwise(0.0)
+    """Adds the five scores, each from 0 to 1; a ``reviewed`` column (score name to a mark of 10) is averaged in where it has one."""
+    setup, size = F.col("setup_complexity"), F.col("repo_size_mb")
+    # Points of each score.
     parts = {
-        "documentation": _on("has_readme", 0.4) + F.when(F.col("doc_words") > 200, 0.3).otherwise(0.0) + _on("has_setup", 0.2) + _on("has_examples", 0.1),
-        "reproducibility": _on("has_docker", 0.3) + _on("has_requirements", 0.3) + _on("has_setup", 0.2) + F.when(F.col("has_tests"), 0.2).when(F.col("has_examples"), 0.1).otherwise(0.0),
-        "availability": _on("has_doi", 0.4) + _on("has_license", 0.3) + _on("has_readme", 0.3),
-        "structure": F.when(F.col("total_files") >= 5, 0.4).otherwise(0.0) + _on("has_tests", 0.2) + _on("has_data", 0.2) + F.when(F.col("depth") >= 2, 0.2).otherwise(0.0),
-        "complexity": 1.0 - hard,
+        "documentation": _on("has_readme", 0.4) + _on(F.col("readme_length") > 500, 0.3) + _on("has_license", 0.2) + _on(F.col("documentation_sections") > 3, 0.1),
+        "reproducibility": _on("has_docker", 0.3) + _on("has_setup_instructions", 0.3) + _on("has_examples", 0.2) + F.when(setup == "low", 0.2).when(setup == "medium", 0.1).otherwise(0.0),
+        "availability": _on("has_zenodo_doi", 0.4) + _on("has_data_files", 0.3) + _on(F.col("code_files") > 0, 0.3),
+        "structure": _on(F.col("code_files") > 0, 0.4) + _on(F.col("total_files") > 5, 0.2) + _on(F.col("tree_depth") > 2, 0.2) + _on(size < 100, 0.2),
+        "complexity": 1.0 - F.when(setup == "high", 0.5).when(setup == "medium", 0.2).otherwise(0.0) - _on(size > 500, 0.3),
     }
+    if "reviewed" in rows.columns:
+        for k in ("documentation", "reproducibility", "availability"):
+            mark = F.try_element_at("reviewed", F.lit(k)) / 10
+            parts[k] = F.coalesce((parts[k] + mark) / 2, parts[k])
     return rows.withColumns({f"{k}_score": F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), v)), 6) for k, v in parts.items()})
 
 
@@ -76,10 +92,17 @@ def predictions(scored: DataFrame) -> DataFrame:
 
 
 def recommendations(scored: DataFrame) -> DataFrame:
-    """(artifact_name, category, priority, advice) for scores under 0.7 and missing features."""
-    # Advice by missing feature.
-    advice = {"has_readme": ("documentation", "high", "Add a README"), "has_license": ("availability", "high", "Add a license"), "has_doi": ("availability", "medium", "Archive with a DOI"), "has_docker": ("reproducibility", "medium", "Provide a container"), "has_requirements": ("reproducibility", "high", "List dependencies"), "has_tests": ("structure", "low", "Add tests")}
-    rows = [F.when(~F.col(flag) & (F.col(f"{kind}_score") < 0.7), F.struct(F.lit(kind).alias("category"), F.lit(priority).alias("priority"), F.lit(what).alias("advice"))) for flag, (kind, priority, what) in advice.items()]
+    """(artifact_name, category, priority, advice) where a score is under 0.7 and what the advice names is missing."""
+    short = F.col("readme_length") < 500
+    # Score, what is missing, category, priority and text of each advice.
+    advice = (
+        ("documentation", ~F.col("has_readme"), "documentation", "high", "Add a comprehensive README file explaining the project"),
+        ("documentation", short, "documentation", "medium", "Expand README with more detailed information"),
+        ("reproducibility", ~F.col("has_docker"), "reproducibility", "high", "Add Docker configuration for easy environment setup"),
+        ("reproducibility", ~F.col("has_setup_instructions"), "reproducibility", "high", "Add clear setup and installation instructions"),
+        ("availability", ~F.col("has_zenodo_doi"), "availability", "medium", "Consider archiving the artifact on Zenodo for persistent access"),
+    )
+    rows = [F.when((F.col(f"{score}_score") < 0.7) & missing, F.struct(F.lit(kind).alias("category"), F.lit(priority).alias("priority"), F.lit(text).alias("advice"))) for score, missing, kind, priority, text in advice]
     return scored.select("artifact_name", F.explode(F.array_compact(F.array(*rows))).alias("r")).select("artifact_name", "r.*")
 
 

@@ -23,11 +23,12 @@ from ..operators.tables import shared_path
 from . import agent_queries as R
 from . import graph_queries as T
 from . import profile_queries as C
+from . import score_queries as O
 from . import standins as D
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = R.QUERIES | C.QUERIES | T.QUERIES
-ORACLES: dict[str, str] = R.ORACLES | C.ORACLES | T.ORACLES
+QUERIES: dict[str, Query] = R.QUERIES | C.QUERIES | T.QUERIES | O.QUERIES
+ORACLES: dict[str, str] = R.ORACLES | C.ORACLES | T.ORACLES | O.ORACLES
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -636,13 +637,6 @@ def gq19_composite_motifs(spark, sf):
     return D.features(spark, sf).select("doc_id", total.alias("motifs")).filter("motifs >= 2")
 
 
-@query(_f("SELECT doc_id, round(least(1.0::DOUBLE, 0.4 * has_license::INT + 0.3 * is_long::INT + 0.2 * is_english::INT + 0.1 * (1 - flagged::INT)), 6) AS documentation, CASE WHEN least(1.0::DOUBLE, 0.4 * has_license::INT + 0.3 * is_long::INT + 0.2 * is_english::INT + 0.1 * (1 - flagged::INT)) >= 0.6 THEN 'medium' ELSE 'low' END AS likelihood FROM features"))
-def sco02_feature_scores(spark, sf):
-    on = lambda c, w: F.when(F.col(c), w).otherwise(0.0)
-    score = F.round(F.least(F.lit(1.0), on("has_license", 0.4) + on("is_long", 0.3) + on("is_english", 0.2) + F.when(F.col("flagged"), 0.0).otherwise(0.1)), 6)
-    return D.features(spark, sf).select("doc_id", score.alias("documentation"), F.when(score >= 0.6, "medium").otherwise("low").alias("likelihood"))
-
-
 @query(_f("""SELECT a.doc_id AS a, b.doc_id AS b, round(((a.has_license = b.has_license)::INT + (a.is_english = b.is_english)::INT + (a.is_long = b.is_long)::INT + (a.has_tables = b.has_tables)::INT + (a.flagged = b.flagged)::INT) / 5.0, 6)::DOUBLE AS similarity FROM features a JOIN features b ON b.doc_id IN (SELECT doc_id FROM features WHERE accepted ORDER BY n_words DESC, doc_id LIMIT 5) AND a.doc_id <> b.doc_id"""))
 def joi19_top_accepted(spark, sf):
     f = D.features(spark, sf)

@@ -17,7 +17,7 @@ def test_predictions_and_advice(spark):
     assert by["full"]["probability"] > by["empty"]["probability"] and by["empty"]["likelihood"] == "low"
     assert all(0 <= by[a][f"{k}_score"] <= 1 for a in by for k in P.SCORES)
     advice = {(r["artifact_name"], r["advice"]) for r in P.recommendations(rows).collect()}
-    assert ("empty", "Add a README") in advice and ("full", "Add a README") not in advice
+    assert ("empty", "Add a comprehensive README file explaining the project") in advice and ("full", "Add a comprehensive README file explaining the project") not in advice
     table = P.indicators(rows, F.col("artifact_name") == "full")
     fit = {r["artifact_name"]: r["similarity"] for r in P.alignment(rows, table).collect()}
     assert fit == {"full": 1.0, "empty": 0.0}
