@@ -9,19 +9,51 @@ from ..functions import files as P
 from ..functions import text as X
 
 # Ordered keyword groups of section headings.
-SECTION_TYPES = (
-    ("installation", "install|setup|getting started|build"), ("usage", "usage|how to|example|quick start|run"), ("requirements", "require|dependenc|prerequisite"),
-    ("data", "data"), ("reproduction", "reproduc|replicat|experiment"), ("results", "result|evaluat|benchmark"), ("structure", "structure|organi[sz]ation|layout|content"),
-    ("citation", "cit(e|ation)|bibtex|reference"), ("license", "licen[sc]e"), ("contact", "contact|author|maintainer"), ("overview", "overview|introduction|about|description|abstract"),
-)
+SECTION_TYPES = {
+    "installation": ("install", "setup", "getting started", "quickstart", "requirement"),
+    "usage": ("usage", "how to", "tutorial", "guide"),
+    "examples": ("example", "demo", "sample"),
+    "results": ("result", "finding", "output", "performance", "evaluation"),
+    "citation": ("citation", "cite", "reference", "bibtex", "bibliography"),
+    "reproduction": ("reproduce", "replicat", "verify", "validat", "benchmark"),
+    "overview": ("overview", "description", "about", "introduction", "abstract"),
+    "api": ("api", "reference", "documentation"),
+    "license": ("license", "copyright", "legal"),
+    "contribution": ("contribute", "contributing", "development", "develop"),
+    "requirements": ("depend", "require"),
+    "data": ("data", "dataset", "corpus"),
+}
+# The groups under which section headings are counted; others keep their heading.
+NORMAL_HEADINGS = {
+    "installation": ("install", "setup", "getting started", "quickstart"),
+    "usage": ("usage", "how to", "tutorial"),
+    "examples": ("example", "demo"),
+    "results": ("result", "output", "finding"),
+    "citation": ("citation", "cite", "bibtex"),
+    "license": ("license", "licence"),
+    "contribution": ("contribute", "contributing"),
+    "requirements": ("requirement", "depend"),
+    "overview": ("overview", "description", "about"),
+    "reproduction": ("reproduc", "replicat"),
+}
+# What a section's text holds.
+SECTION_FLAGS = {
+    "has_code_snippet": ("```", "python", "import", "def ", "class ", "function", "bash", "shell"),
+    "has_script_reference": (".py", ".sh", ".js", ".r", "script", "run.py", "main.py"),
+    "has_data_link": (".csv", ".json", ".xml", "dataset", "data/", "zenodo", "figshare", "doi"),
+    "has_docker_reference": ("docker", "container", "dockerfile"),
+    "has_reproducibility_terms": ("reproduc", "replicat", "verify", "validat", "benchmark"),
+}
+# Two words that a section of a class holds both.
+INSTRUCTIONS = {"step-by-step": ("step", "follow"), "copy-paste-ready": ("copy", "paste"), "command-oriented": ("command", "run")}
+
+
+def _first_group(heading: Column | str, groups: dict[str, tuple[str, ...]], other: Column) -> Column:
+    return F.coalesce(*(F.when(X.has_any(heading, words), F.lit(name)) for name, words in groups.items()), other)
 
 
 def section_type(heading: Column | str) -> Column:
-    low = F.lower(F.col(heading) if isinstance(heading, str) else heading)
-    out = F.when(low.rlike(SECTION_TYPES[0][1]), SECTION_TYPES[0][0])
-    for name, pattern in SECTION_TYPES[1:]:
-        out = out.when(low.rlike(pattern), name)
-    return out.otherwise("other")
+    return _first_group(heading, SECTION_TYPES, F.lit("general"))
 
 
 def all_files(artifacts: DataFrame) -> DataFrame:
@@ -95,31 +127,79 @@ def section_patterns(heads: DataFrame, k: int = 20) -> DataFrame:
     return out.orderBy(F.desc("artifacts"), F.desc("n"), "type", "heading").limit(k)
 
 
-def readme_quality(heads: DataFrame) -> DataFrame:
-    """(artifact, path, score, grade): points for the section types a README has, at most 100."""
-    # Points of each section type.
-    points = {"installation": 20, "usage": 15, "requirements": 10, "data": 10, "overview": 5, "reproduction": 15, "results": 10, "citation": 5, "license": 5, "contact": 5}
-    has = lambda t: F.max((F.col("type") == t).cast("int"))
-    score = F.least(F.lit(100), sum((has(t) * p for t, p in points.items()), F.lit(0)))
-    grade = F.when(F.col("score") >= 80, "excellent").when(F.col("score") >= 60, "good").when(F.col("score") >= 40, "fair").otherwise("poor")
-    return heads.groupBy("artifact", "path").agg(score.alias("score"), F.count("*").alias("n_sections")).withColumn("grade", grade)
+def enriched(heads: DataFrame) -> DataFrame:
+    """Sections with what their texts hold: content_length, normalized, the five flags, and how they instruct; sections without a text are left out."""
+    low, size = F.lower("body"), F.length("body")
+    both = {name: F.contains(low, F.lit(a)) & F.contains(low, F.lit(b)) for name, (a, b) in INSTRUCTIONS.items()}
+    how = F.coalesce(*(F.when(c, F.lit(name)) for name, c in both.items()), F.when(size > 200, "detailed").when(size > 50, "moderate").otherwise("brief"))
+    return heads.filter("body is not null").withColumns({"content_length": size, "normalized": _first_group("heading", NORMAL_HEADINGS, F.col("heading")), **{k: X.has_any("body", words) for k, words in SECTION_FLAGS.items()}, "instruction": how})
 
 
-def archetypes(heads: DataFrame) -> DataFrame:
-    """(archetype, n, sections): READMEs by their leading purpose."""
-    has = lambda t: F.max((F.col("type") == t).cast("int")) == 1
-    per = heads.groupBy("artifact", "path").agg(*(has(t).alias(t) for t in ("installation", "usage", "reproduction", "results", "data", "overview")), F.count("*").alias("n"))
+def _some(test: Column | str) -> Column:
+    """Whether one section of the group is so."""
+    return F.coalesce(F.bool_or(F.col(test) if isinstance(test, str) else test), F.lit(False))
+
+
+def _headed(name: str) -> Column:
+    return _some(F.col("normalized") == name)
+
+
+def readme_quality(sections: DataFrame) -> DataFrame:
+    """(artifact, path, score, grade, instruction, n_sections): a README's points, at most 100, from ``enriched`` sections."""
+    # Points of what a README has, and least raw points of each grade.
+    heads = {"installation": 20, "usage": 15, "examples": 10, "results": 10, "citation": 5}
+    flags = {"has_code_snippet": 15, "has_script_reference": 10, "has_data_link": 5, "has_docker_reference": 5, "has_reproducibility_terms": 5}
+    grades = {"A": 90, "B": 80, "C": 70, "D": 60}
+    total = F.sum("content_length")
+    points = [(_headed(k), p) for k, p in heads.items()] + [(_some(k), p) for k, p in flags.items()]
+    raw = sum((F.when(c, p).otherwise(0) for c, p in points), F.when(total > 1000, 10).otherwise(F.floor(total / 100))).cast("int")
+    high = _some(F.col("instruction").isin("step-by-step", "copy-paste-ready"))
+    how = F.when(high, "high").when(F.avg("content_length") > 200, "medium").otherwise("low")
+    rows = sections.groupBy("artifact", "path").agg(raw.alias("raw"), how.alias("instruction"), F.count("*").alias("n_sections"))
+    grade = F.coalesce(*(F.when(F.col("raw") >= least, F.lit(g)) for g, least in grades.items()), F.lit("F"))
+    return rows.select("artifact", "path", F.least("raw", F.lit(100)).alias("score"), grade.alias("grade"), "instruction", "n_sections")
+
+
+def archetypes(sections: DataFrame) -> DataFrame:
+    """(archetype, n, sections, structured, reproducibility): READMEs by their leading purpose, with mean numbers of sections."""
+    named = {k: _headed(k) for k in ("installation", "usage", "examples", "results", "reproduction")}
+    flags = {k: _some(f) for k, f in (("code", "has_code_snippet"), ("script", "has_script_reference"), ("data", "has_data_link"))}
+    structured = F.count_if(F.col("normalized").isin(*named))
+    per = sections.groupBy("artifact", "path").agg(*(c.alias(k) for k, c in (named | flags).items()), F.count("*").alias("total"), structured.alias("structured"), F.count_if("has_reproducibility_terms").alias("terms"))
     kind = (
-        F.when(F.col("reproduction") & F.col("results"), "reproduction guide").when(F.col("installation") & F.col("usage"), "user manual").when(F.col("data"), "dataset description")
-        .when(F.col("installation"), "installation guide").when(F.col("overview"), "overview").otherwise("minimal")
+        F.when(F.col("reproduction") & F.col("results") & F.col("script"), "replication-heavy").when(F.col("examples") & F.col("usage") & F.col("code"), "tutorial").when(F.col("results") & F.col("data"), "benchmark")
+        .when(F.col("total") <= 3, "summary-only").when(F.col("usage") & F.col("installation"), "standard").otherwise("other")
     )
-    return per.groupBy(kind.alias("archetype")).agg(F.count("*").alias("n"), F.round(F.avg("n"), 6).alias("sections"))
+    return per.groupBy(kind.alias("archetype")).agg(F.count("*").alias("n"), *(F.round(F.avg(a), 6).alias(b) for a, b in (("total", "sections"), ("structured", "structured"), ("terms", "reproducibility"))))
+
+
+#: The five motifs of READMEs, as tests of a section.
+MOTIFS = {
+    "installation": lambda: F.col("normalized") == "installation",
+    "docker": lambda: F.col("has_docker_reference"),
+    "citation-zenodo": lambda: (F.col("normalized") == "citation") & F.col("has_data_link"),
+    "results": lambda: F.col("normalized") == "results",
+    "reproduction": lambda: F.col("has_reproducibility_terms"),
+}
+
+
+def motifs(sections: DataFrame, docs: DataFrame) -> DataFrame:
+    """(artifact, motifs): the README motifs that hold, for each artifact of ``docs``."""
+    found = F.array_compact(F.array(*(F.when(_some(test()), F.lit(k)) for k, test in MOTIFS.items())))
+    per = sections.groupBy("artifact").agg(found.alias("motifs"))
+    return docs.select("artifact").distinct().join(per, "artifact", "left").select("artifact", F.coalesce("motifs", F.array().cast("array<string>")).alias("motifs"))
+
+
+def motif_strengths(sections: DataFrame, of: int = 20) -> DataFrame:
+    """(motif, artifacts, occurrences, mean_length, strength, strong): sections of successful artifacts by motif; ``of`` artifacts are strength 100."""
+    held = F.explode(F.array_compact(F.array(*(F.when(test(), F.lit(k)) for k, test in MOTIFS.items())))).alias("motif")
+    rows = sections.select("artifact", "content_length", held).groupBy("motif")
+    strength = F.count_distinct("artifact") / of * 100
+    return rows.agg(F.count_distinct("artifact").alias("artifacts"), F.count("*").alias("occurrences"), F.round(F.avg("content_length"), 6).alias("mean_length"), F.round(strength, 6).alias("strength"), (strength > 50).alias("strong"))
 
 
-def motifs(heads: DataFrame, docs: DataFrame) -> DataFrame:
-    """(artifact, motifs): README motifs that hold: installation, docker, citation with data, results, reproduction; two or more are composite."""
-    has = lambda t: F.max((F.col("type") == t).cast("int")) == 1
-    per = heads.groupBy("artifact").agg(*(has(t).alias(t) for t in ("installation", "citation", "data", "results", "reproduction")), F.bool_or(F.contains(F.lower("body"), F.lit("docker"))).alias("docker"))
-    names = {"installation": F.col("installation"), "docker": F.col("docker"), "citation_data": F.col("citation") & F.col("data"), "results": F.col("results"), "reproduction": F.col("reproduction")}
-    found = F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in names.items())))
-    return docs.select("artifact").distinct().join(per.select("artifact", found.alias("motifs")), "artifact", "left").select("artifact", F.coalesce("motifs", F.array().cast("array<string>")).alias("motifs"))
+def composite_motifs(found: DataFrame, scores: DataFrame, most: int = 10) -> DataFrame:
+    """(artifact, score, motif_count, pattern): artifacts of at least two motifs, from ``motifs`` and (artifact, score); most motifs first."""
+    rows = found.filter(F.size("motifs") >= 2).join(scores, "artifact")
+    out = rows.select("artifact", "score", F.size("motifs").alias("motif_count"), F.concat_ws(" + ", "motifs").alias("pattern"))
+    return out.orderBy(F.desc("motif_count"), F.desc("score"), "artifact").limit(most)

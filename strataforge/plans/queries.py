@@ -23,12 +23,13 @@ from ..operators.tables import shared_path
 from . import agent_queries as R
 from . import graph_queries as T
 from . import profile_queries as C
+from . import readme_queries as U
 from . import score_queries as O
 from . import standins as D
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = R.QUERIES | C.QUERIES | T.QUERIES | O.QUERIES
-ORACLES: dict[str, str] = R.ORACLES | C.ORACLES | T.ORACLES | O.ORACLES
+QUERIES: dict[str, Query] = R.QUERIES | C.QUERIES | T.QUERIES | O.QUERIES | U.QUERIES
+ORACLES: dict[str, str] = R.ORACLES | C.ORACLES | T.ORACLES | O.ORACLES | U.ORACLES
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -631,12 +632,6 @@ def gq33_patterns_with_score(spark, sf):
     return D.features(spark, sf).groupBy("is_english", "has_tables").agg(F.count("*").alias("n"), _r(F.avg("score")).alias("mean_score"))
 
 
-@query(_f("SELECT doc_id, (has_license::INT + is_english::INT + is_long::INT + has_tables::INT) AS motifs FROM features WHERE has_license::INT + is_english::INT + is_long::INT + has_tables::INT >= 2"))
-def gq19_composite_motifs(spark, sf):
-    total = sum((F.col(c).cast("int") for c in ("has_license", "is_english", "is_long", "has_tables")), F.lit(0))
-    return D.features(spark, sf).select("doc_id", total.alias("motifs")).filter("motifs >= 2")
-
-
 @query(_f("""SELECT a.doc_id AS a, b.doc_id AS b, round(((a.has_license = b.has_license)::INT + (a.is_english = b.is_english)::INT + (a.is_long = b.is_long)::INT + (a.has_tables = b.has_tables)::INT + (a.flagged = b.flagged)::INT) / 5.0, 6)::DOUBLE AS similarity FROM features a JOIN features b ON b.doc_id IN (SELECT doc_id FROM features WHERE accepted ORDER BY n_words DESC, doc_id LIMIT 5) AND a.doc_id <> b.doc_id"""))
 def joi19_top_accepted(spark, sf):
     f = D.features(spark, sf)

@@ -10,9 +10,15 @@ from pyspark.sql import functions as F
 
 from ..operators import similarity as V
 
-# Focus labels and weights (vector, graph) of each section type.
-STRATEGIES = {"installation": (("Dependency", "DependencyFile", "Section"), 0.4, 0.6), "usage": (("Section", "CodeFile"), 0.6, 0.4), "structure": (("Directory", "File"), 0.3, 0.7), "data": (("Dataset", "File"), 0.5, 0.5)}
-DEFAULT = ((), 0.5, 0.5)
+# Focus labels, focus edges and weights (vector, graph) of each section; others look at all.
+STRATEGIES = {
+    "title_purpose": (("Artifact", "Section"), ("DESCRIBES",), 0.7, 0.3),
+    "setup": (("Dependency", "Command", "Tool"), ("DEPENDS_ON", "REQUIRES"), 0.5, 0.5),
+    "usage": (("Command", "File"), ("GENERATES", "PRODUCES"), 0.4, 0.6),
+    "outputs": (("Output", "Dataset"), ("GENERATES", "PRODUCES"), 0.6, 0.4),
+    "structure": (("Section",), ("CONTAINS", "PART_OF"), 0.3, 0.7),
+}
+DEFAULT = ((), (), 0.5, 0.5)
 CONTEXT_CHARS, NODE_CHARS = 4000, 500
 
 
@@ -22,8 +28,9 @@ def node_text(label: Column | str, name: Column | str, body: Column | str) -> Co
 
 
 def graph_hits(edges: DataFrame, nodes: DataFrame, section: str, k: int) -> DataFrame:
-    """(key, score): nodes of the section's focus labels by their number of edges."""
-    labels = STRATEGIES.get(section, DEFAULT)[0]
+    """(key, score): nodes of the section's focus labels by their number of focus edges."""
+    labels, types = STRATEGIES.get(section, DEFAULT)[:2]
+    edges = edges.filter(F.col("type").isin(*types)) if types else edges
     rows = nodes.filter(F.col("label").isin(*labels)) if labels else nodes
     ends = edges.select(F.col("src").alias("id")).union(edges.select("dst"))
     return rows.join(ends, "id").groupBy(F.col("id").alias("key")).agg(F.count("*").cast("double").alias("score")).orderBy(F.desc("score"), "key").limit(k)
@@ -31,7 +38,7 @@ def graph_hits(edges: DataFrame, nodes: DataFrame, section: str, k: int) -> Data
 
 def retrieve(section: str, vector_hits: DataFrame, hits: DataFrame, k: int) -> DataFrame:
     """(key, score): both result lists, scaled to their best and weighted by the section's strategy."""
-    _, by_vector, by_graph = STRATEGIES.get(section, DEFAULT)
+    by_vector, by_graph = STRATEGIES.get(section, DEFAULT)[2:]
     best = hits.agg(F.max("score").alias("best"))
     scaled = hits.join(F.broadcast(best)).select("key", F.try_divide(F.col("score"), F.col("best")).alias("score"))  # one row
     return V.merged(vector_hits, scaled, by_vector, by_graph, k)

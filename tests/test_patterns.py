@@ -52,10 +52,10 @@ def test_tfidf_has_unit_rows(spark):
 
 def test_retrieval_and_providers(spark):
     nodes = spark.createDataFrame([("a", "Section", "Install", "x"), ("b", "Dependency", "numpy", "x"), ("c", "File", "f", "x")], "id string, label string, name string, artifact string")
-    edges = spark.createDataFrame([("a", "T", "b"), ("b", "T", "c"), ("c", "T", "b")], "src string, type string, dst string")
-    hits = R.graph_hits(edges, nodes, "installation", 5)
-    assert [(r["key"], r["score"]) for r in hits.collect()] == [("b", 3.0), ("a", 1.0)]
-    found = R.retrieve("installation", spark.createDataFrame([("c", 0.9)], "key string, score double"), hits, 2).collect()
+    edges = spark.createDataFrame([("a", "DEPENDS_ON", "b"), ("b", "REQUIRES", "c"), ("c", "DEPENDS_ON", "b"), ("b", "CONTAINS", "a")], "src string, type string, dst string")
+    hits = R.graph_hits(edges, nodes, "setup", 5)
+    assert [(r["key"], r["score"]) for r in hits.collect()] == [("b", 3.0)]
+    found = R.retrieve("setup", spark.createDataFrame([("c", 0.9)], "key string, score double"), hits, 2).collect()
     assert found[0]["key"] == "b"
     asked = R.prompts(R.section_context(nodes), "{artifact}: {context}")
     assert R.generated(asked).first()["text"].startswith("x: {")

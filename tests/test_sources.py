@@ -78,17 +78,19 @@ def test_documents_graph_and_sinks(spark, tmp_path):
     docs, failures = R.analysis_documents(spark, str(tmp_path / "in"))
     assert [r["artifact_name"] for r in docs.collect()] == ["art"] and failures.count() == 1
     heads = AG.sections(AG.all_files(docs)).orderBy("idx").collect()
-    assert [(h["heading"], h["level"], h["type"], h["line_no"], h["body"]) for h in heads] == [("Title", 1, "other", 1, "text"), ("Installation", 2, "installation", 3, "pip install x"), ("Results and more", 2, "results", 5, "good\n```\nx\n```")]
+    assert [(h["heading"], h["level"], h["type"], h["line_no"], h["body"]) for h in heads] == [("Title", 1, "general", 1, "text"), ("Installation", 2, "installation", 3, "pip install x"), ("Results and more", 2, "results", 5, "good\n```\nx\n```")]
     nodes, edges = AG.nodes_edges(docs)
     counts = {r["label"]: r["n"] for r in G.type_counts(nodes, "label").collect()}
     assert counts == {"Artifact": 1, "Directory": 2, "Documentation": 1, "CodeFile": 1, "File": 1, "DependencyFile": 1, "Section": 3, "Dependency": 2}
     assert G.endpoints(edges, nodes).count() == edges.count()
     root = nodes.filter("label = 'Artifact'").first()["id"]
     assert G.closure(edges, "CONTAINS", 3).filter(F.col("src") == root).count() == 6
-    q = AG.readme_quality(AG.sections(AG.all_files(docs))).first()
-    assert (q["score"], q["grade"]) == (30, "poor")
+    rich = AG.enriched(AG.sections(AG.all_files(docs)))
+    q = AG.readme_quality(rich).first()
+    assert (q["score"], q["grade"], q["instruction"], q["n_sections"]) == (20 + 10 + 15, "F", "low", 3)  # installation, results, a code fence
+    assert AG.archetypes(rich).first()["archetype"] == "summary-only"
     assert AG.section_patterns(AG.sections(AG.all_files(docs))).count() == 3
-    assert AG.motifs(AG.sections(AG.all_files(docs)), AG.all_files(docs)).first()["motifs"] == ["installation", "results"]
+    assert AG.motifs(rich, AG.all_files(docs)).first()["motifs"] == ["installation", "results"]
     scores = A.agent_scores(A.component_scores(docs))
     wide = S.merged_scores(scores, A.decisions(scores))
     S.table(wide, str(tmp_path / "csv"))
