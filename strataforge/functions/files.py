@@ -8,14 +8,25 @@ from pyspark.sql import functions as F
 # File names and extensions by kind.
 CODE = (".py", ".pyx", ".pyi", ".ipynb", ".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs", ".java", ".scala", ".kt", ".groovy", ".clj", ".c", ".cpp", ".cxx", ".cc", ".h", ".hpp", ".hxx", ".cs", ".vb", ".fs", ".php", ".rb", ".go", ".rs", ".swift", ".sh", ".bash", ".zsh", ".fish", ".ps1", ".bat", ".cmd", ".sql", ".r", ".m", ".pl", ".lua", ".dart", ".hs", ".elm", ".ml", ".f90", ".f95", ".f03", ".asm", ".s", ".vim", ".el")
 LICENSES = ("license", "licence", "copying", "copyright", "legal", "notice", "authors", "contributors", "credits", "acknowledgment")
-BUILDS = ("Makefile", "CMakeLists.txt", "pom.xml", "build.gradle", "setup.py", "pyproject.toml", "Cargo.toml", "package.json", "build.xml", "meson.build")
-DATA = (".csv", ".tsv", ".json", ".jsonl", ".parquet", ".xlsx", ".xls", ".h5", ".hdf5", ".npz", ".npy", ".pkl", ".sqlite", ".db", ".arff")
-CONFIGS = (".yml", ".yaml", ".toml", ".ini", ".cfg", ".conf", ".env", ".properties")
+BUILDS = ("Makefile", "CMakeLists.txt", "build.gradle", "pom.xml", "package.json", "requirements.txt")
+DATA = (".csv", ".json", ".xml", ".sql", ".db", ".sqlite")
+CONFIGS = (".yaml", ".yml", ".toml", ".ini", ".cfg", ".conf")
 ARCHIVES = (".zip", ".tar", ".tar.gz", ".tgz", ".tar.bz2", ".tbz2", ".tar.xz", ".txz", ".gz", ".bz2", ".xz", ".7z", ".rar", ".zst")
-IMPORTANT = ("dockerfile", "makefile", "requirements.txt", "setup.py", "package.json", "pom.xml", "environment.yml")
-EXCLUDED_DIRS = (".git", ".svn", ".hg", "node_modules", "__pycache__", "venv", ".venv", ".idea", ".vscode", "__macosx", "target", "dist", "build")
+IMPORTANT = ("readme", "license", "licence", "contributing", "changelog", "makefile", "dockerfile", "setup.py", "requirements.txt", "package.json", "pom.xml")
+EXCLUDED_DIRS = (
+    ".git", ".svn", ".hg", ".bzr", "node_modules", "bower_components", ".yarn", ".pnp", ".parcel-cache",
+    "__pycache__", ".pytest_cache", ".mypy_cache", ".tox", ".coverage", ".hypothesis",
+    ".venv", "venv", "env", ".env", ".virtualenv", ".conda", ".ipynb_checkpoints",
+    "build", "dist", "out", "output", "target", "bin", "obj", ".gradle", ".idea", ".vscode", ".settings",
+    ".cache", "logs", "log", ".next", ".nuxt", ".expo", ".android", ".ios", ".history", ".npm", ".jspm",
+    ".c9", ".cloud9", ".sublime-*", ".nyc_output", ".mocha", ".istanbul", ".jupyter",
+    ".Rproj.user", ".Rhistory", ".RData", ".Ruserdata", ".snapshots", ".metadata", ".factorypath",
+    ".tmp", ".bak", ".old", ".orig", ".save", ".crash", ".pid", ".seed", ".pid.lock",
+    ".yarn-cache", ".yarnrc", ".pnp.*", ".eslintcache", ".pyre", ".pytype",
+)
+EXCLUDED_FILES = (".DS_Store", "Thumbs.db", "desktop.ini", ".Trash-*", ".AppleDouble", ".LSOverride", "*.log", "*.tmp", "*.swp", "*.swo")
 BINARIES = (".exe", ".dll", ".so", ".dylib", ".bin", ".o", ".a", ".class", ".jar", ".pyc", ".png", ".jpg", ".jpeg", ".gif", ".mp4", ".pdf")
-LANGUAGES = {".py": "Python", ".java": "Java", ".cpp": "C++", ".c": "C", ".h": "C", ".js": "JavaScript", ".ts": "TypeScript", ".go": "Go", ".rs": "Rust", ".rb": "Ruby", ".php": "PHP", ".scala": "Scala", ".kt": "Kotlin", ".swift": "Swift", ".sh": "Shell", ".r": "R", ".jl": "Julia", ".cs": "C#", ".ipynb": "Jupyter"}
+LANGUAGES = {".py": "python", ".js": "javascript", ".ts": "typescript", ".java": "java", ".cpp": "cpp", ".c": "c", ".go": "go", ".rs": "rust", ".rb": "ruby", ".php": "php", ".r": "r", ".sh": "shell", ".sql": "sql"}
 RESERVED = ("con", "prn", "aux", "nul", "com1", "com2", "com3", "lpt1", "lpt2", "lpt3")
 
 
@@ -71,8 +82,9 @@ def is_config_or_build(path: Column | str) -> Column:
 
 
 def is_important(path: Column | str) -> Column:
+    """A name of the list, with or without its extension, or one that says readme or license."""
     low = F.lower(name(path))
-    return low.isin(*IMPORTANT) | low.rlike("readme|licen[sc]e")
+    return low.isin(*IMPORTANT) | F.regexp_replace(low, r"(?<=.)\.[^.]*$", "").isin(*IMPORTANT) | low.rlike("readme|licen[sc]e")
 
 
 def is_archive(path: Column | str) -> Column:
@@ -96,9 +108,15 @@ def category(path: Column | str) -> Column:
     )
 
 
+def _matches(x: Column, names: tuple[str, ...]) -> Column:
+    """Whether a name is one of the list, as written; a star stands for anything."""
+    globs = [n.replace(".", r"\.").replace("*", ".*") for n in names if "*" in n]
+    return x.isin(*(n for n in names if "*" not in n)) | x.rlike(f"^({'|'.join(globs)})$")
+
+
 def excluded(path: Column | str) -> Column:
-    """Whether a directory on the path is one that scans skip."""
-    return F.exists(F.split(F.lower(parent(path)), "/"), lambda p: p.isin(*EXCLUDED_DIRS) | p.rlike(r"\.egg-info$"))
+    """Whether scans skip the file: a directory on its way or its own name is excluded."""
+    return F.exists(F.split(parent(path), "/"), lambda p: _matches(p, EXCLUDED_DIRS)) | _matches(name(path), EXCLUDED_FILES)
 
 
 def skip_reason(path: Column | str, size: Column | str) -> Column:
@@ -111,7 +129,7 @@ def skip_reason(path: Column | str, size: Column | str) -> Column:
 
 def language(path: Column | str) -> Column:
     table = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
-    return F.coalesce(F.try_element_at(table, extension(path)), F.lit("Unknown"))
+    return F.coalesce(F.try_element_at(table, extension(path)), F.lit("unknown"))
 
 
 def graph_kind(path: Column | str) -> Column:

@@ -9,9 +9,18 @@ from pyspark.sql import functions as F
 LICENSE_WORDS = ("mit license", "apache license", "gpl", "lgpl", "bsd license", "cc-by", "creative commons", "epl", "eupl", "mpl", "unlicense")
 CITATION_WORDS = ("how to cite", "citation", "doi:", "zenodo", "paper url")
 AUTHOR_WORDS = ("author", "contributors", "maintainers", "developer")
-TROUBLE_WORDS = ("troubleshooting", "faq", "known issues", "common problems", "debug", "help")
-REPRODUCE_WORDS = ("reproduce", "replicate", "reproducibility", "experiment", "expected output", "seed")
-USAGE_WORDS = ("usage", "how to use", "example", "run", "command", "config", "parameter")
+# Words of troubleshooting, usage, configuration and reproducibility, and commands that run a script.
+SIGNALS = {
+    "common_issues": ("common error", "common errors", "known issue", "known issues", "faq", "frequently asked questions", "troubleshoot"),
+    "bug_guidance": ("report bug", "bug tracker", "issue tracker", "support", "help"),
+    "samples": ("sample input", "sample output", "example usage", "cli screenshot", "interface screenshot"),
+    "env_config": ("env var", "environment variable", "export ", "set ", "config file", "yaml config", "json config"),
+    "customization": ("advanced usage", "advanced configuration", "override default", "customize"),
+    "repro_steps": ("data setup", "environment duplication", "random seed", "set seed", "reproducibility", "docker", "colab", "binder", "container"),
+    "validation_steps": ("validate results", "test script", "accuracy", "performance metric", "evaluation script", "benchmark"),
+    "related_references": ("original research paper", "arxiv", "data source", "related project", "related work", "reference"),
+}
+COMMANDS = (r"python\s+\w+\.py", r"python3\s+\w+\.py", r"\./\w+\.sh", r"\.\.\/\w+\.sh")
 JARGON = ("api", "library", "dataset", "framework", "dependency", "gpu", "docker", "virtualenv", "conda", "cli", "shell", "python", "server", "backend", "runtime", "build", "script", "repository", "compile", "kernel")
 STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of", "on", "that", "the", "this", "to", "was", "were", "will", "with")
 
@@ -44,6 +53,12 @@ def has_any(text: Column | str, words: tuple[str, ...]) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def signals(text: Column | str) -> dict[str, Column]:
+    """Whether a text has each of the documentation signals, by name."""
+    command = F.coalesce(F.lower(_c(text)).rlike("|".join(COMMANDS)), F.lit(False))
+    return {"example_commands": command} | {name: has_any(text, words) for name, words in SIGNALS.items()}
+
+
 def count_of(text: Column | str, word: str) -> Column:
     """Occurrences of a plain word, not overlapping."""
     t = _c(text)

@@ -489,7 +489,7 @@ def joi02_named_files(spark, sf):
 _LANGUAGES = ", ".join(f"('{e}', '{n}')" for e, n in P.LANGUAGES.items())
 
 
-@query(f"""WITH {D.MENTIONS_SQL}, l(x, language) AS (VALUES {_LANGUAGES}), c AS (SELECT artifact, coalesce(language, 'Unknown') AS language, lower(regexp_extract(regexp_extract(target, '[^/]*$'), '^.+(\\.[^.]+)$', 1)) AS file_type FROM e LEFT JOIN l ON x = lower(regexp_extract(regexp_extract(target, '[^/]*$'), '^.+(\\.[^.]+)$', 1)) WHERE type = 'DESCRIBES')
+@query(f"""WITH {D.MENTIONS_SQL}, l(x, language) AS (VALUES {_LANGUAGES}), c AS (SELECT artifact, coalesce(language, 'unknown') AS language, lower(regexp_extract(regexp_extract(target, '[^/]*$'), '^.+(\\.[^.]+)$', 1)) AS file_type FROM e LEFT JOIN l ON x = lower(regexp_extract(regexp_extract(target, '[^/]*$'), '^.+(\\.[^.]+)$', 1)) WHERE type = 'DESCRIBES')
 SELECT language, file_type, count(DISTINCT artifact) AS artifact_count, count(*) AS total_references FROM c GROUP BY 1, 2 ORDER BY 3 DESC, 4 DESC, 1, 2 LIMIT 10""")
 def gq06_code_references(spark, sf):
     links = W.edges(D.readmes(spark, sf), "artifact", "document", "text", D.artifact_files(spark, sf), "path")
@@ -586,6 +586,23 @@ def str01_hourly_events(spark, sf):
     return E.hourly(e).select("hour", "event_type", "n", F.round("total", 4).alias("total"))
 
 
+_SIGNALS = ", ".join("(" + " OR ".join(f"contains(low, '{w}')" for w in words) + f") AS {name}" for name, words in X.SIGNALS.items())
+
+
+@query(rf"""WITH t AS (SELECT doc_id, lower(text || ' ' || {{}}) AS low FROM documents) SELECT doc_id, regexp_matches(low, 'python\s+\w+\.py|python3\s+\w+\.py|\./\w+\.sh|\.\./\w+\.sh') AS example_commands, {_SIGNALS} FROM t""".format(D.SIGNAL_SQL))
+def fun13_documentation_signals(spark, sf):
+    """The signals of FUN13, FUN14 and FUN15 in all documents, each followed by a phrase that its id deals."""
+    t = D.table(spark, sf, "documents").withColumn("text", F.concat("text", F.lit(" "), D.signal_phrase()))
+    return t.select("doc_id", *(c.alias(k) for k, c in X.signals("text").items()))
+
+
+@query(f"""WITH {D.KINDS_SQL} SELECT doc_id, path, excluded, important, build, data, config, language FROM k""")
+def prj05_file_kinds(spark, sf):
+    """Kinds of the paths that every document's artifact is dealt (PRJ05, PRJ06, PRJ08, PRJ11, PRJ15)."""
+    kinds = {"excluded": P.excluded("path"), "important": P.is_important("path"), "build": P.is_build("path"), "data": P.is_data("path"), "config": P.is_config("path"), "language": P.language("path")}
+    return D.dealt_paths(spark, sf).select("doc_id", "path", *(c.alias(k) for k, c in kinds.items()))
+
+
 # --- more graph and score queries ----------------------------------------------------
 
 

@@ -177,3 +177,31 @@ r AS (SELECT doc_id, concat_ws(chr(10), string_agg('see ' || path, chr(10) ORDER
 g AS (SELECT DISTINCT doc_id, unnest(string_split(path, '/')[:-2]) AS folder FROM f),
 e AS (SELECT doc_id AS artifact, 'DESCRIBES' AS type, path AS target, ((length(text) - length(replace(text, name, ''))) // length(name))::BIGINT AS n FROM f JOIN r USING (doc_id) WHERE contains(text, name)
   UNION ALL SELECT doc_id, 'MENTIONS', folder, ((length(text) - length(replace(text, folder || '/', ''))) // (length(folder) + 1))::BIGINT FROM g JOIN r USING (doc_id) WHERE contains(text, folder || '/'))"""
+
+
+#: Phrases of documentation signals and near misses, dealt one to a document.
+SIGNAL_PHRASES = ("python run.py", "python3  a_b.py", "./x.sh", "../x.sh", "python x", "FAQ", "Report bug", "Sample output", "EXPORT A=1", "Config File", "customize it", "set seed", "Colab", "test script", "arXiv:1", "nothing", "reset", "Frequently Asked Questions", "issue tracker", "advanced usage")
+SIGNAL_SQL = "list_extract([" + ", ".join(f"'{p}'" for p in SIGNAL_PHRASES) + f"], (doc_id % {len(SIGNAL_PHRASES)} + 1)::INT)"
+
+
+def signal_phrase():
+    return F.element_at(F.array(*map(F.lit, SIGNAL_PHRASES)), (F.col("doc_id") % len(SIGNAL_PHRASES) + 1).cast("int"))
+
+
+MORE_PATHS = (*PATHS, "src/db/schema.sql", "env/x.py", ".sublime-text/a", ".pnp.cjs/b", "a/.Trash-1", "run.log", "Logs/x", "logs/x", "Setup.py", "CHANGELOG.rst", "docs/MY_LICENCE.txt", "out/a.csv", ".DS_Store", "lib/x.TS", "a.b/readme")
+
+
+def dealt_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, path) of the paths that each document's artifact is dealt."""
+    d = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(_dealt(d, MORE_PATHS, 8, 6)).alias("path"))
+
+
+_OUT = "'.git', '.svn', '.hg', '.bzr', 'node_modules', 'bower_components', '.yarn', '.pnp', '__pycache__', '.venv', 'venv', 'env', '.env', 'build', 'dist', 'out', 'output', 'target', 'bin', 'obj', '.idea', '.vscode', 'logs', 'log'"
+KINDS_SQL = f"""
+paths(i, path) AS (VALUES {", ".join(f"({i}, '{p}')" for i, p in enumerate(MORE_PATHS))}),
+d AS (SELECT doc_id, path, regexp_extract(path, '[^/]*$') AS name, lower(regexp_extract(path, '[^/]*$')) AS low, lower(regexp_extract(regexp_extract(path, '[^/]*$'), '^.+(\\.[^.]+)$', 1)) AS x FROM documents, paths WHERE (doc_id * (i + 8) + i) % 97 < 16),
+k AS (SELECT *, len(list_filter(string_split(path, '/')[:-2], lambda p: p IN ({_OUT}) OR starts_with(p, '.sublime-') OR starts_with(p, '.pnp.'))) > 0 OR name IN ('.DS_Store', 'Thumbs.db', 'desktop.ini', '.AppleDouble', '.LSOverride') OR starts_with(name, '.Trash-') OR x IN ('.log', '.tmp', '.swp', '.swo') AND right(name, 4) IN ('.log', '.tmp', '.swp', '.swo') AS excluded,
+  contains(low, 'readme') OR contains(low, 'license') OR contains(low, 'licence') OR low IN ('makefile', 'dockerfile', 'setup.py', 'requirements.txt', 'package.json', 'pom.xml') OR regexp_replace(low, '(.)\\.[^.]*$', '\\1') IN ('contributing', 'changelog', 'makefile', 'dockerfile', 'setup.py', 'requirements.txt', 'package.json', 'pom.xml') AS important,
+  name IN ('Makefile', 'CMakeLists.txt', 'build.gradle', 'pom.xml', 'package.json', 'requirements.txt') AS build, x IN ('.csv', '.json', '.xml', '.sql', '.db', '.sqlite') AS data, x IN ('.yaml', '.yml', '.toml', '.ini', '.cfg', '.conf') AS config,
+  CASE x WHEN '.py' THEN 'python' WHEN '.js' THEN 'javascript' WHEN '.ts' THEN 'typescript' WHEN '.java' THEN 'java' WHEN '.cpp' THEN 'cpp' WHEN '.c' THEN 'c' WHEN '.go' THEN 'go' WHEN '.rs' THEN 'rust' WHEN '.rb' THEN 'ruby' WHEN '.php' THEN 'php' WHEN '.r' THEN 'r' WHEN '.sh' THEN 'shell' WHEN '.sql' THEN 'sql' ELSE 'unknown' END AS language FROM d)"""

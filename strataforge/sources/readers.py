@@ -11,6 +11,7 @@ import tarfile
 import zipfile
 import zlib
 from collections.abc import Iterator
+from typing import IO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -80,17 +81,22 @@ def text_of(content: Column | str) -> Column:
     return F.coalesce(F.when(F.is_valid_utf8(text), text).otherwise(F.decode(content, "ISO-8859-1")), F.lit(""))
 
 
+def _bounded(stream: IO[bytes]) -> bytes:
+    """What a stream gives, but no more than one byte beyond ``MEMBER_BYTES``, whatever it says of its size."""
+    return stream.read(MEMBER_BYTES + 1)
+
+
 def _members(name: str, data: bytes, depth: int) -> Iterator[tuple[str, int, bytes | None, str]]:
     """(path, size, content, status) of an archive's members, nested archives opened in place."""
     low = name.lower()
     try:
         if low.endswith(".zip"):
-            found = ((i.filename, i.file_size, (lambda i=i, z=z: z.read(i)), not i.is_dir()) for z in [zipfile.ZipFile(io.BytesIO(data))] for i in z.infolist())
+            found = ((i.filename, i.file_size, (lambda i=i, z=z: _bounded(z.open(i))), not i.is_dir()) for z in [zipfile.ZipFile(io.BytesIO(data))] for i in z.infolist())
         elif low.endswith((".tar", ".tar.gz", ".tgz", ".tar.bz2", ".tbz2", ".tar.xz", ".txz")):
             tar = tarfile.open(fileobj=io.BytesIO(data))  # noqa: SIM115
-            found = ((i.name, i.size, (lambda i=i: i.linkname.encode() if i.issym() else tar.extractfile(i).read()), i.isfile() or i.issym()) for i in tar)
+            found = ((i.name, i.size, (lambda i=i: i.linkname.encode() if i.issym() else _bounded(tar.extractfile(i))), i.isfile() or i.issym()) for i in tar)
         elif low.endswith((".gz", ".bz2", ".xz")):
-            opened = {"gz": gzip.decompress, "bz2": bz2.decompress, "xz": lzma.decompress}[low.rpartition(".")[2]](data)
+            opened = _bounded({"gz": gzip.open, "bz2": bz2.open, "xz": lzma.open}[low.rpartition(".")[2]](io.BytesIO(data)))
             found = iter([(name.rpartition(".")[0], len(opened), lambda: opened, True)])
         else:
             yield name, len(data), None, "unsupported"
@@ -112,7 +118,9 @@ def _members(name: str, data: bytes, depth: int) -> Iterator[tuple[str, int, byt
                 except Exception as e:  # noqa: BLE001  one bad member does not end the archive
                     yield clean, size, None, f"unreadable: {type(e).__name__}"
                     continue
-                if depth < DEPTH and clean.lower().endswith(P.ARCHIVES):
+                if len(body) > MEMBER_BYTES:
+                    yield clean, len(body), None, "too large"
+                elif depth < DEPTH and clean.lower().endswith(P.ARCHIVES):
                     for inner, n, content, status in _members(posixpath.basename(clean), body, depth + 1):
                         yield f"{clean}/{inner}", n, content, status
                 else:

@@ -42,6 +42,20 @@ def test_archives(spark, tmp_path):
     assert sorted(only) == ["in.tar.gz/deep/README.md", "x/a.md"]
 
 
+def test_bombs_are_rows(spark, tmp_path):
+    import bz2
+    import gzip
+    import lzma
+
+    size = R.MEMBER_BYTES + 1000
+    for name, pack in (("a.gz", gzip.compress), ("b.bz2", bz2.compress), ("c.xz", lzma.compress)):
+        (tmp_path / name).write_bytes(pack(bytes(size)))  # small files of 50 MB of zeros
+    (tmp_path / "d.txt.gz").write_bytes(gzip.compress(b"small"))
+    rows = {r["artifact"]: (r["status"], r["size"], r["content"]) for r in R.archives(spark, str(tmp_path)).collect()}
+    assert all(rows[n] == ("too large", R.MEMBER_BYTES + 1, None) for n in ("a.gz", "b.bz2", "c.xz"))
+    assert rows["d.txt.gz"][0] == "ok" and bytes(rows["d.txt.gz"][2]) == b"small"
+
+
 def test_repository_and_sampling(spark, tmp_path):
     for k in range(14):
         (tmp_path / f"f{k:02}.py").write_text("x")

@@ -49,7 +49,7 @@ def test_file_kinds(spark):
     rows = spark.createDataFrame([(p,) for p in paths], "p string").select("p", P.category("p").alias("c"), P.excluded("p").alias("e"), P.language("p").alias("l")).collect()
     assert [r["c"] for r in rows] == ["license", "documentation", "docker", "build", "code", "data", "config", None, "code"]
     assert [r["e"] for r in rows] == [False] * 8 + [True]
-    assert rows[4]["l"] == "Python"
+    assert rows[4]["l"] == "python"
 
 
 def test_guideline_names_and_safe_names(spark):
