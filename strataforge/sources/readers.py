@@ -35,6 +35,20 @@ def guidelines(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("path", null(number).alias("id"), null(name).alias("name"), year.alias("year"), "size", "text")
 
 
+def validated(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, size) of the ``*.md`` and ``*.txt`` files of a folder that hold something; an error if none does."""
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.{md,txt}").load(folder).filter("length > 0").select("path", F.col("length").alias("size"))
+    if rows.isEmpty():
+        raise ValueError(f"no .md or .txt file with content in {folder}")
+    return rows
+
+
+def texts(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(file, text) of the files of a list, blank ones left out."""
+    rows = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
+    return rows.filter(F.col("text").rlike(r"\S"))
+
+
 def last_of_each(rows: DataFrame, key: str = "name", order: str = "path") -> DataFrame:
     """Of rows with one key the last in order of path; rows without a key go."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
@@ -86,47 +100,47 @@ def _bounded(stream: IO[bytes]) -> bytes:
     return stream.read(MEMBER_BYTES + 1)
 
 
-def _members(name: str, data: bytes, depth: int) -> Iterator[tuple[str, int, bytes | None, str]]:
-    """(path, size, content, status) of an archive's members, nested archives opened in place."""
+def members(name: str, data: IO[bytes], size: int, depth: int = 1) -> Iterator[tuple[str, int, bytes | None, str]]:
+    """(path, size, content, status) of the members of an archive read from a stream that can seek, nested archives opened in place."""
     low = name.lower()
     try:
         if low.endswith(".zip"):
-            found = ((i.filename, i.file_size, (lambda i=i, z=z: _bounded(z.open(i))), not i.is_dir()) for z in [zipfile.ZipFile(io.BytesIO(data))] for i in z.infolist())
+            found = ((i.filename, i.file_size, (lambda i=i, z=z: _bounded(z.open(i))), not i.is_dir()) for z in [zipfile.ZipFile(data)] for i in z.infolist())
         elif low.endswith((".tar", ".tar.gz", ".tgz", ".tar.bz2", ".tbz2", ".tar.xz", ".txz")):
-            tar = tarfile.open(fileobj=io.BytesIO(data))  # noqa: SIM115
+            tar = tarfile.open(fileobj=data)  # noqa: SIM115
             found = ((i.name, i.size, (lambda i=i: i.linkname.encode() if i.issym() else _bounded(tar.extractfile(i))), i.isfile() or i.issym()) for i in tar)
         elif low.endswith((".gz", ".bz2", ".xz")):
-            opened = _bounded({"gz": gzip.open, "bz2": bz2.open, "xz": lzma.open}[low.rpartition(".")[2]](io.BytesIO(data)))
+            opened = _bounded({"gz": gzip.open, "bz2": bz2.open, "xz": lzma.open}[low.rpartition(".")[2]](data))
             found = iter([(name.rpartition(".")[0], len(opened), lambda: opened, True)])
         else:
-            yield name, len(data), None, "unsupported"
+            yield name, size, None, "unsupported"
             return
-        for k, (path, size, read, real) in enumerate(found):
+        for k, (path, length, read, real) in enumerate(found):
             if not real:
                 continue
             if k >= MEMBERS:
-                yield path, size, None, "too many members"
+                yield path, length, None, "too many members"
                 return
             clean = posixpath.normpath(path.replace("\\", "/"))
             if clean.startswith(("/", "..")):
-                yield path, size, None, "unsafe path"
-            elif size > MEMBER_BYTES:
-                yield clean, size, None, "too large"
+                yield path, length, None, "unsafe path"
+            elif length > MEMBER_BYTES:
+                yield clean, length, None, "too large"
             else:
                 try:
                     body = read()
                 except Exception as e:  # noqa: BLE001  one bad member does not end the archive
-                    yield clean, size, None, f"unreadable: {type(e).__name__}"
+                    yield clean, length, None, f"unreadable: {type(e).__name__}"
                     continue
                 if len(body) > MEMBER_BYTES:
                     yield clean, len(body), None, "too large"
                 elif depth < DEPTH and clean.lower().endswith(P.ARCHIVES):
-                    for inner, n, content, status in _members(posixpath.basename(clean), body, depth + 1):
+                    for inner, n, content, status in members(posixpath.basename(clean), io.BytesIO(body), len(body), depth + 1):
                         yield f"{clean}/{inner}", n, content, status
                 else:
-                    yield clean, size, body, "ok"
-    except (zipfile.BadZipFile, tarfile.TarError, OSError, EOFError, lzma.LZMAError, zlib.error) as e:
-        yield name, len(data), None, f"broken: {type(e).__name__}"
+                    yield clean, length, body, "ok"
+    except (zipfile.BadZipFile, tarfile.TarError, OSError, EOFError, ValueError, lzma.LZMAError, zlib.error) as e:
+        yield name, size, None, f"broken: {type(e).__name__}"
 
 
 def archives(spark: SparkSession, folder: str, suffix: str = "") -> DataFrame:
@@ -140,7 +154,7 @@ def archives(spark: SparkSession, folder: str, suffix: str = "") -> DataFrame:
         for part in parts:
             for path, content in zip(part["path"], part["content"], strict=True):
                 base = posixpath.basename(path)
-                out = [(base, *m) for m in _members(base, bytes(content), 1) if m[3] != "ok" or m[0].lower().endswith(suffix)]
+                out = [(base, *m) for m in members(base, io.BytesIO(content), len(content)) if m[3] != "ok" or m[0].lower().endswith(suffix)]
                 yield pd.DataFrame(out, columns=["artifact", "path", "size", "content", "status"])
 
     return rows.select("path", "content").mapInPandas(expand, MEMBER_SCHEMA)
