@@ -106,6 +106,31 @@ def recommendations(scored: DataFrame) -> DataFrame:
     return scored.select("artifact_name", F.explode(F.array_compact(F.array(*rows))).alias("r")).select("artifact_name", "r.*")
 
 
+def evaluated(predicted: DataFrame) -> DataFrame:
+    """What an evaluation writes on an artifact's node: score, prediction, confidence, the five scores, the number of recommendations.
+
+    ``predicted`` comes from ``predictions``; its artifact names are unique.
+    """
+    advised = recommendations(predicted).groupBy("artifact_name").agg(F.count("*").alias("n"))
+    # Names of the properties.
+    names = {"documentation": "doc_quality", "reproducibility": "reproducibility", "availability": "availability", "structure": "code_structure", "complexity": "complexity"}
+    return predicted.join(advised, "artifact_name", "left").select(
+        "artifact_name",
+        F.col("probability").alias("evaluation_score"),
+        F.col("likelihood").alias("acceptance_prediction"),
+        F.col("confidence").alias("prediction_confidence"),
+        *(F.col(f"{k}_score").alias(f"{v}_score") for k, v in names.items()),
+        F.coalesce("n", F.lit(0)).alias("total_recommendations"),
+    )
+
+
+def evaluation_summary(nodes: DataFrame, advice: DataFrame) -> DataFrame:
+    """Each evaluated artifact with an array of its recommendations, by priority and text; empty if it has none."""
+    lists = advice.groupBy("artifact_name").agg(F.sort_array(F.collect_list(F.struct("priority", "category", "advice"))).alias("recommendations"))  # five at most
+    kind = "array<struct<priority:string,category:string,advice:string>>"
+    return nodes.join(lists, "artifact_name", "left").withColumn("recommendations", F.coalesce("recommendations", F.array().cast(kind)))
+
+
 def indicators(scored: DataFrame, success: Column, least: float = 0.7) -> DataFrame:
     """(feature, share): flags that more than ``least`` of the successful artifacts have."""
     found = S.prevalence(scored.filter(success), FLAGS, least)

@@ -26,10 +26,11 @@ from . import profile_queries as C
 from . import readme_queries as U
 from . import score_queries as O
 from . import standins as D
+from . import store_queries as M
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = R.QUERIES | C.QUERIES | T.QUERIES | O.QUERIES | U.QUERIES
-ORACLES: dict[str, str] = R.ORACLES | C.ORACLES | T.ORACLES | O.ORACLES | U.ORACLES
+QUERIES: dict[str, Query] = R.QUERIES | C.QUERIES | T.QUERIES | O.QUERIES | U.QUERIES | M.QUERIES
+ORACLES: dict[str, str] = R.ORACLES | C.ORACLES | T.ORACLES | O.ORACLES | U.ORACLES | M.ORACLES
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
