@@ -19,6 +19,7 @@ def fresh(stream: DataFrame, content: Column | str, days: int = DAYS) -> DataFra
     the executors and in the checkpoint; the time is that of arrival, so no row is ever late.
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")  # a trigger writes what changed, not the whole state
     column = F.col(content) if isinstance(content, str) else content
     digest = F.sha2(F.coalesce(column.cast("binary"), F.lit("").cast("binary")), 256)
     text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
