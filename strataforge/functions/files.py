@@ -154,6 +154,21 @@ def is_test(path: Column | str) -> Column:
     return low.startswith("test") | low.endswith("_test.py") | F.lower(_c(path)).rlike(r"(^|/)tests?/")
 
 
+def documentation_type(path: Column | str) -> Column:
+    """What a documentation file is for, by the first word that its path holds."""
+    low = F.lower(_c(path))
+    return F.when(low.contains("readme"), "readme").when(low.contains("license"), "license").when(low.contains("changelog"), "changelog").when(low.rlike("api|reference"), "api").otherwise("general")
+
+
+# Kinds of dependency files by a part of their path, the first that fits.
+DEPENDENCY_FILES = {"requirements": "python_requirements", "package.json": "npm_package", "pom.xml": "maven_pom", "build.gradle": "gradle_build", "setup.py": "python_setup", "pyproject.toml": "python_pyproject"}
+
+
+def dependency_type(path: Column | str) -> Column:
+    low = F.lower(_c(path))
+    return F.coalesce(*(F.when(low.contains(part), kind) for part, kind in DEPENDENCY_FILES.items()), F.lit("unknown"))
+
+
 def guideline_parts(path: Column | str) -> tuple[Column, Column, Column]:
     """(id, name, year) of a guideline file ``<id>_<name>_<year>.md``; names may have several words."""
     pattern = r"^([0-9]+)_([A-Za-z_]+?)_([0-9]{4})\.md$"

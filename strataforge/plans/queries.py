@@ -21,6 +21,7 @@ from ..operators import substrings as B
 from ..operators import vector_index as I
 from ..operators.tables import shared_path
 from . import agent_queries as R
+from . import batch_queries as J
 from . import graph_queries as T
 from . import profile_queries as C
 from . import readme_queries as U
@@ -29,8 +30,8 @@ from . import standins as D
 from . import store_queries as M
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = R.QUERIES | C.QUERIES | T.QUERIES | O.QUERIES | U.QUERIES | M.QUERIES
-ORACLES: dict[str, str] = R.ORACLES | C.ORACLES | T.ORACLES | O.ORACLES | U.ORACLES | M.ORACLES
+QUERIES: dict[str, Query] = R.QUERIES | C.QUERIES | T.QUERIES | O.QUERIES | U.QUERIES | M.QUERIES | J.QUERIES
+ORACLES: dict[str, str] = R.ORACLES | C.ORACLES | T.ORACLES | O.ORACLES | U.ORACLES | M.ORACLES | J.ORACLES
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
