@@ -117,7 +117,6 @@ def _sums(base: DataFrame, number: Column, bits: int) -> list[tuple[int, int, in
 
 def shard_ends(base: DataFrame, shards: int = SHARDS, buckets: int = BUCKETS) -> list[int]:
     """Greatest key of each shard but the last, from (key, size) rows."""
-    spark = base.sparkSession
     top = buckets.bit_length() - 1
     ranges = Ranges(_sums(base, F.shiftright("key", KEY_BITS - top), top))
     while split := ranges.undecided(shards):
@@ -126,8 +125,7 @@ def shard_ends(base: DataFrame, shards: int = SHARDS, buckets: int = BUCKETS) ->
         kept = [row for i, row in enumerate(ranges.rows) if i not in set(split)]
         for bits in sorted({ranges.rows[i][4] for i in split}):
             numbers = [ranges.rows[i][3] for i in split if ranges.rows[i][4] == bits]
-            wanted = F.broadcast(spark.createDataFrame([(n,) for n in numbers], "wanted long"))  # at most buckets / 4 rows
-            inside = base.join(wanted, F.shiftright("key", KEY_BITS - bits) == F.col("wanted"), "left_semi")
+            inside = base.filter(F.shiftright("key", KEY_BITS - bits).isin(numbers))  # at most buckets / 4 numbers
             kept += _sums(inside, F.shiftright("key", max(0, KEY_BITS - bits - finer)), min(KEY_BITS, bits + finer))
         ranges = Ranges(kept)
     if not ranges.rows:
