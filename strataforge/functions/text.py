@@ -89,7 +89,7 @@ def ngrams(words: Column, n: int) -> Column:
 
 def headings(text: Column | str) -> Column:
     """Heading texts of a Markdown document: marks stripped, lower case, none empty."""
-    marked = F.filter(F.transform(lines(text), F.trim), lambda x: x.startswith("#"))
+    marked = F.filter(F.transform(lines(text), lambda x: F.trim(x)), lambda x: x.startswith("#"))
     return F.filter(F.transform(marked, lambda x: F.lower(F.trim(F.regexp_extract(x, r"^#+\s*(.*)$", 1)))), lambda x: x != "")
 
 
@@ -169,7 +169,7 @@ def base_images(text: Column | str) -> Column:
 
 def requirements(text: Column | str) -> Column:
     """array<struct<name, version>> of a requirements file: ``>=`` before ``==``, comments dropped."""
-    rows = F.filter(F.transform(lines(text), F.trim), lambda x: (x != "") & ~x.startswith("#"))
+    rows = F.filter(F.transform(lines(text), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#"))
 
     def parse(row: Column) -> Column:
         mark = F.when(row.contains(">="), ">=").otherwise("==")

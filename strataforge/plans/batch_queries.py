@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import files as P
+from ..functions import text as X
 from ..operators import files_in_python as Y
 from ..operators import mentions as W
+from ..sources import readers as S
 from . import artifact_graph as A
 from . import batch_reports as B
 from . import patterns as R
@@ -206,3 +208,60 @@ def sco15_rubrics(spark, sf):
     """Nations as venues, the customers' segments as dimensions; keywords are the segment and a word by the length of the nation's name."""
     said = F.element_at(F.array(*map(F.lit, (*_KNOWN.values(), "unknown"))), F.length("venue") % (len(_KNOWN) + 1) + 1)
     return B.rubrics(D.weights(spark, sf).withColumn("keywords", F.array(F.lower("dimension"), said)), Q.focus("keywords"))
+
+
+_DEEP = "g AS (SELECT artifact, CASE artifact % 3 WHEN 0 THEN 'node_modules/a/node_modules/' WHEN 1 THEN 'lib/node_modules/' ELSE '' END || path AS path FROM f)"
+
+
+def _deep(spark: SparkSession, sf: str) -> DataFrame:
+    """Some artifacts hold their files below module folders."""
+    d = F.col("artifact") % 3
+    above = F.when(d == 0, "node_modules/a/node_modules/").when(d == 1, "lib/node_modules/").otherwise("")
+    return files(spark, sf).withColumn("path", F.concat(above, "path"))
+
+
+@query(rf"WITH {_SQL} SELECT regexp_extract(name, '^.+(\.[^.]+)$', 1) AS extension, count(*) AS n FROM f WHERE regexp_matches(name, '^.+\.[^.]+$') GROUP BY 1")
+def agg19_suffix_counts(spark, sf):
+    return B.suffix_counts(files(spark, sf))
+
+
+@query(f"WITH {_SQL}, q AS (SELECT doc_id AS artifact, count_if(coalesce(ends_with(path, '.md'), false))::BIGINT AS md_files FROM documents LEFT JOIN f ON doc_id = artifact GROUP BY 1) SELECT artifact, md_files, (SELECT sum(md_files)::BIGINT FROM q) AS total FROM q ORDER BY md_files DESC, artifact LIMIT 500")
+def agg19_markdown_counts(spark, sf):
+    return B.markdown_counts(artifacts(spark, sf), files(spark, sf))
+
+
+@query(f"WITH {_SQL}, {_DEEP}, p AS (SELECT DISTINCT artifact, unnest(CASE artifact % 3 WHEN 0 THEN ['a', 'b'] WHEN 1 THEN ['c'] ELSE [] END) AS folder FROM g) SELECT count(*) AS folders FROM p")
+def agg19_module_folders(spark, sf):
+    return B.module_folders(_deep(spark, sf))
+
+
+_CODE, _LICENSE = _list(P.CODE), "|".join(P.LICENSES)
+
+
+@query(rf"""WITH {D.KINDS_SQL}, s AS (SELECT doc_id || '/' || path AS path, (doc_id * 31 + length(path) * 17) % 2600 * 1024 AS size, important, build OR config OR x = '.md' OR x IN ({_CODE}) OR regexp_matches(low, '{_LICENSE}') OR regexp_matches(path, '(^|/)(\.github|\.circleci|\.gitlab|\.idea|\.vscode)(/|$)') AS allowed, name FROM k),
+r AS (SELECT path, size, CASE WHEN important THEN 'important' WHEN allowed THEN 'allowed' ELSE 'other' END AS kind, row_number() OVER (PARTITION BY regexp_extract(path, '^(.*)/[^/]*$', 1), CASE WHEN important THEN 'important' WHEN allowed THEN 'allowed' ELSE 'other' END ORDER BY name) AS place FROM s WHERE size <= 2048 * 1024)
+SELECT path, size FROM r WHERE kind = 'important' OR kind = 'allowed' AND place <= 10 OR kind = 'other' AND place <= 3""")
+def win01_sampled_by_folder(spark, sf):
+    """The reader's choice of each folder's files: important ones, ten of known kinds, three others, none over 2 MB."""
+    path = F.concat_ws("/", "doc_id", "path")
+    size = (F.col("doc_id") * 31 + F.length("path") * 17) % 2600 * 1024
+    return S.sampled(D.dealt_paths(spark, sf).select(path.alias("path"), size.alias("size")))
+
+
+@query(f"SELECT doc_id, lower({D.SIGNAL_SQL}) AS heading FROM documents WHERE doc_id % 4 > 0")
+def fun07_headings(spark, sf):
+    """A phrase behind as many marks as the id names, and one line of marks alone, above lines of other kinds."""
+    line = F.concat(F.lit("  "), F.repeat(F.lit("#"), (F.col("doc_id") % 4).cast("int")), F.lit(" "), D.signal_phrase(), F.lit("  "))
+    text = F.concat_ws("\n", F.lit("##"), line, F.lit("no # heading"))
+    return D.table(spark, sf, "documents").select("doc_id", F.explode(X.headings(text)).alias("heading"))
+
+
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN (doc_id % 10)::DOUBLE WHEN 1 THEN NULL ELSE 5.0 END AS score, CASE doc_id % 4 WHEN 0 THEN 'fine' WHEN 1 THEN 'short' ELSE 'rule (not parsed)' END AS note FROM documents""")
+def fun49_replies(spark, sf):
+    """Replies in JSON, in JSON without a score, broken ones and none."""
+    d = F.col("doc_id")
+    whole = F.concat(F.lit(' {"score": '), d % 10, F.lit(', "note": "fine"} '))
+    reply = F.when(d % 4 == 0, whole).when(d % 4 == 1, '{"note": "short"}').when(d % 4 == 2, "The score is {3")
+    rule = F.struct(F.lit(5.0).alias("score"), F.lit("rule (not parsed)").alias("note"))
+    got = B.parsed_reply(reply, "score double, note string", rule)
+    return D.table(spark, sf, "documents").select("doc_id", got.alias("r")).select("doc_id", "r.score", "r.note")

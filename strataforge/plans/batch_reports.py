@@ -246,3 +246,30 @@ def rubrics(criteria: DataFrame, focus: Column) -> DataFrame:
         "venue", "dimension", "weight", F.coalesce(F.size("keywords"), F.lit(0)).alias("keyword_count"), focus.alias("focus"), "total_criteria",
         _r(mean + std).alias("high"), _r(mean).alias("medium"), _r(mean - std).alias("low"), F.lit(0.1).alias("minimum"),
     )
+
+
+def suffix_counts(files: DataFrame) -> DataFrame:
+    """(extension, n) as written, case kept; files without one are left out."""
+    return files.select(F.regexp_extract(P.name("path"), r"^.+(\.[^.]+)$", 1).alias("extension")).filter("extension <> ''").groupBy("extension").agg(F.count("*").alias("n"))
+
+
+def markdown_counts(artifacts: DataFrame, files: DataFrame, k: int = 500) -> DataFrame:
+    """(artifact, md_files, total): the ``k`` artifacts of most ``.md`` files, those without any last, and the total of all artifacts."""
+    per = files.filter(F.endswith("path", F.lit(".md"))).groupBy("artifact").agg(F.count("*").alias("md_files"))
+    every = artifacts.select("artifact").distinct().join(per, "artifact", "left").select("artifact", F.coalesce("md_files", F.lit(0)).alias("md_files"))
+    total = per.agg(F.coalesce(F.sum("md_files"), F.lit(0)).alias("total"))
+    return every.orderBy(F.desc("md_files"), "artifact").limit(k).join(F.broadcast(total))  # one row
+
+
+def module_folders(files: DataFrame, name: str = "node_modules") -> DataFrame:
+    """One row: how many folders of a name the artifacts hold, nested ones too."""
+    parts = F.split(P.parent("path"), "/")
+    at = F.filter(F.sequence(F.lit(1), F.size(parts)), lambda i: F.element_at(parts, i) == name)
+    folders = files.select("artifact", F.explode(F.transform(at, lambda i: F.concat_ws("/", F.slice(parts, F.lit(1), i)))).alias("folder")).distinct()
+    return folders.agg(F.count("*").alias("folders"))
+
+
+def parsed_reply(reply: Column | str, schema: str, fallback: Column) -> Column:
+    """A model's reply as a struct of ``schema``; ``fallback`` where it is null or no JSON object."""
+    text = F.trim(F.col(reply) if isinstance(reply, str) else reply)
+    return F.coalesce(F.when(F.try_parse_json(text).isNotNull() & text.startswith("{"), F.from_json(text, schema)), fallback)

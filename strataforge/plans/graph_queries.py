@@ -108,3 +108,16 @@ def gq37_size_ranking(spark, sf):
     """Regions and nations by the customers below them."""
     n = D.nodes(spark, sf)
     return H.rankings(n.filter("label in ('Region', 'Nation')"), n.filter("label = 'Customer'"), D.edges(spark, sf), 2, 20)
+
+
+_PATTERNS = "SELECT type, label, count(*) AS frequency, round(avg(score), 6) AS mean_score FROM a JOIN edges ON src = a.id JOIN nodes n ON dst = n.id WHERE score {} GROUP BY 1, 2 ORDER BY frequency DESC, 1, 2 LIMIT {}"
+
+
+@query(f"WITH {_SCORED} " + _PATTERNS.format("IS NOT NULL", 20))
+def gq33_relationship_patterns(spark, sf):
+    return H.score_patterns(_scored(spark, sf), D.edges(spark, sf), D.nodes(spark, sf))
+
+
+@query(f"WITH {_SCORED} " + _PATTERNS.format("> 0.7", 15))
+def gq33_high_score_patterns(spark, sf):
+    return H.score_patterns(_scored(spark, sf), D.edges(spark, sf), D.nodes(spark, sf), H.HIGH, 15)

@@ -71,3 +71,11 @@ def rankings(artifacts: DataFrame, files: DataFrame, edges: DataFrame, depth: in
     reached = G.closure(edges, "CONTAINS", depth).join(files.select(F.col("id").alias("dst")), "dst")
     per = artifacts.select("id").join(reached.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("files")), "id", "left").fillna(0, ["files"])
     return per.orderBy(F.desc("files"), "id").limit(k)
+
+
+def score_patterns(artifacts: DataFrame, edges: DataFrame, nodes: DataFrame, least: float | None = None, k: int = 20) -> DataFrame:
+    """The ``k`` most frequent (type, label) that edges of scored artifacts have: frequency and mean score, an artifact counted at each of its edges; only scores over ``least`` if given."""
+    scored = artifacts.filter(F.col("score").isNotNull() if least is None else F.col("score") > least).select(F.col("id").alias("src"), "score")
+    ends = nodes.select(F.col("id").alias("dst"), "label")
+    rows = edges.select("src", "type", "dst").join(scored, "src").join(ends, "dst").groupBy("type", "label")
+    return rows.agg(F.count("*").alias("frequency"), F.round(F.avg("score"), 6).alias("mean_score")).orderBy(F.desc("frequency"), "type", "label").limit(k)

@@ -407,7 +407,8 @@ def gq09_common_words(spark, sf):
     return words.groupBy("word").agg(F.count("*").alias("n"), F.count_distinct("artifact").alias("artifacts"))
 
 
-_TERMS = r"""c AS (SELECT item_id AS doc, unnest(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\p{L}\p{N}\s]', ' ', 'g'), '\s+'), lambda w: length(w) >= 3 AND w NOT IN ('a','an','and','are','as','at','be','by','for','from','has','he','in','is','it','its','of','on','that','the','this','to','was','were','will','with') AND NOT regexp_full_match(w, '\p{N}+'))) AS term FROM benchmark),
+_TERMS = r"""u AS (SELECT item_id AS doc, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\p{L}\p{N}\s]', ' ', 'g'), '\s+'), lambda w: length(w) >= 3 AND w NOT IN ('a','an','and','are','as','at','be','by','for','from','has','he','in','is','it','its','of','on','that','the','this','to','was','were','will','with') AND NOT regexp_full_match(w, '\p{N}+')) AS w FROM benchmark),
+c AS (SELECT doc, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM u),
 n AS (SELECT doc, term, count(*) AS n FROM c GROUP BY 1, 2), t AS (SELECT count(DISTINCT doc) AS docs FROM n),
 d AS (SELECT term, count(*) AS df FROM n GROUP BY 1), k AS (SELECT term, ln((1 + docs) / (1 + df)) + 1 AS idf FROM d, t WHERE docs = 1 OR df <= 0.95 * docs),
 r AS (SELECT doc, n.term, n * idf AS raw FROM n JOIN k ON n.term = k.term), f AS (SELECT doc, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc)) AS tfidf FROM r)"""
@@ -416,7 +417,7 @@ r AS (SELECT doc, n.term, n * idf AS raw FROM n JOIN k ON n.term = k.term), f AS
 @query(f"WITH {_TERMS} SELECT doc, term, round(tfidf, 6) AS tfidf FROM f")
 def fun03_tfidf(spark, sf):
     b = D.table(spark, sf, "benchmark").withColumnRenamed("item_id", "doc")
-    return K.tfidf(K.terms(b, "doc", "text", 1), "doc").select("doc", "term", _r(F.col("tfidf")).alias("tfidf"))
+    return K.tfidf(K.terms(b, "doc", "text"), "doc").select("doc", "term", _r(F.col("tfidf")).alias("tfidf"))
 
 
 @query(f"""WITH {_TERMS}, s(dimension, keyword) AS (VALUES ('x', 'erer'), ('x', 'onre'), ('y', 'onre'), ('y', 'inin'), ('z', 'nowhere')), b AS (SELECT term, sum(tfidf) AS v FROM f GROUP BY 1),
@@ -425,7 +426,7 @@ SELECT dimension, round(score, 6) AS score, n_terms, round(CASE WHEN sum(score)
 def agg05_criteria(spark, sf):
     b = D.table(spark, sf, "benchmark").withColumnRenamed("item_id", "doc")
     seeds = spark.createDataFrame([("x", "1", "erer"), ("x", "2", "onre"), ("y", "1", "onre"), ("y", "2", "inin"), ("z", "1", "nowhere")], "dimension string, category string, keyword string")
-    out = K.keyword_scores(K.tfidf(K.terms(b, "doc", "text", 1), "doc"), seeds)
+    out = K.keyword_scores(K.tfidf(K.terms(b, "doc", "text"), "doc"), seeds)
     return out.select("dimension", _r(F.col("score")).alias("score"), "n_terms", _r(F.col("weight")).alias("weight"))
 
 

@@ -107,3 +107,45 @@ def test_rubrics(spark):
     c = spark.createDataFrame([("v", "x", 0.2, ["a", "b"]), ("v", "y", 0.6, None), ("w", "x", 1.0, [])], "venue string, dimension string, weight double, keywords array<string>")
     got = rows(B.rubrics(c, F.lit("f")), "venue", "dimension", "keyword_count", "total_criteria", "high", "medium", "low", "minimum")
     assert got == {("v", "x", 2, 2, 0.6, 0.4, 0.2, 0.1), ("v", "y", 0, 2, 0.6, 0.4, 0.2, 0.1), ("w", "x", 0, 1, 1.0, 1.0, 1.0, 0.1)}
+
+
+def test_headings_with_blanks_and_digits(spark):
+    from strataforge.functions import text as X
+
+    t = spark.createDataFrame([("##\n  # FAQ  \nno # heading\n3 # no\n### 4 Steps 4",), (None,), ("",)], "text string")
+    assert [r[0] for r in t.select(X.headings("text")).collect()] == [["faq", "4 steps 4"], None, []]
+
+
+def test_suffixes_markdown_and_folders(spark):
+    files = spark.createDataFrame([("a", "x.MD", 1), ("a", "y.md", 1), ("a", "node_modules/p/node_modules/q.js", 1), ("a", "node_modules/r", 1), ("b", "node_modules", 1), ("b", ".md", 1), ("b", None, 1)], FILES)
+    assert rows(B.suffix_counts(files), "extension", "n") == {(".MD", 1), (".md", 1), (".js", 1)}
+    artifacts = spark.createDataFrame([("a",), ("b",), ("c",)], "artifact string")
+    assert [tuple(r) for r in B.markdown_counts(artifacts, files).collect()] == [("a", 1, 2), ("b", 1, 2), ("c", 0, 2)]
+    assert B.module_folders(files).first()["folders"] == 2
+    assert [tuple(r) for r in B.markdown_counts(artifacts, files.limit(0), 1).collect()] == [("a", 0, 0)]
+
+
+def test_replies(spark):
+    rule = F.struct(F.lit(5.0).alias("score"), F.lit("rule").alias("note"))
+    t = spark.createDataFrame([('{"score": 1, "note": "n", "more": [1]}',), (' {"note": "n"}\n',), ("{",), ("[1]",), ("7",), (None,), ("",)], "reply string")
+    got = [tuple(r[0]) for r in t.select(B.parsed_reply("reply", "score double, note string", rule)).collect()]
+    assert got == [(1.0, "n"), (None, "n")] + [(5.0, "rule")] * 5
+
+
+def test_score_patterns(spark):
+    from strataforge.plans import graph_reports as H
+
+    a = spark.createDataFrame([("a", 0.9), ("b", 0.5), ("c", None)], "id string, score double")
+    e = spark.createDataFrame([("a", "HAS", "x"), ("a", "HAS", "y"), ("b", "HAS", "x"), ("c", "HAS", "x"), ("a", "USES", "gone")], "src string, type string, dst string")
+    n = spark.createDataFrame([("x", "Code"), ("y", "Code")], "id string, label string")
+    assert [tuple(r) for r in H.score_patterns(a, e, n).collect()] == [("HAS", "Code", 3, 0.766667)]
+    assert [tuple(r) for r in H.score_patterns(a, e, n, 0.7).collect()] == [("HAS", "Code", 2, 0.9)]
+
+
+def test_requirements_keep_their_digits(spark):
+    from strataforge.functions import text as X
+
+    t = spark.createDataFrame([("0x\n  numpy==1.1  \n# no\npandas>=2",)], "text string")
+    got = [(r["name"]) for r in t.select(F.explode(X.requirements("text")).alias("d")).select("d.*").collect()]
+    assert got == ["0x", "numpy", "pandas"]
+    assert "1.1" in str(t.select(X.requirements("text")).first()[0])
