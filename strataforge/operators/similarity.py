@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,39 +29,59 @@ def unit(df: DataFrame, vector: str) -> DataFrame:
     return df.withColumn(vector, F.transform(vector, lambda x: F.try_divide(x.cast("double"), length)))
 
 
-#: Vectors of a block that meets another in one matrix product.
-BLOCK = 512
+#: Vectors of a block that meets another in one matrix product; blocks beyond MOST_BLOCKS come only where one would pass LARGEST.
+BLOCK, MOST_BLOCKS, LARGEST = 512, 16, 1 << 16
+#: Rows of a block that are multiplied at a time.
+SLICE = 256
+
+
+def blocks_of(n: int) -> int:
+    return max(1, min(-(-n // BLOCK), MOST_BLOCKS), -(-n // LARGEST))
 
 
 def keyword_links(keywords: DataFrame, key: str, dimension: str, vector: str, least: float) -> DataFrame:
     """(a, b, dim_a, dim_b, similarity): pairs of keywords of different dimensions that are similar, a the smaller key.
 
-    Keywords are a vocabulary, compared as a stated set: dealt into blocks, and every two
-    blocks meet in one task as a matrix product, so no pair is a row unless it is
-    similar.  Null vectors and vectors without a direction link with nothing.
+    Keywords are compared as a stated set: dealt into blocks, and every two blocks meet in one task as
+    matrix products, so no pair is a row unless it is similar.  Each vector is sent to every block: to
+    MOST_BLOCKS at most as long as MOST_BLOCKS * LARGEST vectors do, so what is shuffled grows with the vectors and not with
+    their pairs.  Null keys, dimensions and vectors and vectors without a direction link with nothing.
     """
-    rows = unit(keywords.select(key, dimension, vector), vector).filter(F.forall(vector, lambda x: x.isNotNull()))
-    blocks = max(1, -(-keywords.count() // BLOCK))
+    fine = F.col(key).isNotNull() & F.col(dimension).isNotNull() & F.forall(vector, lambda x: x.isNotNull()) & (norm(F.col(vector)) > 0)
+    rows = keywords.filter(F.coalesce(fine, F.lit(False)))
+    blocks = blocks_of(keywords.count())
     own = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
     rows = rows.select(own.alias("own"), F.col(key).alias("key"), F.col(dimension).alias("dim"), F.col(vector).alias("v"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     rows = rows.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "dim", "v")
     kinds = keywords.schema[key].dataType.simpleString(), keywords.schema[dimension].dataType.simpleString()
-    names = ["a", "b", "dim_a", "dim_b", "similarity"]
-
-    def linked(block: pd.DataFrame) -> pd.DataFrame:
-        one, two = (block[block["own"] == block[c]].reset_index(drop=True) for c in "ij")
-        if one.empty or two.empty:
-            return pd.DataFrame({c: [] for c in names})
-        score = np.stack(one["v"].to_numpy()) @ np.stack(two["v"].to_numpy()).T
-        x, y = np.nonzero(score > least)
-        left, right = one.iloc[x].reset_index(drop=True), two.iloc[y].reset_index(drop=True)
-        swap = (left["key"] > right["key"]).to_numpy() & (block["i"].iloc[0] != block["j"].iloc[0])
-        a, b = ({c: np.where(swap, p[c], q[c]) for c in ("key", "dim")} for p, q in ((right, left), (left, right)))
-        out = pd.DataFrame({"a": a["key"], "b": b["key"], "dim_a": a["dim"], "dim_b": b["dim"], "similarity": score[x, y]})
-        return out[(out["a"] < out["b"]) & (out["dim_a"] != out["dim_b"])]
 
-    return rows.groupBy("i", "j").applyInPandas(linked, f"a {kinds[0]}, b {kinds[0]}, dim_a {kinds[1]}, dim_b {kinds[1]}, similarity double")
+    def linked(block: pa.Table) -> pa.Table:
+        i, j, own = (block[c].to_numpy() for c in ("i", "j", "own"))
+        one, two = np.flatnonzero(own == i[0]), np.flatnonzero(own == j[0])
+        keys, dims = (block[c].to_numpy() for c in ("key", "dim"))
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        if len(one) and len(two):
+            v = block["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(block), -1)
+            v /= np.sqrt((v * v).sum(1, keepdims=True))
+            right = np.ascontiguousarray(v[two].T)
+            for at in range(0, len(one), SLICE):
+                some = one[at : at + SLICE]
+                score = v[some] @ right
+                x, y = np.nonzero(score > least)
+                left, other, score = some[x], two[y], score[x, y]
+                keep = dims[left] != dims[other]
+                # within a block both orders of a pair come up, between blocks one
+                keep &= keys[left] < keys[other] if i[0] == j[0] else keys[left] != keys[other]
+                out.append((left[keep], other[keep], score[keep]))
+        left, other, score = (np.concatenate(c) for c in zip(*out, strict=True))
+        swap = keys[left] > keys[other]
+        a, b = pa.array(np.where(swap, other, left)), pa.array(np.where(swap, left, other))
+        return pa.table({"a": block["key"].take(a), "b": block["key"].take(b), "dim_a": block["dim"].take(a), "dim_b": block["dim"].take(b), "similarity": score})
+
+    # a task for each two blocks: what a task computes is far more than what it reads
+    dealt = rows.repartition(blocks * (blocks + 1) // 2, "i", "j").groupBy("i", "j")
+    return dealt.applyInArrow(linked, f"a {kinds[0]}, b {kinds[0]}, dim_a {kinds[1]}, dim_b {kinds[1]}, similarity double")
 
 
 def conflicts(links: DataFrame, pairs: list[tuple], least: float) -> DataFrame:
@@ -129,7 +150,7 @@ def clusters(links: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def degrees(links: DataFrame, a: str, b: str) -> DataFrame:
-    both = links.select(F.col(a).alias("node")).union(links.select(F.col(b).alias("node")))
+    both = links.select(F.explode(F.array(a, b)).alias("node"))  # links are computed once, and counted before they are shuffled
     return both.groupBy("node").agg(F.count("*").alias("degree"))
 
 

@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from strataforge.operators import keywords as K
@@ -79,3 +80,21 @@ def test_stream_reads_only_what_is_new(spark, tmp_path):
 def test_sessions(spark):
     rows = spark.sql("select timestamp'2024-01-01 00:00:00' ts, 1 user_id union all select timestamp'2024-01-01 00:10:00', 1 union all select timestamp'2024-01-01 02:00:00', 1")
     assert sorted(r["n"] for r in E.sessions(rows).collect()) == [1, 2]
+
+
+def test_keyword_links_send_a_vector_to_a_bounded_number_of_blocks(spark, monkeypatch):
+    assert V.blocks_of(51_200) == V.blocks_of(512_000) == V.MOST_BLOCKS and V.blocks_of(100) == 1
+    monkeypatch.setattr(V, "BLOCK", 8)
+    monkeypatch.setattr(V, "SLICE", 5)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 5))
+    rows = [(f"k{i:03}", int(i % 4), [float(v) for v in x[i]]) for i in range(300)] + [("n", 1, None), ("z", 2, [0.0] * 5), ("h", 3, [1.0, None, 0.0, 0.0, 0.0]), (None, 1, [1.0] * 5), ("d", None, [1.0] * 5)]
+    links = V.keyword_links(spark.createDataFrame(rows, "k string, d int, v array<double>"), "k", "d", "v", 0.6)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(f"k{i:03}", f"k{j:03}") for i in range(300) for j in range(i + 1, 300) if i % 4 != j % 4 and u[i] @ u[j] > 0.6}
+    got = links.collect()
+    assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want)
+    assert all(abs(r["similarity"] - u[int(r["a"][1:])] @ u[int(r["b"][1:])]) < 1e-9 and r["dim_a"] == int(r["a"][1:]) % 4 and r["dim_b"] == int(r["b"][1:]) % 4 for r in got)
+    degrees = V.degrees(links, "a", "b")
+    assert sum(r["degree"] for r in degrees.collect()) == 2 * len(want)
+    assert degrees._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroups") == 1
