@@ -33,6 +33,8 @@ PART, WORDS = 4, 256
 SURE, ASKED, NEIGHBOURS = 0.97, 128, 20
 #: Candidates by code, as a multiple of k, that are ranked again exactly; rows and queries of a cell that meet in one task.
 AGAIN, ROWS, QUERIES = 10, 1 << 15, 1 << 12
+#: Rows (query, cell) that a task makes at a time: each holds the query's vector.
+PROBED = 1 << 14
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -176,6 +178,15 @@ def append(rows: DataFrame, key: str, vector: str, path: str) -> None:
     _write(_placed(usable(rows, key, vector), Model.load(rows.sparkSession, path)), path)
 
 
+def _probes(batch: pa.RecordBatch, centroids: np.ndarray, probes: int) -> Iterator[pa.RecordBatch]:
+    """(query, q, cell) of each cell that a query (key, vector) probes, at most PROBED rows at a time or one query's."""
+    x, step = matrix(batch.column(1)), max(1, PROBED // probes)
+    for i in range(0, len(x), step):
+        near = np.argpartition(-(x[i : i + step] @ centroids.T), probes - 1, 1)[:, :probes]
+        at = pa.array(np.repeat(np.arange(i, i + len(near)), probes))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(near.ravel().astype(np.int32))], names=["query", "q", "cell"])
+
+
 def search(queries: DataFrame, key: str, vector: str, path: str, k: int, probes: int | None = None) -> DataFrame:
     """(query, rank, key, score): up to ``k`` nearest rows found for each query but rows with its own key, by exact cosine; ties to the smaller key."""
     spark = queries.sparkSession
@@ -188,11 +199,7 @@ def search(queries: DataFrame, key: str, vector: str, path: str, k: int, probes:
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = matrix(batch.column(1))
-            if len(x):
-                near = np.argpartition(-(x @ sent.value.centroids.T), probes - 1, 1)[:, :probes]
-                at = np.repeat(np.arange(len(x)), probes)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(near.ravel().astype(np.int32))], names=["query", "q", "cell"])
+            yield from _probes(batch, sent.value.centroids, probes)
 
     probed = asked.mapInArrow(probe, f"query {kind}, q array<double>, cell int")
     # a cell's rows and queries are cut into parts that fit a task, and every two parts meet

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from strataforge.operators import similarity, vector_index
@@ -87,3 +88,14 @@ def test_top_k_in_blocks(spark, clustered, monkeypatch):
     for r in out.orderBy("query", "rank").collect():
         found.setdefault(r["query"], []).append(r["vec_id"])
     assert found == nearest(tied, 5)
+
+
+def test_a_task_makes_a_bounded_number_of_probes_at_a_time():
+    rng = np.random.default_rng(6)
+    x, centroids = rng.normal(size=(3000, 8)), rng.normal(size=(60, 8))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(3000)), pa.array(list(x), pa.list_(pa.float64()))], names=["key", "vector"])
+    made = list(vector_index._probes(batch, centroids, 50))
+    assert max(b.num_rows for b in made) <= vector_index.PROBED and sum(b.num_rows for b in made) == 3000 * 50
+    got = {(q, c) for b in made for q, c in zip(b.column(0).to_pylist(), b.column(2).to_pylist())}
+    assert got == {(q, int(c)) for q in range(3000) for c in np.argsort(-(x[q] @ centroids.T))[:50]}
+    assert all(np.array_equal(v, x[q]) for q, v in zip(made[-1].column(0).to_pylist(), made[-1].column(1).to_pylist()))
