@@ -67,3 +67,24 @@ def test_the_query(spark):
     edges = [(rows[i]["vec_id"], rows[j]["vec_id"], round(1 - s[i, j], 9)) for i in range(len(rows)) for j in range(i) if s[i, j] > 0.35 and rows[i]["label"] != rows[j]["label"]]
     got = sorted(r["height"] for r in queries.QUERIES["pip02_semantic_hierarchy"](spark, sf).collect())
     assert np.allclose(got, sorted(round(h, 5) for _, _, h in kruskal(edges)), atol=2e-5)
+
+
+def test_a_task_sends_on_no_more_edges_than_a_forest(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(a), int(b), float(h)) for a, b, h in zip(rng.integers(0, 50, 3000), rng.integers(50, 90, 3000), rng.integers(0, 4, 3000))]
+    edges = spark.createDataFrame(rows, "a long, b long, height double").coalesce(1)
+    thin = [tuple(r) for r in hierarchy._thinned(edges).collect()]
+    assert len(thin) <= 89 and kruskal(thin) == kruskal(rows)
+    assert sorted(map(tuple, hierarchy.spanning_forest(edges, "a", "b", "height").collect())) == kruskal(rows)
+
+
+def test_taking_up_edges_in_parts_leaves_the_same_forest(spark, monkeypatch):
+    monkeypatch.setattr(hierarchy, "TAKEN", 100)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    try:
+        rng = np.random.default_rng(5)
+        rows = [(f"k{a:02}", f"k{b:02}", float(h)) for a, b, h in zip(rng.integers(0, 30, 500), rng.integers(30, 60, 500), rng.integers(0, 3, 500))]
+        thin = hierarchy._thinned(spark.createDataFrame(rows, "a string, b string, height double").coalesce(1)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(thin) < 100 and kruskal(map(tuple, thin)) == kruskal(rows)
