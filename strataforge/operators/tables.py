@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,4 +26,27 @@ def kept(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written once and read back: its lineage ends there, and a lost executor costs nothing that was done."""
     path = shared_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.__dict__["kept_path"] = path
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Remove what ``kept`` wrote and no later plan reads; other tables stay."""
+    for table in tables:
+        if path := table.__dict__.get("kept_path"):
+            spark = table.sparkSession.sparkContext
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def unshuffled(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, Spark removes the shuffle files of each query that has ended, such as one that ``kept`` writes."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

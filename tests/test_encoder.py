@@ -79,6 +79,23 @@ def test_factors_are_the_dense_ones(words, rows):
         assert abs(x[:, k] @ vectors[:, j]) / np.linalg.norm(x[:, k]) > 0.99
 
 
+def test_pairs_meet_in_tiles_and_take_less_room(docs, rows, monkeypatch):
+    for name, size in {"BLOCK": 16, "CHUNK": 100, "COUNTED": 500, "GROUP": 64, "TILE": 64}.items():
+        monkeypatch.setattr(encoder, name, size)  # seven blocks, many pieces, groups and parts
+    names, n, m = dense(rows, 4, 5)
+    counts = encoder.counted(docs, "text")
+    ids = {r["id"]: (r["word"], r["own"]) for r in counts.words.collect()}
+    got = [(ids[a][0], ids[b][0], k) for r in counts.pairs.collect() for a, b, k in zip(r["a"], r["b"], r["n"], strict=True)]
+    at = {w: i for i, w in enumerate(names)}
+    assert counts.blocks == 7 and counts.total == n.sum() and all(own == n[at[w]].sum() for w, own in ids.values())
+    assert len(got) == len({frozenset(p[:2]) for p in got}) == np.count_nonzero(np.triu(n))  # a row for both directions
+    assert all(k * (1 + (x == y)) == n[at[x], at[y]] for x, y, k in got)
+    found = encoder.fit(docs, "text", dimensions=8)
+    x = {r["word"]: r["vector"] for r in found.collect()}
+    assert sorted(x) == names
+    assert np.allclose((np.array([x[w] for w in names]) ** 2).sum(0)[:4], np.linalg.svd(m, compute_uv=False)[:4], rtol=0.001)
+
+
 def test_texts_of_a_topic_are_near(docs, words):
     got = {r["doc_id"]: r for r in encoder.encode(docs, "doc_id", "text", words, 8).collect()}
     assert len(got) == 53 and all(got[i]["vector"] is None and got[i]["n_words"] == 0 for i in (50, 51, 52))
