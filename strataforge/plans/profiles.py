@@ -75,7 +75,14 @@ def _fields(column: str, names) -> dict[str, Column]:
 
 
 def _occurrences(column: str, word: str) -> str:
-    return f"(length({column}) - length(replace({column}, '{word}', ''))) div {len(word)}"
+    """Of an ASCII word: bytes, whose number Spark knows, stand for characters, which it would have to count."""
+    return f"(octet_length({column}) - octet_length(replace({column}, '{word}', ''))) div {len(word)}"
+
+
+def whole_words(words: tuple[str, ...]) -> str:
+    """Pattern of the words standing alone; two letters are looked at before the boundary, which is dear."""
+    first, second = ("".join(sorted({w[i] for w in words})) for i in (0, 1))
+    return rf"(?U)(?=[{first}][{second}])\b(?:{'|'.join(words)})\b"
 
 
 def _total(terms: list[str]) -> Column:
@@ -91,7 +98,7 @@ def domain_scores(low: str, keys: str) -> dict[str, Column]:
 
 def emphasis_scores(low: str) -> dict[str, Column]:
     """Per dimension: occurrences of its words anywhere, and again of those that stand as whole words."""
-    return {name: _total([_occurrences(low, w) for w in words]) + F.regexp_count(low, F.lit(rf"(?U)\b(?:{'|'.join(words)})\b")) for name, words in DIMENSIONS.items()}
+    return {name: _total([_occurrences(low, w) for w in words]) + F.regexp_count(low, F.lit(whole_words(words))) for name, words in DIMENSIONS.items()}
 
 
 def style_counts(low: str) -> dict[str, Column]:

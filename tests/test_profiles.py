@@ -81,3 +81,10 @@ def test_settings(tmp_path):
     path = tmp_path / "s.json"
     moved.save(str(path))
     assert config.with_file(str(path)).values == moved.values and config.with_file(str(tmp_path / "none.json")).values == config.values
+
+
+def test_words_are_looked_for_by_two_letters_before_the_boundary():
+    for words in V.DIMENSIONS.values():
+        pattern = V.whole_words(words)
+        assert pattern.startswith("(?U)(?=[") and all(re.search(pattern.removeprefix("(?U)"), f"a {w}.") and not re.search(pattern.removeprefix("(?U)"), f"x{w}x") for w in words)
+    assert "octet_length" in V._occurrences("low", "use")
