@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import files as P
+from ..operators.tables import kept
 from . import graph_reports as H
 
 # File types by name or extension; names are looked up before extensions, types in this order.
@@ -154,7 +155,7 @@ def high_score_characteristics(features: DataFrame, links: DataFrame, flags: tup
     ``feature``: how many have a flag, or a class (``name_value``; unknown is left out), and their percentage.
     ``relationship``: pairs of artifact and target label that a type of link joins.  ``average``: mean and median of positive total_files.
     """
-    high = features.filter(F.col("score") > least)
+    high = kept(features.select("artifact", "score", "total_files", *flags, *classes).filter(F.col("score") > least), "high")  # features cost much and are read five times
     named = [F.when(F.col(f), F.lit(f)) for f in flags] + [F.when(F.col(c) != "unknown", F.concat(F.lit(f"{c}_"), c)) for c in classes]
     total = high.agg(F.count("*").alias("all"))
     common = high.select(F.explode(F.array_compact(F.array(*named))).alias("name")).groupBy("name").agg(F.count("*").alias("n")).join(F.broadcast(total))  # one row

@@ -149,3 +149,18 @@ def test_requirements_keep_their_digits(spark):
     got = [(r["name"]) for r in t.select(F.explode(X.requirements("text")).alias("d")).select("d.*").collect()]
     assert got == ["0x", "numpy", "pandas"]
     assert "1.1" in str(t.select(X.requirements("text")).first()[0])
+
+
+def test_high_scores_are_worked_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def score(k):
+        seen.add(1)
+        return k / 10
+
+    rows = spark.range(10).select(F.col("id").cast("string").alias("artifact"), score("id").alias("score"), F.lit(True).alias("has_readme"), F.lit("low").alias("setup"), F.col("id").alias("total_files"))
+    links = spark.createDataFrame([("9", "HAS_CODE", "CodeFile")], "artifact string, type string, label string")
+    got = {(r["kind"], r["name"]): (r["n"], r["value"]) for r in B.high_score_characteristics(rows, links, ("has_readme",), ("setup",), 0.65).collect()}
+    assert got == {("feature", "has_readme"): (3, 100.0), ("feature", "setup_low"): (3, 100.0), ("relationship", "HAS_CODE"): (1, None), ("average", "mean_total_files"): (3, 8.0), ("average", "median_total_files"): (3, 8.0)}
+    assert seen.value <= 20  # once for the filter, once for the column
