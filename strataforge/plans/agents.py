@@ -153,7 +153,8 @@ def _content(file: Column) -> Column:
 def texts(df: DataFrame) -> DataFrame:
     """Adds what predicates look at: lower-cased names, paths, docs, code, license and READMEs; URL and docs as they are written.
 
-    ``readme`` is the first README as it is written, ``readmes`` all of them.
+    ``readme`` is the first README as it is written, ``low_readme`` its lower case, ``readmes`` all of them. ``low``
+    holds the documents one by one, so that each is put into lower case once for all columns made of them.
 
     A missing repository_structure is rebuilt from the paths of the other file lists.
     """
@@ -166,32 +167,43 @@ def texts(df: DataFrame) -> DataFrame:
     def whole(files: Column) -> Column:
         return F.coalesce(F.concat_ws("\n", F.transform(files, _content)), F.lit(""))
 
-    readmes = F.filter("documentation_files", lambda f: F.lower(f["path"]).contains("readme"))
+    def is_readme(file: Column) -> Column:
+        return F.lower(file["path"]).contains("readme")
+
+    low = F.transform("documentation_files", lambda f: F.struct(is_readme(f).alias("readme"), F.lower(_content(f)).alias("text")))
+    readmes = F.filter("low", lambda f: f["readme"])
     return (
         df.withColumn("paths", F.transform(paths, F.lower))
         .withColumn("written_names", written)
         .withColumn("names", F.transform("written_names", F.lower))
         .withColumn("written_docs", whole(F.col("documentation_files")))
-        .withColumn("docs", F.lower("written_docs"))
+        .withColumn("low", low)
+        .withColumn("docs", F.concat_ws("\n", F.transform("low", lambda f: f["text"])))
         .withColumn("sources", F.concat_ws("\n", "repository_url", "written_docs"))
         .withColumn("code", F.lower(whole(F.col("code_files"))))
         .withColumn("license", F.lower(whole(F.col("license_files"))))
-        .withColumn("readmes", F.lower(whole(readmes)))
-        .withColumn("readme", F.coalesce(_content(F.try_element_at(readmes, F.lit(1))), F.lit("")))
+        .withColumn("readmes", F.concat_ws("\n", F.transform(readmes, lambda f: f["text"])))
+        .withColumn("low_readme", F.coalesce(F.try_element_at(readmes, F.lit(1))["text"], F.lit("")))
+        .withColumn("readme", F.coalesce(_content(F.try_element_at(F.filter("documentation_files", is_readme), F.lit(1))), F.lit("")))
     )
 
 
+def _any(text: Column, words: tuple[str, ...]) -> Column:
+    """Whether a text holds one of the words; a word that holds another one of them need not be looked for."""
+    return reduce(Column.__or__, [text.contains(w) for w in words if not any(v in w for v in words if v != w)])
+
+
 def _flag(where: str, how: str, words: tuple[str, ...]) -> Column:
     if where == "names":
         if how == "exact":
             return F.exists("names", lambda x: x.isin(*words))
         if how == "ends":
             return F.exists("names", lambda x: reduce(Column.__or__, [x.endswith(w) for w in words]))
-        return F.exists("names", lambda x: reduce(Column.__or__, [x.contains(w) for w in words]))
+        return F.exists("names", lambda x: _any(x, words))
     if how in ("regex", "cased"):  # file by file, so that no match runs from one file into the next
         mark = "(?Uid)" if how == "regex" else "(?Ud)"
         return F.exists(where, lambda f: reduce(Column.__or__, [_content(f).rlike(mark + w) for w in words]))
-    return reduce(Column.__or__, [F.col(where).contains(w) for w in words])
+    return _any(F.col(where), words)
 
 
 def _n(column: str) -> Column:
@@ -201,7 +213,7 @@ def _n(column: str) -> Column:
 def flags(wanted: set[str] | None = None) -> dict[str, Column]:
     """Every predicate, or those wanted, as a Column over ``texts`` rows."""
     names, paths, docs, readme, url = F.col("names"), F.col("paths"), F.col("docs"), F.col("readme"), F.lower(F.coalesce("repository_url", F.lit("")))
-    plain = F.lower("readme")
+    plain = F.col("low_readme")
     styles = sum(F.exists("written_names", test).cast("int") for test in (lambda x: x.contains("_"), lambda x: x.contains("-"), lambda x: x.rlike("[a-z][A-Z]")))
     few_styles = F.coalesce(styles, F.lit(0)) <= 2
     archive, code_host = (reduce(Column.__or__, [url.contains(h) for h in hosts]) for hosts in (ARCHIVE_HOSTS, CODE_HOSTS))
@@ -224,12 +236,13 @@ def flags(wanted: set[str] | None = None) -> dict[str, Column]:
         "license_open": lambda: (_n("license_files") > 0) & opened,
         "license_closed": lambda: (_n("license_files") > 0) & ~opened,
         "has_readme": lambda: has_readme,
-        "purpose": lambda: plain.rlike("purpose|description|about|overview"),
-        "provenance": lambda: plain.rlike("provenance|citation|reference|paper"),
-        "setup_section": lambda: plain.rlike("setup|install|installation|requirements"),
-        "usage_section": lambda: plain.rlike("usage|how to use|examples|commands"),
-        "PRE06": lambda: readme.contains("```") | readme.rlike(r"(?Udm)^\s+[a-zA-Z]"),
-        "PRE07": lambda: readme.rlike(r"(?Udm)^#{1,6}\s+|^[\s]*[-*+]\s+|\[.*\]\(.*\)"),
+        "purpose": lambda: _any(plain, ("purpose", "description", "about", "overview")),
+        "provenance": lambda: _any(plain, ("provenance", "citation", "reference", "paper")),
+        "setup_section": lambda: _any(plain, ("setup", "install", "installation", "requirements")),
+        "usage_section": lambda: _any(plain, ("usage", "how to use", "examples", "commands")),
+        # As ^\s+[a-zA-Z], and ^#{1,6}\s+|^[\s]*[-*+]\s+|\[.*\]\(.*\), but no blank line or bracket is gone over again from each one before it.
+        "PRE06": lambda: readme.contains("```") | readme.rlike(r"(?Udm)^[^\S\n]*\s[a-zA-Z]"),
+        "PRE07": lambda: readme.rlike(r"(?Udm)^(?:#{1,6}\s|[^\S\n]*[-*+]\s|[^\[\n]*+\[(?>.*?\]\()[^)\n]*+\))"),
         "setup_files": lambda: F.exists(names, lambda x: x.rlike("setup|install|requirements|dockerfile")),
         "example_files": lambda: F.exists(names, lambda x: x.rlike("example|demo|tutorial|notebook")),
         "PRE12": lambda: F.exists(names, lambda x: x.endswith(".sh") | x.isin("main.py", "app.py", "run.py", "cli.py")),
@@ -263,23 +276,29 @@ def _score(found: dict[str, Column], weighted: tuple[tuple[str, float], ...]) ->
     return F.least(F.lit(1.0), sum((F.when(found[p], w).otherwise(0.0) for p, w in weighted), F.lit(0.0)))
 
 
+def _held(df: DataFrame, wanted: set[str]) -> tuple[DataFrame, dict[str, Column]]:
+    """Rows of artifact_name and the wanted predicates, each worked out once however often it is read, and their columns."""
+    found = flags(wanted)
+    return texts(df).select("artifact_name", *(v.alias(k) for k, v in found.items())), {k: F.col(k) for k in found}
+
+
 def component(df: DataFrame, dimension: str, name: str) -> DataFrame:
     """(artifact_name, score and each predicate of one component, in lower case)."""
     weighted = COMPONENTS[dimension][name]
-    found = flags({p for p, _ in weighted})
-    return texts(df).select("artifact_name", _score(found, weighted).alias("score"), *(found[p].alias(p.lower()) for p, _ in weighted))
+    rows, found = _held(df, {p for p, _ in weighted})
+    return rows.select("artifact_name", _score(found, weighted).alias("score"), *(found[p].alias(p.lower()) for p, _ in weighted))
 
 
 def component_scores(df: DataFrame, dimensions: tuple[str, ...] | None = None) -> DataFrame:
     """(artifact_name, dimension, component, score, evidence): evidence lists the predicates that hold."""
     chosen = {d: parts for d, parts in COMPONENTS.items() if dimensions is None or d in dimensions}
-    found = flags({p for parts in chosen.values() for weighted in parts.values() for p, _ in weighted})
+    held, found = _held(df, {p for parts in chosen.values() for weighted in parts.values() for p, _ in weighted})
     rows = []
     for dimension, parts in chosen.items():
         for name, weighted in parts.items():
             evidence = F.array_compact(F.array(*(F.when(found[p], F.lit(p)) for p, _ in weighted)))
             rows.append(F.struct(F.lit(dimension).alias("dimension"), F.lit(name).alias("component"), _score(found, weighted).alias("score"), evidence.alias("evidence")))
-    return texts(df).select("artifact_name", F.explode(F.array(*rows)).alias("r")).select("artifact_name", "r.*")
+    return held.select("artifact_name", F.explode(F.array(*rows)).alias("r")).select("artifact_name", "r.*")
 
 
 def agent_scores(components: DataFrame) -> DataFrame:

@@ -1,3 +1,7 @@
+import random
+import re
+import time
+
 from strataforge.plans import agents as A
 
 
@@ -90,3 +94,29 @@ def test_sums_are_not_rounded_before_the_tiers(spark):
     rows = [artifact("y", repository_structure=entries("a.js", "cli.md", "gui.md", "mobile.md"))]
     got = A.component(spark.createDataFrame(rows, A.ARTIFACT), "usability", "user_interface").first()["score"]
     assert got == 0.3 + 0.2 + 0.2 + 0.1 and got < 0.8
+
+
+def test_each_predicate_is_worked_out_once(spark):
+    out = A.agent_scores(A.component_scores(spark.createDataFrame([artifact("x", **FULL)], A.ARTIFACT), ("documentation",)))
+    plan = out.select("artifact_name", "score", "justification")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Contains\(docs#\d+, reproduce\)", plan)) == 1 and len(re.findall(r"RLIKE\(readme#\d+, ", plan)) == 2
+    assert not re.search(r"lower\((readme|docs|readmes)#", plan)
+
+
+def test_readme_marks_as_the_survey_words_them(spark):
+    rng = random.Random(14)
+    made = ["".join(rng.choice("\n\n \t a1#-*[]]()(") for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    df = spark.createDataFrame([artifact(str(i), documentation_files=[("README.md", x.split("\n"))]) for i, x in enumerate(made)], A.ARTIFACT)
+    found = A.flags({"PRE06", "PRE07"})
+    got = {int(r[0]): (r[1], r[2]) for r in A.texts(df).select("artifact_name", found["PRE06"], found["PRE07"]).collect()}
+    want = {i: (bool(re.search(r"(?m)^\s+[a-zA-Z]", x)), bool(re.search(r"(?m)^#{1,6}\s+|^[\s]*[-*+]\s+|\[.*\]\(.*\)", x))) for i, x in enumerate(made)}
+    assert got == want and len(set(want.values())) == 4
+
+
+def test_many_blank_lines_and_brackets_are_read_in_linear_time(spark):
+    n, began = 200_000, time.monotonic()
+    texts = {"blank": ["x", *[""] * n, "1"], "open": ["x" + "[" * n], "links": ["x[" + "](" * n]}
+    df = spark.createDataFrame([artifact(k, documentation_files=[("README.md", x)]) for k, x in texts.items()], A.ARTIFACT)
+    found = A.flags({"PRE06", "PRE07"})
+    assert [tuple(r) for r in A.texts(df).select(found["PRE06"], found["PRE07"]).collect()] == [(False, False)] * 3
+    assert time.monotonic() - began < 40
