@@ -23,8 +23,12 @@ from .tables import dropped, kept, unshuffled
 DIMENSIONS, SPARE, POWERS = 32, 8, 4
 #: Words on each side that count as context, least occurrences of a word, words of whole texts that are numbered at a time.
 WINDOW, LEAST, CHUNK = 4, 5, 1 << 18
+#: Words of whole texts that meet their vectors at a time.
+PIECE = 1 << 19
 #: Words of a block, pairs that a task counts at a time, pairs of a group before and in a product after they are added up, pairs of a row.
-BLOCK, COUNTED, GROUP, TILE, ROW = 1 << 17, 1 << 23, 1 << 22, 1 << 24, 1 << 20
+BLOCK, COUNTED, GROUP, TILE, ROW = 1 << 17, 1 << 23, 1 << 22, 1 << 24, 1 << 18
+#: Pairs of a product below which more tasks are not worth it.
+SMALL = 1 << 19
 #: Words up to which the vocabulary is broadcast to the counted pairs; beyond, both are shuffled.
 BROADCAST_WORDS = 3_000_000
 #: A word of share p of all words weighs COMMON / (COMMON + p) in a text.
@@ -52,7 +56,7 @@ def _places(words: DataFrame, window: int) -> DataFrame:
         piece = TaskContext.get().partitionId() << 32
         for batch in batches:
             lists = batch.column(0)
-            size = lists.value_lengths().to_numpy(zero_copy_only=False)
+            size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             cuts = np.flatnonzero(np.diff((np.cumsum(size) - size) // chunk)) + 1
             for i, j in zip([0, *cuts], [*cuts, len(size)], strict=True):
                 values = lists.slice(i, j - i).flatten()
@@ -96,13 +100,14 @@ def counted(docs: DataFrame, text: str, window: int = WINDOW, least: int = LEAST
     Words with fewer than ``least`` occurrences are no words here but keep their places.  Null texts have no words.
     """
     with unshuffled(docs.sparkSession):
-        texts = docs.select(tokens(text).alias("w")).filter(F.size("w") > 0)
-        known = kept(texts.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("all")).filter(F.col("all") >= least), "known")
+        places = kept(_places(docs.select(tokens(text).alias("w")), window), "places")  # words are split once; a filter on them would do it again
+        known = kept(places.groupBy("word").agg(F.sum(F.size("at")).alias("all")).filter(F.col("all") >= least), "known")
         size, occurrences = known.agg(F.count("*"), F.coalesce(F.sum("all"), F.lit(0))).first()
         ids = kept(known.rdd.map(lambda r: r[0]).zipWithIndex().toDF("word string, id long").withColumn("id", F.col("id").cast("int")), "vocabulary")
         blocks = max(1, -(-size // BLOCK))
         slices = max(1, 2 * window * occurrences // (GROUP * blocks * (blocks + 1)))
-        pieces = kept(_places(texts, window).join(ids, "word").groupBy("piece").applyInArrow(_numbers, "ids array<int>"), "pieces")
+        pieces = kept(places.join(ids, "word").groupBy("piece").applyInArrow(_numbers, "ids array<int>"), "pieces")
+        dropped(places)
         block, most = BLOCK, COUNTED
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,11 +218,9 @@ def _orthonormal(thin: DataFrame, width: int) -> DataFrame:
 
 
 def _spread(row: np.ndarray, column: np.ndarray, v: np.ndarray, x: np.ndarray, out: np.ndarray) -> None:
-    """Adds to out[row] v times x[column], a slice of pairs at a time; ``row`` is sorted."""
-    for i in range(0, len(row), 1 << 16):
-        r = row[i : i + (1 << 16)]
-        first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-        out[r[first]] += np.add.reduceat(v[i : i + (1 << 16), None] * x[column[i : i + (1 << 16)]], first)
+    """Adds to out[:, row] v times x[:, column], one line of both, which lies in the cache, after another; pairs need no order."""
+    for k in range(len(x)):
+        out[k] += np.bincount(row, x[k].take(column) * v, out.shape[1])
 
 
 def _times(links: DataFrame, counts: Counts, owns: DataFrame, thin: DataFrame, width: int) -> DataFrame:
@@ -231,7 +234,7 @@ def _times(links: DataFrame, counts: Counts, owns: DataFrame, thin: DataFrame, w
         a_block, b_block = divmod(pairs["unit"][0].as_py(), blocks)
         own, x = {}, {}
         for block, o, v in zip(given["block"].to_pylist(), given["own"], given["v"], strict=True):
-            own[block], x[block] = o.values.to_numpy(zero_copy_only=False), _matrix(v, width)
+            own[block], x[block] = o.values.to_numpy(zero_copy_only=False), np.ascontiguousarray(_matrix(v, width).T)
         y = {k: np.zeros_like(v) for k, v in x.items()}
         for lo, hi, n in zip(pairs["a"], pairs["b"], pairs["n"], strict=True):
             a, b, n = lo.values.to_numpy() - a_block * block_size, hi.values.to_numpy() - b_block * block_size, n.values.to_numpy().astype(np.float64)
@@ -241,9 +244,8 @@ def _times(links: DataFrame, counts: Counts, owns: DataFrame, thin: DataFrame, w
             a, b, v, same = a[fine], b[fine], v[fine], same[fine]
             _spread(a, b, v, x[b_block], y[a_block])
             a, b, v = a[~same], b[~same], v[~same]
-            order = np.argsort(b, kind="stable")
-            _spread(b[order], a[order], v[order], x[a_block], y[b_block])
-        out = [pa.table({"block": pa.array([k], pa.int32()), "v": _flat(v).cast(pa.list_(pa.float32()))}) for k, v in y.items()]
+            _spread(b, a, v, x[a_block], y[b_block])
+        out = [pa.table({"block": pa.array([k], pa.int32()), "v": _flat(v.T).cast(pa.list_(pa.float32()))}) for k, v in y.items()]
         return pa.concat_tables(out)
 
     def add(group: pa.Table) -> pa.Table:
@@ -277,7 +279,8 @@ def fit(docs: DataFrame, text: str, dimensions: int = DIMENSIONS, window: int =
         first = kept(words.groupBy("block").applyInArrow(start, "block int, own array<double>, v array<double>"), "start")
         owns, basis = first.select("block", "own"), first.select("block", "v")
         distinct = counts.pairs.agg(F.coalesce(F.sum(F.size("a")), F.lit(0))).first()[0]
-        parts = max(1, 2 * distinct // (TILE * blocks * (blocks + 1)))
+        tasks = min(-(-distinct // SMALL), docs.sparkSession.sparkContext.defaultParallelism)  # so many tasks at least
+        parts = max(1, 2 * distinct // (TILE * blocks * (blocks + 1)), -(-2 * tasks // (blocks * (blocks + 1))))
         links = counts.pairs.select(F.col("tile").alias("unit"), F.expr(f"cast(abs(hash(a[0], b[0])) % {parts} as int)").alias("part"), "a", "b", "n")
         for k in range(1 + POWERS):
             before, basis = basis, _orthonormal(_times(links, counts, owns, basis, width), width)
@@ -302,15 +305,87 @@ def fit(docs: DataFrame, text: str, dimensions: int = DIMENSIONS, window: int =
         return out
 
 
-def encode(docs: DataFrame, key: str, text: str, words: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
-    """(key, n_words, vector): the weighted sum of a text's word vectors, of length 1; null where it has no known word.
+class Piece(NamedTuple):
+    """Some whole texts: ``codes`` are the rows of ``words``, ``vectors`` and ``weights`` that their words have in order, zeros for unknown words."""
+
+    keys: pa.Array
+    ends: np.ndarray
+    codes: np.ndarray
+    words: list[str]
+    known: np.ndarray
+    vectors: np.ndarray
+    weights: np.ndarray
+
+    def texts(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(place in ``keys``, codes) of each text."""
+        for i, (a, b) in enumerate(zip(np.r_[0, self.ends[:-1]], self.ends, strict=True)):
+            yield i, self.codes[a:b]
+
+    def summed(self, codes: np.ndarray) -> np.ndarray:
+        """The weighted sum of the vectors of a text's words."""
+        which, n = np.unique(codes, return_counts=True)
+        return (n * self.weights[which]) @ self.vectors[which]
+
 
-    A text's words are counted before they meet their vectors.  ``key`` must name a row.
+def met(docs: DataFrame, key: str, text: str, words: DataFrame) -> DataFrame:
+    """The words of some whole texts at a time (a piece, at most ``PIECE`` words or one text) with their vectors, as ``opened`` reads them.
+
+    A word and its vector are sent once a piece, not once a text.  Null texts have no words.
     """
-    counted = docs.select(key, F.explode(tokens(text)).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
-    met = counted.join(words, "word")
-    sums = met.groupBy(key).agg(F.sum("n").alias("n_words"), *(F.sum(F.col("n") * F.col("weight") * F.col("vector")[k]).alias(f"c{k}") for k in range(dimensions)))
-    raw = sums.select(key, "n_words", F.array(*(F.col(f"c{k}") for k in range(dimensions))).alias("raw"))
-    length = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda s, x: s + x * x))
-    found = raw.select(key, "n_words", F.transform("raw", lambda x: F.try_divide(x, length)).alias("vector"))
-    return docs.select(key).join(found, key, "left").fillna({"n_words": 0})
+    kind, most = docs.schema[key].dataType.simpleString(), PIECE
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            keys, lists = batch.columns
+            size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.diff((np.cumsum(size) - size) // most)) + 1
+            for i, j in zip([0, *cuts], [*cuts, len(size)], strict=True):
+                if i == j:
+                    continue
+                coded = lists.slice(i, j - i).flatten().dictionary_encode()
+                which, found = coded.indices.to_numpy(), coded.dictionary
+                order, ends = np.argsort(which, kind="stable"), np.cumsum(np.bincount(which, minlength=len(found)))
+                if not len(found):
+                    found, ends = pa.nulls(1, found.type), np.zeros(1, np.int64)
+                first = pa.array(np.r_[0, np.full(len(ends), j - i)].astype(np.int32))  # the first row has the texts' keys and sizes
+                columns = [pa.array(np.full(len(ends), piece)), found, _lists(np.r_[0, ends], order.astype(np.int32)), pa.ListArray.from_arrays(first, keys.slice(i, j - i)), pa.ListArray.from_arrays(first, pa.array(size[i:j].astype(np.int32)))]
+                yield pa.RecordBatch.from_arrays(columns, names=["piece", "word", "at", "keys", "sizes"])
+                piece += 1
+
+    rows = docs.select(F.col(key).alias("key"), tokens(text).alias("w")).mapInArrow(split, f"piece long, word string, at array<int>, keys array<{kind}>, sizes array<int>")
+    return rows.join(words.select("word", "vector", "weight"), "word", "left")
+
+
+def opened(group: pa.Table) -> Piece:
+    """A piece from its rows of ``met``."""
+    flat = lambda name: group[name].combine_chunks().flatten()
+    at, vector = flat("at").to_numpy(), group["vector"].combine_chunks()
+    codes = np.empty(len(at), np.int64)
+    codes[at] = np.repeat(np.arange(len(group)), group["at"].combine_chunks().value_lengths().to_numpy())
+    known = vector.is_valid().to_numpy(zero_copy_only=False)
+    values = vector.flatten().to_numpy(zero_copy_only=False)
+    vectors = np.zeros((len(group), len(values) // max(1, known.sum())))
+    vectors[known] = values.reshape(-1, vectors.shape[1]) if known.any() else 0
+    weights = group["weight"].combine_chunks().fill_null(0).to_numpy(zero_copy_only=False)
+    return Piece(flat("keys"), np.cumsum(flat("sizes").to_numpy()), codes, group["word"].to_pylist(), known, vectors, weights)
+
+
+def encode(docs: DataFrame, key: str, text: str, words: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
+    """(key, n_words, vector): the weighted sum of a text's word vectors, of length 1; null where it has no known word."""
+
+    def sums(group: pa.Table) -> pa.Table:
+        piece = opened(group)
+        n, v = np.zeros(len(piece.keys), np.int64), np.zeros((len(piece.keys), dimensions))
+        for i, codes in piece.texts():
+            n[i] = np.count_nonzero(piece.known[codes])
+            if n[i]:
+                v[i] = piece.summed(codes)
+        fine = n > 0
+        length = np.linalg.norm(v[fine], axis=1, keepdims=True)
+        flat = pa.array((v[fine] / np.where(length, length, 1)).ravel(), mask=np.repeat(length == 0, dimensions))
+        offsets = pa.array(np.r_[0, np.cumsum(fine * dimensions)].astype(np.int32))
+        return pa.table({"key": piece.keys, "n_words": pa.array(n), "vector": pa.ListArray.from_arrays(offsets, flat, mask=pa.array(~fine))})
+
+    kind = docs.schema[key].dataType.simpleString()
+    return met(docs, key, text, words).groupBy("piece").applyInArrow(sums, f"key {kind}, n_words long, vector array<double>").withColumnRenamed("key", key)

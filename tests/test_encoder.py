@@ -135,3 +135,22 @@ def test_no_texts(spark):
     words = encoder.fit(none, "text", dimensions=4)
     assert words.count() == 0 and keyphrases.phrases(none, "doc_id", "text", words).count() == 0
     assert encoder.encode(none, "doc_id", "text", words, 4).first()["vector"] is None
+
+
+def test_a_word_and_its_vector_are_sent_once_a_piece(docs, words, monkeypatch):
+    rows = encoder.met(docs, "doc_id", "text", words).groupBy("piece").agg({"*": "count", "word": "count"}).collect()
+    known = words.count()
+    assert rows and all(r["count(word)"] <= known + 4 for r in rows)  # of 50 texts in 3 partitions; once a text it would be over 1,000
+    whole = {tuple(r)[:3] for r in keyphrases.phrases(docs, "doc_id", "text", words, (1, 2), 6).collect()}
+    vectors = {r["doc_id"]: r["vector"] for r in encoder.encode(docs, "doc_id", "text", words, 8).collect()}
+    monkeypatch.setattr(encoder, "PIECE", 100)  # pieces of two texts
+    assert encoder.met(docs, "doc_id", "text", words).select("piece").distinct().count() > len(rows)
+    assert {tuple(r)[:3] for r in keyphrases.phrases(docs, "doc_id", "text", words, (1, 2), 6).collect()} == whole
+    again = {r["doc_id"]: r["vector"] for r in encoder.encode(docs, "doc_id", "text", words, 8).collect()}
+    assert again.keys() == vectors.keys() and all((v is None) == (again[k] is None) and (v is None or np.allclose(v, again[k])) for k, v in vectors.items())
+
+
+def test_equal_scores_go_to_the_earlier_phrase():
+    vectors = np.array([[1, 0], [0, 1], [1, 0], [0.6, 0.8]], np.float32)
+    assert [k for k, _ in keyphrases.chosen(np.array([0.5, 0.5 + 4e-10, 0.5, 0.1]), vectors, 9, 0.5)] == [0, 1, 2, 3]
+    assert [k for k, _ in keyphrases.chosen(np.array([0.5, 0.5, 0.7, 0.1]), vectors, 3, 0.0)] == [2, 0, 1]
