@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators.occurrences import scores
 from ..operators.substrings import either_way
 
 # Words of each domain, in order (the first of equal domains wins).
@@ -58,12 +59,17 @@ def _first_most(scores: dict[str, Column]) -> Column:
 def prepared(rows: DataFrame, text: str, keywords: str | None = None) -> DataFrame:
     """Adds what the rules below read, each computed once a row: scores of domains and dimensions, counts of styles (__domains, __dimensions, __styles).
 
+    They are those of ``domain_scores``, ``emphasis_scores`` and ``style_counts``, the rules as columns, without a scan of each text a word.
     A null text counts as empty. ``keywords`` names an array of the venue's own key phrases, which a replaceable extractor gives.
     """
     keys = F.array().cast("array<string>") if keywords is None else F.transform(F.coalesce(F.col(keywords), F.array().cast("array<string>")), F.lower)
     lowered = rows.withColumns({"__low": F.lower(F.coalesce(F.col(text), F.lit(""))), "__keys": keys})
-    counted = lowered.withColumns({"__domains": _struct(domain_scores("__low", "__keys")), "__dimensions": _struct(emphasis_scores("__low")), "__styles": _struct(style_counts("__low"))})
-    return counted.drop("__low", "__keys")
+    found = lowered.withColumn("__found", scores("__low", "__keys", DOMAINS, DIMENSIONS, {name: words for name, (words, _) in STYLES.items()}))
+    # the pattern reads only texts whose whole words are in doubt
+    alone = {name: F.when(F.col("__found.doubtful"), F.regexp_count("__low", F.lit(whole_words(words))).cast("long")).otherwise(F.col("__found.whole")[name]) for name, words in DIMENSIONS.items()}
+    dimensions = {name: F.col("__found.dimensions")[name] + n for name, n in alone.items()}
+    counted = found.withColumns({"__domains": F.col("__found.domains"), "__dimensions": _struct(dimensions), "__styles": F.col("__found.styles")})
+    return counted.drop("__low", "__keys", "__found")
 
 
 def _struct(parts: dict[str, Column]) -> Column:

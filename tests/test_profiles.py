@@ -1,9 +1,11 @@
 """Venue profiles: scores by hand, hard rows, lookup, the file round trip."""
 
+import random
 import re
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from strataforge import settings
 from strataforge.plans import profiles as V
@@ -88,3 +90,18 @@ def test_words_are_looked_for_by_two_letters_before_the_boundary():
         pattern = V.whole_words(words)
         assert pattern.startswith("(?U)(?=[") and all(re.search(pattern.removeprefix("(?U)"), f"a {w}.") and not re.search(pattern.removeprefix("(?U)"), f"x{w}x") for w in words)
     assert "octet_length" in V._occurrences("low", "use")
+
+
+def test_scores_are_those_of_the_rules_without_a_scan_a_word(spark):
+    rng, words = random.Random(3), [w for part in (*V.DOMAINS.values(), *V.DIMENSIONS.values(), *(w for w, _ in V.STYLES.values())) for w in part]
+    glue = [" ", "\n", "-", "_", "é", "ß", "x", "\u2019", "\u0301", "\u24d0", "\u200d", "²", "7", ".", "\u00a0", "\u2003", "\x1f", ""]
+    texts = ["".join(rng.choice(words) + rng.choice(glue) + rng.choice(["", " ", " the "]) for _ in range(25)) for _ in range(150)]
+    texts += [None, "", " ", "data processing data processingdata  processing", "Useuse USE use-use \u0301use", "\u0130use of user\tstudy user study"]
+    keys = [[rng.choice(words)[: rng.randint(0, 20)] + rng.choice(["", " ", "s", " model"]) for _ in range(5)] + [None] * (i % 2) for i in range(len(texts) - 1)] + [None]
+    rows = spark.createDataFrame(list(zip(range(len(texts)), texts, keys, strict=True)), "i long, t string, k array<string>").repartition(3)
+    low, lowered = F.lower(F.coalesce("t", F.lit(""))), F.transform(F.coalesce("k", F.array().cast("array<string>")), F.lower)
+    plain = rows.select("i", low.alias("l"), lowered.alias("q")).select("i", *(F.struct(*(c.cast("long").alias(n) for n, c in part.items())) for part in (V.domain_scores("l", "q"), V.emphasis_scores("l"), V.style_counts("l"))))
+    got = V.prepared(rows, "t", "k").select("i", "__domains", "__dimensions", "__styles")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "octet_length" not in plan and plan.count("regexp_count") + plan.count("regexp_extract_all") <= 6
