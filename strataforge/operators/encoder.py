@@ -29,6 +29,10 @@ PIECE = 1 << 19
 BLOCK, COUNTED, GROUP, TILE, ROW = 1 << 17, 1 << 23, 1 << 22, 1 << 24, 1 << 18
 #: Pairs of a product below which more tasks are not worth it.
 SMALL = 1 << 19
+#: Words a side of a cell, least share of pairs in one that is multiplied as a dense matrix, pairs that a product takes at a time.
+CELL, DENSE, SLAB = 1 << 10, 3e-3, 1 << 22
+#: Words up to which the numbers of words are broadcast to the places; beyond, both are shuffled.
+NUMBERED = 1_000_000
 #: Words up to which the vocabulary is broadcast to the counted pairs; beyond, both are shuffled.
 BROADCAST_WORDS = 3_000_000
 #: A word of share p of all words weighs COMMON / (COMMON + p) in a text.
@@ -106,7 +110,7 @@ def counted(docs: DataFrame, text: str, window: int = WINDOW, least: int = LEAST
         ids = kept(known.rdd.map(lambda r: r[0]).zipWithIndex().toDF("word string, id long").withColumn("id", F.col("id").cast("int")), "vocabulary")
         blocks = max(1, -(-size // BLOCK))
         slices = max(1, 2 * window * occurrences // (GROUP * blocks * (blocks + 1)))
-        pieces = kept(places.join(ids, "word").groupBy("piece").applyInArrow(_numbers, "ids array<int>"), "pieces")
+        pieces = kept(places.join(F.broadcast(ids) if size <= NUMBERED else ids, "word").groupBy("piece").applyInArrow(_numbers, "ids array<int>"), "pieces")
         dropped(places)
         block, most = BLOCK, COUNTED
 
@@ -217,14 +221,33 @@ def _orthonormal(thin: DataFrame, width: int) -> DataFrame:
     return thin
 
 
-def _spread(row: np.ndarray, column: np.ndarray, v: np.ndarray, x: np.ndarray, out: np.ndarray) -> None:
-    """Adds to out[:, row] v times x[:, column], one line of both, which lies in the cache, after another; pairs need no order."""
-    for k in range(len(x)):
-        out[k] += np.bincount(row, x[k].take(column) * v, out.shape[1])
+def _spread(a: np.ndarray, b: np.ndarray, v: np.ndarray, xa: np.ndarray, xb: np.ndarray, ya: np.ndarray, yb: np.ndarray) -> None:
+    """Adds v times xb[b] to ya[a] and v times xa[a] to yb[b]; no pair (a, b) comes twice.
 
-
-def _times(links: DataFrame, counts: Counts, owns: DataFrame, thin: DataFrame, width: int) -> DataFrame:
-    """The sparse matrix of associations times a thin one: each tile meets the two blocks it needs, and sums of blocks come out."""
+    Cells with many pairs are dense matrices for a while; of the others one column after another is added up, pairs of a cell together.
+    """
+    across = -(-len(xb) // CELL)
+    cell = a // CELL * across + b // CELL
+    counts = np.bincount(cell)
+    order, ends = np.argsort(cell.astype(np.uint16) if len(counts) <= 1 << 16 else cell, kind="stable"), np.cumsum(counts)
+    a, b, v, rest, dense = a[order], b[order], v[order], np.ones(len(a), bool), np.zeros((CELL, CELL), np.float32)
+    for c in np.flatnonzero(counts > DENSE * CELL * CELL):
+        some = slice(ends[c] - counts[c], ends[c])
+        i, j = c // across * CELL, c % across * CELL
+        cells = dense[: len(xa) - i, : len(xb) - j]
+        at = a[some] - i, b[some] - j
+        cells[at] = v[some]
+        ya[i : i + CELL] += cells @ xb[j : j + CELL]
+        yb[j : j + CELL] += cells.T @ xa[i : i + CELL]
+        cells[at] = 0
+        rest[some] = False
+    a, b, v = a[rest], b[rest], v[rest]
+    for row, column, x, y in ((a, b, xb, ya), (b, a, xa, yb)):
+        y += np.stack([np.bincount(row, line.take(column) * v, len(y)) for line in np.ascontiguousarray(x.T)], axis=1)
+
+
+def _times(links: DataFrame, counts: Counts, owns: DataFrame, thin: DataFrame, width: int, spread: int) -> DataFrame:
+    """The sparse matrix of associations times a thin one: each tile meets the two blocks it needs, and sums of blocks come out; ``spread`` tasks."""
     total, blocks, block_size = counts.total, counts.blocks, BLOCK
     unit = links.select("unit", F.col("part").alias("to_part")).distinct()
     sides = unit.select(F.col("unit").alias("to_unit"), F.explode(F.array_distinct(F.array(F.expr(f"cast(unit div {blocks} as int)"), F.expr(f"cast(unit % {blocks} as int)")))).alias("block"), "to_part")
@@ -232,26 +255,37 @@ def _times(links: DataFrame, counts: Counts, owns: DataFrame, thin: DataFrame, w
 
     def multiply(pairs: pa.Table, given: pa.Table) -> pa.Table:
         a_block, b_block = divmod(pairs["unit"][0].as_py(), blocks)
-        own, x = {}, {}
+        own, x, rank = {}, {}, {}
         for block, o, v in zip(given["block"].to_pylist(), given["own"], given["v"], strict=True):
-            own[block], x[block] = o.values.to_numpy(zero_copy_only=False), np.ascontiguousarray(_matrix(v, width).T)
-        y = {k: np.zeros_like(v) for k, v in x.items()}
+            own[block] = o.values.to_numpy(zero_copy_only=False)
+            order = np.argsort(-own[block], kind="stable")  # frequent words first, as pairs crowd among them
+            x[block], rank[block] = _matrix(v, width).astype(np.float32)[order], np.argsort(order).astype(np.int32)
+        y = {k: np.zeros(v.shape) for k, v in x.items()}
+
+        def add_up(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+            a, b, v = (np.concatenate(c) for c in zip(*held, strict=True))
+            _spread(a, b, v, x[a_block], x[b_block], y[a_block], y[b_block])
+
+        held, size = [], 0
         for lo, hi, n in zip(pairs["a"], pairs["b"], pairs["n"], strict=True):
             a, b, n = lo.values.to_numpy() - a_block * block_size, hi.values.to_numpy() - b_block * block_size, n.values.to_numpy().astype(np.float64)
             same = lo.values.to_numpy() == hi.values.to_numpy()
             v = np.log(np.where(same, 2 * n, n) * total / (own[a_block][a] * own[b_block][b]))
             fine = v > 0
-            a, b, v, same = a[fine], b[fine], v[fine], same[fine]
-            _spread(a, b, v, x[b_block], y[a_block])
-            a, b, v = a[~same], b[~same], v[~same]
-            _spread(b, a, v, x[a_block], y[b_block])
-        out = [pa.table({"block": pa.array([k], pa.int32()), "v": _flat(v.T).cast(pa.list_(pa.float32()))}) for k, v in y.items()]
+            held.append((rank[a_block][a[fine]], rank[b_block][b[fine]], np.where(same, v / 2, v)[fine].astype(np.float32)))  # a word with itself is added both ways
+            size += len(held[-1][0])
+            if size >= SLAB:
+                add_up(held)
+                held, size = [], 0
+        if size:
+            add_up(held)
+        out = [pa.table({"block": pa.array([k], pa.int32()), "v": _flat(v[rank[k]]).cast(pa.list_(pa.float32()))}) for k, v in y.items()]
         return pa.concat_tables(out)
 
     def add(group: pa.Table) -> pa.Table:
         return pa.table({"block": group["block"].slice(0, 1), "v": _flat(sum(_matrix(v, width) for v in group["v"]))})
 
-    made = links.groupBy("unit", "part").cogroup(sent.groupBy("to_unit", "to_part")).applyInArrow(multiply, "block int, v array<float>")
+    made = links.repartition(spread, "unit", "part").groupBy("unit", "part").cogroup(sent.repartition(spread, "to_unit", "to_part").groupBy("to_unit", "to_part")).applyInArrow(multiply, "block int, v array<float>")
     return kept(made.groupBy("block").applyInArrow(add, _THIN), "thin")
 
 
@@ -281,12 +315,13 @@ def fit(docs: DataFrame, text: str, dimensions: int = DIMENSIONS, window: int =
         distinct = counts.pairs.agg(F.coalesce(F.sum(F.size("a")), F.lit(0))).first()[0]
         tasks = min(-(-distinct // SMALL), docs.sparkSession.sparkContext.defaultParallelism)  # so many tasks at least
         parts = max(1, 2 * distinct // (TILE * blocks * (blocks + 1)), -(-2 * tasks // (blocks * (blocks + 1))))
+        spread = 4 * parts * blocks * (blocks + 1) // 2  # few units meet in a task by their hashes; without any a task ends at once
         links = counts.pairs.select(F.col("tile").alias("unit"), F.expr(f"cast(abs(hash(a[0], b[0])) % {parts} as int)").alias("part"), "a", "b", "n")
         for k in range(1 + POWERS):
-            before, basis = basis, _orthonormal(_times(links, counts, owns, basis, width), width)
+            before, basis = basis, _orthonormal(_times(links, counts, owns, basis, width, spread), width)
             if k:
                 dropped(before)
-        image = _times(links, counts, owns, basis, width)
+        image = _times(links, counts, owns, basis, width, spread)
         core = _products(basis.select("block", F.col("v").alias("x")).join(image.select("block", F.col("v").alias("y")), "block"), width)
         values, vectors = np.linalg.eigh((core + core.T) / 2)
         order = np.argsort(-np.abs(values), kind="stable")[:dimensions]

@@ -154,3 +154,20 @@ def test_equal_scores_go_to_the_earlier_phrase():
     vectors = np.array([[1, 0], [0, 1], [1, 0], [0.6, 0.8]], np.float32)
     assert [k for k, _ in keyphrases.chosen(np.array([0.5, 0.5 + 4e-10, 0.5, 0.1]), vectors, 9, 0.5)] == [0, 1, 2, 3]
     assert [k for k, _ in keyphrases.chosen(np.array([0.5, 0.5, 0.7, 0.1]), vectors, 3, 0.0)] == [2, 0, 1]
+
+
+@pytest.mark.parametrize("dense", [0, 0.05, 1])
+def test_products_of_dense_and_thin_cells(dense, monkeypatch):
+    for name, value in {"CELL": 16, "DENSE": dense}.items():
+        monkeypatch.setattr(encoder, name, value)
+    rng = np.random.default_rng(1)
+    m = np.where(rng.random((50, 37)) < np.linspace(0.4, 0, 50)[:, None], rng.random((50, 37)), 0).astype(np.float32)
+    a, b = (c.astype(np.int32) for c in np.nonzero(m))
+    xa, xb, ya, yb = rng.random((50, 5), np.float32), rng.random((37, 5), np.float32), np.ones((50, 5)), np.zeros((37, 5))
+    encoder._spread(a, b, m[a, b], xa, xb, ya, yb)
+    assert np.allclose(ya, 1 + m @ xb, rtol=1e-5) and np.allclose(yb, m.T @ xa, rtol=1e-5)
+    u = np.triu(m[:37])  # both sides the same block
+    a, b = (c.astype(np.int32) for c in np.nonzero(u))
+    y = np.zeros((37, 5))
+    encoder._spread(a, b, u[a, b], xb, xb, y, y)
+    assert np.allclose(y, u @ xb + u.T @ xb, rtol=1e-5)
